@@ -43,7 +43,7 @@ def release(spark: SparkSession) -> None:
 
 def input_partitions(df: DataFrame, bytes_each: int, least: int = 1) -> int:
     """Partitions that hold about bytes_each of df's input files; Catalyst's size estimate, so no job runs."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(least, min(1_000_000, -(-size // bytes_each)))
 
 
