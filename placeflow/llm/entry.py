@@ -11,7 +11,9 @@ from .jaccard import jaccard_components
 from .langid import identify_language, learn_languages
 from .line_dedup import dedup_lines
 from .mixing import mix_to_weights
+from .suffix_dedup import dedup_suffixes
 from .toxicity import learn_toxicity, score_toxicity
+from .window_dedup import dedup_windows
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,6 +25,10 @@ def _fold(modulus: int, held: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == held, F.lit(False))
 
 
+def op3_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_windows(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = learn_toxicity(docs.where(~_fold(5, 0)), _read(spark, sf_dir, "labels"))
@@ -33,6 +39,10 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_to_weights(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_suffixes(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = learn_languages(docs.where(~_fold(4, 2)))
