@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import find_leaks
 from .jaccard import jaccard_components
 from .langid import identify_language, learn_languages
 from .line_dedup import dedup_lines
 from .mixing import mix_to_weights
 from .suffix_dedup import dedup_suffixes
 from .toxicity import learn_toxicity, score_toxicity
+from .vector_dedup import vector_links
 from .window_dedup import dedup_windows
 
 
@@ -25,6 +27,12 @@ def _fold(modulus: int, held: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == held, F.lit(False))
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and benchmark item that occurs in it."""
+    found = find_leaks(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.item_id", "leak.distance")
+
+
 def op3_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_windows(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
 
@@ -35,6 +43,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs.select("doc_id", "text", "lang"), model).select("doc_id", _fold(5, 0).alias("held_out"), "score", "predicted", "flagged")
 
 
+def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links(_read(spark, sf_dir, "embeddings"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_to_weights(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
