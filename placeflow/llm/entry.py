@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import find_leaks
+from .interpolation import score_texts
 from .jaccard import jaccard_components
 from .langid import identify_language, learn_languages
 from .line_dedup import dedup_lines
@@ -33,6 +34,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.item_id", "leak.distance")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_read(spark, sf_dir, "documents").select("doc_id", "text"), _fold(5, 1))
+
+
 def op3_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_windows(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
 
