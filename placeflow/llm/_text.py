@@ -90,7 +90,7 @@ class Rolling:
 
     def _grow(self, n: int) -> None:
         if n > len(self.up):
-            n = max(n, 2 * len(self.up))
+            n = max(n, len(self.up) + len(self.up) // 4)
             self.up, self.down = np.full(n, _P), np.full(n, _P_INV)
             self.up[0] = self.down[0] = 1
             np.cumprod(self.up, out=self.up)

@@ -32,7 +32,11 @@ MOST_HEAVY = 1 << 21
 COUNTED = 0.35
 #: Largest set that may count as small, and rounds of new centres before the rest is paired.
 MOST_SMALL, ROUNDS = 16, 4
-_BUFFER = 3_000_000
+#: Prefix shingles that linked sets share at least, if they share so many at all; prefixes are longer by one less.
+SHARED = 4
+#: Rows of a table of ids that may be broadcast.
+SMALL = 1 << 20
+_BUFFER = 1_000_000
 _ROLL = Rolling(seed=10, fold_case=True)
 
 
@@ -55,6 +59,12 @@ def _required(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
+def _prefix_length(n: int, percent: int) -> int:
+    """Linked sets share min(SHARED, what either must share) shingles among so many first ones of each."""
+    need = _required(n, percent)
+    return n - need + min(SHARED, need)
+
+
 def subset_sizes(n: int, largest: int, percent: int = PERCENT) -> list[int]:
     """Sizes of the subsets that a small set of n enumerates: what it must share with partners of n to `largest` shingles, or with smaller ones."""
     return sorted({_required(m, percent) for m in range(n, min(largest, n * 100 // percent) + 1)})
@@ -72,7 +82,7 @@ def _signatures(tokens: np.ndarray, largest: int, percent: int) -> np.ndarray:
 
 
 def _prefix(tokens: np.ndarray, heavy: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
-    need = len(tokens) - _required(len(tokens), percent) + 1
+    need = _prefix_length(len(tokens), percent)
     if len(heavy):
         at = np.minimum(np.searchsorted(heavy, tokens), len(heavy) - 1)
         is_heavy = heavy[at] == tokens
@@ -89,7 +99,7 @@ def boundary(counts: dict[int, int], percent: int = PERCENT) -> int:
 
     def cost(b: int) -> float:
         subsets = sum(n * sum(math.comb(s, c) for c in subset_sizes(s, b, percent)) for s, n in counts.items() if s <= b)
-        return subsets + 2 * sum(n * (s - _required(s, percent) + 1) for s, n in counts.items() if s >= _required(b + 1, percent))
+        return subsets + 2 * sum(n * _prefix_length(s, percent) for s, n in counts.items() if s >= _required(b + 1, percent))
 
     return min(range(0, MOST_SMALL + 1), key=lambda b: (cost(b), b))
 
@@ -221,7 +231,12 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, overlap, n_a, n_b of distinct pairs."""
+    """a, b, overlap, n_a, n_b of the distinct pairs; only sets that are needed move."""
+    pairs = stage(pairs.distinct(), "jac-pairs")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    if pairs.count() <= SMALL // 2:
+        wanted = F.broadcast(wanted)
+        sets = sets.join(wanted, "node", "left_semi")
     one, two = sets.toDF("a", "tokens_a"), sets.toDF("b", "tokens_b")
     return pairs.join(one, "a").join(two, "b").select("a", "b", "tokens_a", "tokens_b").mapInArrow(_overlaps, "a long, b long, overlap long, n_a long, n_b long")
 
@@ -269,19 +284,23 @@ def _links(docs: DataFrame, reps: DataFrame, repeated: bool, percent: int, words
     lists = stage(shared.join(reps, "node").select("token", "node", "n"), "jac-lists")
     sizes = lists.groupBy("token").agg(F.count("*").alias("df"), F.min("node").alias("centre")).where("df > 1")
     members = stage(lists.join(sizes, "token").select("token", "node", "n", "df", "centre").distinct(), "jac-members")
-    wanted = members.select(F.col("node").alias("doc_id")).distinct()
-    if wanted.count() <= 1 << 20:
+    near = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+    heavy_nodes = members.where(F.col("df") > LIGHT).select("node").distinct()
+    light = members.where(F.col("df") <= LIGHT).join(heavy_nodes.withColumn("more", F.lit(True)), "node", "left").select("token", "node", "n", F.col("more").isNotNull().alias("more"))
+    met = light.alias("x").join(light.alias("y"), F.expr(f"x.token = y.token AND x.node < y.node AND {near}"))
+    # what two sets must share can only be missing from light lists if both have heavy ones
+    pairs = met.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("met"), F.max(F.expr("x.more AND y.more")).alias("more"), F.max(F.least("x.n", "y.n")).alias("n"))
+    pairs = stage(pairs.where(f"more OR met >= least({SHARED}, n * {percent} div 100) OR n <= {MOST_SMALL}").select("a", "b"), "jac-light")
+    wanted = stage(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(heavy_nodes).distinct(), "jac-wanted")
+    if wanted.count() <= SMALL:
         wanted = F.broadcast(wanted)
     sets = _sets(docs.join(wanted, "doc_id", "left_semi"), words)
     if repeated:  # one set per node, the one that reps tells the size of
         sets = sets.groupBy("node").agg(F.min(F.struct("digest", "tokens")).alias("s")).select("node", "s.digest", "s.tokens")
     sets = stage(sets.select("node", "tokens"), "jac-sets")
-    near = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
-    light = members.where(F.col("df") <= LIGHT)
-    pairs = light.alias("x").join(light.alias("y"), F.expr(f"x.token = y.token AND x.node < y.node AND {near}")).selectExpr("x.node AS a", "y.node AS b")
     rest = members.where(F.col("df") > LIGHT).select("token", "node", "n", "centre")
     star = rest.where("node <> centre").selectExpr("centre AS a", "node AS b")
-    checked = stage(_checked(pairs.union(star).distinct(), sets), "jac-checked")
+    checked = stage(_checked(pairs.union(star), sets), "jac-checked")
     linked = f"100 * overlap >= {percent} * (n_a + n_b - overlap)"
     links = [checked.where(linked).select("a", "b")]
     for round_ in range(ROUNDS):
@@ -292,7 +311,7 @@ def _links(docs: DataFrame, reps: DataFrame, repeated: bool, percent: int, words
         rest = stage(rest.join(again, "token").select("token", "node", "n", "centre"), "jac-rest")
         if rest.isEmpty():
             break
-        checked = stage(_checked(rest.where("node <> centre").selectExpr("centre AS a", "node AS b").distinct(), sets), "jac-checked")
+        checked = stage(_checked(rest.where("node <> centre").selectExpr("centre AS a", "node AS b"), sets), "jac-checked")
         links.append(checked.where(linked).select("a", "b"))
     found = stage(_union(links), "jac-links")
     # what is left: pairs of one list in different components whose distances to the first centre allow a link
@@ -302,12 +321,12 @@ def _links(docs: DataFrame, reps: DataFrame, repeated: bool, percent: int, words
     placed = first.join(to_centre, ["centre", "node"]).select("token", "node", "n", "component", "d")
     most = 1 - percent / 100 + 1e-9
     open_ = placed.alias("x").join(placed.alias("y"), F.expr(f"x.token = y.token AND x.component < y.component AND {near} AND abs(x.d - y.d) <= {most}"))
-    last = _checked(open_.selectExpr("least(x.node, y.node) AS a", "greatest(x.node, y.node) AS b").distinct(), sets)
+    last = _checked(open_.selectExpr("least(x.node, y.node) AS a", "greatest(x.node, y.node) AS b"), sets)
     return stage(found.union(last.where(linked).select("a", "b")), "jac-links")
 
 
 def _distances(members: DataFrame, sets: DataFrame) -> DataFrame:
-    pairs = members.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = members.select(F.col("centre").alias("a"), F.col("node").alias("b"))
     return _checked(pairs, sets).select(F.col("a").alias("centre"), F.col("b").alias("node"), (1 - F.col("overlap") / (F.col("n_a") + F.col("n_b") - F.col("overlap"))).alias("d"))
 
 

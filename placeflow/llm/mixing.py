@@ -49,25 +49,28 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     return ranked.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def mix_to_weights(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = 3, size: Column | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken for every row of docs.
+def mix_to_weights(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = 3, whole_rows: bool = False) -> DataFrame:
+    """doc_id, source (or with whole_rows all columns of docs), size, source_size, target, copies, taken for every row of docs.
 
     Null or wordless text has size 0 and is taken 0 words, with the copies its hash gives. Rows without a source form a source
     of their own. Rows that share a doc_id share a hash and so a decision. An empty table gives an empty result. Columns other
-    than doc_id, text and source are not read. A source whose documents are all empty has target 0.
+    than doc_id, text and source are not read, and with whole_rows those named like a new one are replaced. A source whose documents are all empty has target 0.
     """
     h = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 64 - DIGIT_BITS * DIGITS)
-    sized = stage(docs.select("doc_id", "source", (word_count(F.col("text")) if size is None else size).alias("size"), h.alias("h")), "mix-sizes")
+    size = word_count(F.col("text"))
+    sized = stage(docs.select("doc_id", "source", size.alias("size"), h.alias("h")), "mix-sizes")
     goal = stage(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, float(most)), "mix-targets")
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(0).cast("long")
     # state per source: words still to take beyond what lies under `prefix`, the digits of the threshold found so far
     state = goal.select("source", "source_size", "target", whole.alias("whole"), (F.col("target") - whole * F.col("source_size")).alias("need"), F.lit(0).cast("long").alias("prefix"))
     for level in range(1, DIGITS + 1):
         state = stage(_refine(sized, state, level), f"mix-level{level}")
-    s, d = state.alias("s"), sized.alias("d")
+    own = [c for c in (docs.columns if whole_rows else ("doc_id", "source")) if c not in ("size", "source_size", "target", "copies", "taken")]
+    rows = docs.select(*(F.col(f"`{c}`") for c in own), size.alias("size"), h.alias("h")) if whole_rows else sized
+    s, d = state.alias("s"), rows.alias("d")
     joined = d.join(s, F.expr("d.source <=> s.source"))
     copies = F.col("s.whole") + F.when(F.col("d.h") < F.col("s.prefix"), 1).otherwise(0)
-    return joined.select("d.doc_id", "d.source", "d.size", "s.source_size", "s.target", copies.alias("copies"), (copies * F.col("d.size")).alias("taken"))
+    return joined.select(*(F.col(f"d.`{c}`") for c in own), "d.size", "s.source_size", "s.target", copies.alias("copies"), (copies * F.col("d.size")).alias("taken"))
 
 
 def _refine(sized: DataFrame, state: DataFrame, level: int) -> DataFrame:

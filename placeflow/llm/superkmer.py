@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ._stage import input_partitions
 from ._text import Rolling, blocks, mix, spans, utf8
 
-_BUFFER, _PART = 32 << 20, 3 << 20
+_BUFFER, _PART, _PIECE = 16 << 20, 3 << 20, 1 << 20
 _ROLL = Rolling(seed=3)
 
 
@@ -129,7 +129,14 @@ def exact_groups(key: np.ndarray, text: np.ndarray, at: np.ndarray, size: np.nda
 def _settled(runs: Runs) -> tuple[np.ndarray, np.ndarray]:
     """Which strings stay, and which are gone because an equal string has a smaller doc_id here."""
     size = np.diff(runs.offs)
-    order, group = exact_groups(_ROLL.ranges(runs.text, runs.offs[:-1], runs.offs[1:]), runs.text, runs.offs[:-1], size)
+    key = np.empty(len(size), np.uint64)
+    lo = 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(runs.offs, runs.offs[lo] + _PIECE, "right")) - 1)
+        own = runs.offs[lo : hi + 1] - runs.offs[lo]
+        key[lo:hi] = _ROLL.ranges(runs.text[runs.offs[lo] : runs.offs[hi]], own[:-1], own[1:])
+        lo = hi
+    order, group = exact_groups(key, runs.text, runs.offs[:-1], size)
     low = np.minimum.reduceat(runs.doc[order], np.flatnonzero(np.append(True, group[1:] != group[:-1])))[group]
     gone = np.zeros(len(size), bool)
     gone[order] = runs.doc[order] > low
@@ -168,7 +175,7 @@ def _send(docs: DataFrame, cut: Callable[[np.ndarray, np.ndarray], Units], windo
             return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(done, pa.bool_()), pa.array(doc, pa.int64()), pa.array(row, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "done", "doc_id", "row", "blob"])
 
         total = 0
-        for own, buf, offs in blocks(batches):
+        for own, buf, offs in blocks(batches, size=_PIECE):
             runs = cut_runs(cut(buf, offs), own.column(0).to_numpy(zero_copy_only=False), own.column(1).to_numpy(zero_copy_only=False), window, gram)
             if len(runs.doc):
                 held.append(runs)
@@ -211,9 +218,9 @@ def repeats(docs: DataFrame, cut: Callable[[np.ndarray, np.ndarray], Units], dec
         ends = np.cumsum(n[several])
         size = np.concatenate([[0], np.cumsum(np.diff(runs.offs)[order])])
         lo = 0
-        while lo < len(order):  # whole minimisers, about 4 MB of strings at once
+        while lo < len(order):  # whole minimisers, about 2 MB of strings at once
             i = int(np.searchsorted(ends, lo, "right"))
-            j = max(i, int(np.searchsorted(size[ends], size[lo] + (4 << 20), "right")) - 1)
+            j = max(i, int(np.searchsorted(size[ends], size[lo] + (2 << 20), "right")) - 1)
             hi = int(ends[j])
             own = runs.pick(order[lo:hi])
             string, at, count = decide(own)
