@@ -6,9 +6,12 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_BASE: list[str] = []
 _STAGED: list[str] = []
+#: Catalyst's size for what it knows nothing of is the largest long.
+_UNKNOWN = 1 << 62
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,8 +45,9 @@ def release(spark: SparkSession) -> None:
 
 
 def input_partitions(df: DataFrame, bytes_each: int, least: int = 1) -> int:
-    """Partitions that hold about bytes_each of df's input files; Catalyst's size estimate, so no job runs."""
+    """Partitions that hold about bytes_each of df's input. Catalyst's estimate from file sizes, so no job runs; texts are summed
+    where it knows none (frames from Python objects or RDDs)."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= _UNKNOWN:
+        size = df.select(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     return max(least, min(1_000_000, -(-size // bytes_each)))
-
-

@@ -171,10 +171,10 @@ def dedup_lines(docs: DataFrame, index: LineIndex | None = None) -> DataFrame:
     A key is a line without outer spaces, ASCII letters lower-cased. Keys of min_chars code points that min_docs documents hold
     lose all their lines except in the largest doc_id that holds them. Rows with one doc_id are one document, each row keeps its
     place. Rows without doc_id neither count nor lose lines. Null and empty texts are one empty line and come back as they were;
-    a text all of whose lines go becomes empty. An empty table gives an empty result.
+    a text all of whose lines go becomes empty. An empty table gives an empty result. Columns named like the new ones are replaced.
     """
     index = index or LineIndex.build(docs)
-    names = docs.columns
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     inner = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     d, k = inner.alias("d"), index.drops().alias("k")
     both = d.join(k, F.expr("d.doc_id = k.doc_id"), "left").select("d.row", "d.text", "k.keys")

@@ -145,9 +145,11 @@ def _settled(runs: Runs) -> tuple[np.ndarray, np.ndarray]:
 
 def pack_marks(doc: np.ndarray, row: np.ndarray, start: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Removed windows by document and row: their starts, then their numbers."""
+    if not len(doc):
+        return doc, row, []
     order = np.lexsort((row, doc))
     d, r = doc[order], row[order]
-    head = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (r[1:] != r[:-1]))) if len(d) else np.zeros(0, np.int64)
+    head = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (r[1:] != r[:-1])))
     both = np.stack([start[order], windows[order]], axis=1).astype(np.int32)
     return d[head], r[head], [both[a:b].tobytes() for a, b in zip(head, np.append(head[1:], len(d)), strict=True)]
 
@@ -253,11 +255,13 @@ def covered(marks: list[bytes] | None, window: int, units: int) -> np.ndarray:
 
 
 def with_marks(docs: DataFrame, marks: DataFrame, finish: Callable[[bytes | None, list[bytes] | None], tuple], columns: str) -> DataFrame:
-    """docs' columns but text, and the columns that finish makes of each row's text and marks. Texts move compressed."""
-    names = docs.columns
-    rest = [c for c in names if c != "text"]
-    kind = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest))).schema[0].dataType.simpleString()
+    """docs' columns but text, and the columns that finish makes of each row's text and marks, which replace those with their names.
+
+    Texts move compressed.
+    """
     fields = [x.strip().split(" ") for x in columns.split(",")]
+    rest = [c for c in docs.columns if c != "text" and c not in {f for f, _ in fields}]
+    kind = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest))).schema[0].dataType.simpleString()
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=1)
