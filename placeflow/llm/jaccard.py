@@ -2,8 +2,9 @@
 
 The join is size-aware. Sets of up to a boundary, chosen by cost, enumerate their subsets of every size that a partner could share;
 larger sets scan inverted lists of a prefix of their shingles, rare ones first. The lists that a hot shingle makes are never paired
-out: each list checks all members against one centre, and since Jaccard distance is a metric, what remains are pairs in different
-components whose distances to the centre allow a link. Equal sets are one node throughout.
+out: each list checks all members against one centre, and what remains are pairs in different components whose rare shingles and
+parity sketches allow a link; the join's condition tests these bounds, and only pairs within them come out. Equal sets are one node
+throughout.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ COUNTED = 0.35
 MOST_SMALL, ROUNDS = 16, 4
 #: Prefix shingles that linked sets share at least, if they share so many at all; prefixes are longer by one less.
 SHARED = 4
+#: Longs of a set's parity sketch.
+SKETCH_LONGS = 16
 #: Rows of a table of ids that may be broadcast.
 SMALL = 1 << 20
 _BUFFER = 1_000_000
@@ -282,8 +285,8 @@ def _links(docs: DataFrame, reps: DataFrame, repeated: bool, percent: int, words
 
     shared = _pack(docs, select, buckets, words, False).mapInPandas(_shared, "token long, node long")
     lists = stage(shared.join(reps, "node").select("token", "node", "n"), "jac-lists")
-    sizes = lists.groupBy("token").agg(F.count("*").alias("df"), F.min("node").alias("centre")).where("df > 1")
-    members = stage(lists.join(sizes, "token").select("token", "node", "n", "df", "centre").distinct(), "jac-members")
+    sizes = lists.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    members = stage(lists.join(sizes, "token").select("token", "node", "n", "df").distinct(), "jac-members")
     near = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
     heavy_nodes = members.where(F.col("df") > LIGHT).select("node").distinct()
     light = members.where(F.col("df") <= LIGHT).join(heavy_nodes.withColumn("more", F.lit(True)), "node", "left").select("token", "node", "n", F.col("more").isNotNull().alias("more"))
@@ -298,7 +301,8 @@ def _links(docs: DataFrame, reps: DataFrame, repeated: bool, percent: int, words
     if repeated:  # one set per node, the one that reps tells the size of
         sets = sets.groupBy("node").agg(F.min(F.struct("digest", "tokens")).alias("s")).select("node", "s.digest", "s.tokens")
     sets = stage(sets.select("node", "tokens"), "jac-sets")
-    rest = members.where(F.col("df") > LIGHT).select("token", "node", "n", "centre")
+    rest = stage(_listed(_heavy_members(members, b, percent)), "jac-rest")
+    first = rest
     star = rest.where("node <> centre").selectExpr("centre AS a", "node AS b")
     checked = stage(_checked(pairs.union(star), sets), "jac-checked")
     linked = f"100 * overlap >= {percent} * (n_a + n_b - overlap)"
@@ -306,28 +310,66 @@ def _links(docs: DataFrame, reps: DataFrame, repeated: bool, percent: int, words
     for round_ in range(ROUNDS):
         # members that their centre did not take form the next list; one or two more rounds settle most lists
         taken = checked.where(linked).select(F.col("a").alias("centre"), F.col("b").alias("node"))
-        rest = rest.where("node <> centre").join(taken, ["centre", "node"], "left_anti").select("token", "node", "n")
-        again = rest.groupBy("token").agg(F.count("*").alias("df"), F.min("node").alias("centre")).where("df > 1")
-        rest = stage(rest.join(again, "token").select("token", "node", "n", "centre"), "jac-rest")
+        rest = stage(_listed(rest.where("node <> centre").join(taken, ["centre", "node"], "left_anti")), "jac-rest")
         if rest.isEmpty():
             break
         checked = stage(_checked(rest.where("node <> centre").selectExpr("centre AS a", "node AS b"), sets), "jac-checked")
         links.append(checked.where(linked).select("a", "b"))
     found = stage(_union(links), "jac-links")
-    # what is left: pairs of one list in different components whose distances to the first centre allow a link
+    # what is left: pairs of one list in different components whose own shingles and sketches allow a link
     named = components(found)
-    first = members.where(F.col("df") > LIGHT).join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    to_centre = stage(_distances(first, sets), "jac-distances")
-    placed = first.join(to_centre, ["centre", "node"]).select("token", "node", "n", "component", "d")
-    most = 1 - percent / 100 + 1e-9
-    open_ = placed.alias("x").join(placed.alias("y"), F.expr(f"x.token = y.token AND x.component < y.component AND {near} AND abs(x.d - y.d) <= {most}"))
+    first = first.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sketches = stage(_sketches(sets.join(first.select("node").distinct(), "node", "left_semi")), "jac-sketches")
+    placed = stage(first.join(sketches, "node"), "jac-placed")
+    differ = " + ".join(f"bit_count(x.s{i} ^ y.s{i})" for i in range(SKETCH_LONGS))
+    bound = f"100 * (x.n + y.n - ({differ})) >= {percent} * (x.n + y.n + ({differ}))"
+    possible = f"100 * least(x.most, y.most) >= {percent} * (x.n + y.n - least(x.most, y.most))"
+    open_ = placed.where("core").alias("x").join(placed.alias("y"), F.expr(f"x.token = y.token AND x.component <> y.component AND (x.node < y.node OR NOT y.core) AND {near} AND {possible} AND {bound}"))
     last = _checked(open_.selectExpr("least(x.node, y.node) AS a", "greatest(x.node, y.node) AS b"), sets)
     return stage(found.union(last.where(linked).select("a", "b")), "jac-links")
 
 
-def _distances(members: DataFrame, sets: DataFrame) -> DataFrame:
-    pairs = members.select(F.col("centre").alias("a"), F.col("node").alias("b"))
-    return _checked(pairs, sets).select(F.col("a").alias("centre"), F.col("b").alias("node"), (1 - F.col("overlap") / (F.col("n_a") + F.col("n_b") - F.col("overlap"))).alias("d"))
+def _heavy_members(members: DataFrame, b: int, percent: int) -> DataFrame:
+    """token, node, n, most, core of the members of heavy lists that may have links which light lists don't show.
+
+    All pairs of light lists are checked, so a link that they don't show shares heavy shingles only. It shares SHARED of a prefix: sets
+    with fewer heavy ones there are done (sets of up to b, which have subsets instead, stay). And it shares at most
+    `most`, what is left without a set's own light prefix. With light parts of p and q and s shared ones, a link of 80 % needs
+    p + q <= s / 4; in general at least one of two is `core`, its light part being within half of what both may have.
+    """
+    need = f"((n * {percent} + 99) div 100)"
+    of_partner = f"(({need} * {percent} + 99) div 100)"
+    light = F.expr(f"CASE WHEN n <= {b} THEN 0L ELSE n - {need} + least({SHARED}, {need}) - heavy END")
+    heavy = members.where(F.col("df") > LIGHT)
+    counted = heavy.join(heavy.groupBy("node").agg(F.count("*").alias("heavy")), "node").where(f"n <= {b} OR heavy >= least({SHARED}, {of_partner})")
+    rows = counted.withColumn("light", F.greatest(light, F.lit(0).cast("long"))).withColumn("most", F.col("n") - F.col("light"))
+    return rows.select("token", "node", "n", "most", F.expr(f"2 * {percent} * light <= {100 - percent} * most").alias("core"))
+
+
+def _listed(rows: DataFrame) -> DataFrame:
+    """rows of lists with several members, and each list's centre: the member with the smallest light part, then the smallest node."""
+    columns = ("token", "node", "n", "most", "core")
+    purest = F.min(F.struct((F.col("n") - F.col("most")) / F.col("n"), "node"))["node"]
+    lists = rows.groupBy("token").agg(F.count("*").alias("members"), purest.alias("centre")).where("members > 1")
+    return rows.select(*columns).join(lists, "token").select(*columns, "centre")
+
+
+def _sketches(sets: DataFrame) -> DataFrame:
+    """node and the parities of its shingles' numbers in 64 * SKETCH_LONGS hash buckets, as longs.
+
+    Where two sketches differ, the sets differ: common shingles cancel out, so as many bits differ as shingles at most.
+    """
+    names = [f"s{i}" for i in range(SKETCH_LONGS)]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.zeros((batch.num_rows, SKETCH_LONGS), np.int64)
+            for i, raw in enumerate(batch.column(1).to_pylist()):
+                at = (mix(_tokens(raw)) % np.uint64(64 * SKETCH_LONGS)).astype(np.int64)
+                out[i] = np.packbits(np.bincount(at, minlength=64 * SKETCH_LONGS) & 1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[:, i]) for i in range(SKETCH_LONGS))], ["node", *names])
+
+    return sets.select("node", "tokens").mapInArrow(rows, ", ".join(["node long", *(f"{c} long" for c in names)]))
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
