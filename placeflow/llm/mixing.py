@@ -69,7 +69,7 @@ def mix_to_weights(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     rows = docs.select(*(F.col(f"`{c}`") for c in own), size.alias("size"), h.alias("h")) if whole_rows else sized
     s, d = state.alias("s"), rows.alias("d")
     joined = d.join(s, F.expr("d.source <=> s.source"))
-    copies = F.col("s.whole") + F.when(F.col("d.h") < F.col("s.prefix"), 1).otherwise(0)
+    copies = F.least(F.col("s.whole") + F.when(F.col("d.h") < F.col("s.prefix"), 1).otherwise(0), F.lit(most))
     return joined.select(*(F.col(f"d.`{c}`") for c in own), "d.size", "s.source_size", "s.target", copies.alias("copies"), (copies * F.col("d.size")).alias("taken"))
 
 
