@@ -97,6 +97,15 @@ def _prefix(tokens: np.ndarray, heavy: np.ndarray, rank: np.ndarray, percent: in
     return tokens[:need]
 
 
+def _end(tokens: np.ndarray, heavy: np.ndarray, rank: np.ndarray, percent: int) -> tuple[int, int]:
+    """Place of the last prefix shingle in the order that prefixes follow: light ones by hash, then heavy ones by rank."""
+    if not len(tokens):
+        return 0, 0
+    last = _prefix(tokens, heavy, rank, percent)[-1]
+    at = np.searchsorted(heavy, last)
+    return (1, int(rank[at])) if at < len(heavy) and heavy[at] == last else (0, int(last) - (1 << 63))
+
+
 def boundary(counts: dict[int, int], percent: int = PERCENT) -> int:
     """The size up to which subsets cost less than prefixes: rows written, those of prefixes twice since their lists are read and checked."""
 
@@ -204,17 +213,19 @@ def shingle_features(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n long, digest binary")
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """node, its set as 6-byte hashes (enough to compare two sets)."""
+def _sets(docs: DataFrame, words: int, end: Callable[[np.ndarray], tuple[int, int]]) -> DataFrame:
+    """node, its set as 6-byte hashes (enough to compare two sets), and where its prefix ends."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, buf, offs in blocks(batches):
             sets = shingle_sets(buf, offs, words)
             packed = [(s >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in sets]
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(packed, pa.binary())], ["node", "digest", "tokens"])
+            ends = [end(s) for s in sets]
+            columns = [batch.column(0), pa.array(digests, pa.binary()), pa.array(packed, pa.binary()), pa.array([e[0] for e in ends], pa.int32()), pa.array([e[1] for e in ends], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "digest", "tokens", "tier", "end"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "node long, digest binary, tokens binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "node long, digest binary, tokens binary, tier int, end long")
 
 
 def _tokens(raw: bytes) -> np.ndarray:
@@ -235,7 +246,7 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b, overlap, n_a, n_b of the distinct pairs; only sets that are needed move."""
-    pairs = stage(pairs.distinct(), "jac-pairs")
+    pairs, sets = stage(pairs.distinct(), "jac-pairs"), sets.select("node", "tokens")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     if pairs.count() <= SMALL // 2:
         wanted = F.broadcast(wanted)
@@ -297,10 +308,10 @@ def _links(docs: DataFrame, reps: DataFrame, repeated: bool, percent: int, words
     wanted = stage(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(heavy_nodes).distinct(), "jac-wanted")
     if wanted.count() <= SMALL:
         wanted = F.broadcast(wanted)
-    sets = _sets(docs.join(wanted, "doc_id", "left_semi"), words)
+    sets = _sets(docs.join(wanted, "doc_id", "left_semi"), words, lambda s: _end(s, *known.value, percent))
     if repeated:  # one set per node, the one that reps tells the size of
-        sets = sets.groupBy("node").agg(F.min(F.struct("digest", "tokens")).alias("s")).select("node", "s.digest", "s.tokens")
-    sets = stage(sets.select("node", "tokens"), "jac-sets")
+        sets = sets.groupBy("node").agg(F.min(F.struct("digest", "tokens", "tier", "end")).alias("s")).select("node", "s.*")
+    sets = stage(sets.select("node", "tokens", "tier", "end"), "jac-sets")
     rest = stage(_listed(_heavy_members(members, b, percent)), "jac-rest")
     first = rest
     star = rest.where("node <> centre").selectExpr("centre AS a", "node AS b")
@@ -323,8 +334,10 @@ def _links(docs: DataFrame, reps: DataFrame, repeated: bool, percent: int, words
     placed = stage(first.join(sketches, "node"), "jac-placed")
     differ = " + ".join(f"bit_count(x.s{i} ^ y.s{i})" for i in range(SKETCH_LONGS))
     bound = f"100 * (x.n + y.n - ({differ})) >= {percent} * (x.n + y.n + ({differ}))"
-    possible = f"100 * least(x.most, y.most) >= {percent} * (x.n + y.n - least(x.most, y.most))"
-    open_ = placed.where("core").alias("x").join(placed.alias("y"), F.expr(f"x.token = y.token AND x.component <> y.component AND (x.node < y.node OR NOT y.core) AND {near} AND {possible} AND {bound}"))
+    # `most` holds for the one whose prefix ends first: what it has there would be in the other's prefix too
+    first_end = "struct(x.tier, x.end, x.node) < struct(y.tier, y.end, y.node)"
+    possible = f"100 * x.most >= {percent} * (x.n + y.n - x.most)"
+    open_ = placed.where("core").alias("x").join(placed.alias("y"), F.expr(f"x.token = y.token AND x.component <> y.component AND {first_end} AND {near} AND {possible} AND {bound}"))
     last = _checked(open_.selectExpr("least(x.node, y.node) AS a", "greatest(x.node, y.node) AS b"), sets)
     return stage(found.union(last.where(linked).select("a", "b")), "jac-links")
 
@@ -333,9 +346,10 @@ def _heavy_members(members: DataFrame, b: int, percent: int) -> DataFrame:
     """token, node, n, most, core of the members of heavy lists that may have links which light lists don't show.
 
     All pairs of light lists are checked, so a link that they don't show shares heavy shingles only. It shares SHARED of a prefix: sets
-    with fewer heavy ones there are done (sets of up to b, which have subsets instead, stay). And it shares at most
-    `most`, what is left without a set's own light prefix. With light parts of p and q and s shared ones, a link of 80 % needs
-    p + q <= s / 4; in general at least one of two is `core`, its light part being within half of what both may have.
+    with fewer heavy ones there are done (sets of up to b, which have subsets instead, stay). And where x's prefix ends no
+    later than y's in their order, it shares at most `most`, what is left of x without its own light prefix: a shingle from there that
+    y held would be in y's prefix, and its light list would have shown the pair. y's light prefix may reach further and says nothing
+    of x. With a light part of p and s shared ones, a link of 80 % needs p <= s / 4; in general x is `core`.
     """
     need = f"((n * {percent} + 99) div 100)"
     of_partner = f"(({need} * {percent} + 99) div 100)"
@@ -343,7 +357,7 @@ def _heavy_members(members: DataFrame, b: int, percent: int) -> DataFrame:
     heavy = members.where(F.col("df") > LIGHT)
     counted = heavy.join(heavy.groupBy("node").agg(F.count("*").alias("heavy")), "node").where(f"n <= {b} OR heavy >= least({SHARED}, {of_partner})")
     rows = counted.withColumn("light", F.greatest(light, F.lit(0).cast("long"))).withColumn("most", F.col("n") - F.col("light"))
-    return rows.select("token", "node", "n", "most", F.expr(f"2 * {percent} * light <= {100 - percent} * most").alias("core"))
+    return rows.select("token", "node", "n", "most", F.expr(f"{percent} * light <= {100 - percent} * most").alias("core"))
 
 
 def _listed(rows: DataFrame) -> DataFrame:
@@ -355,7 +369,7 @@ def _listed(rows: DataFrame) -> DataFrame:
 
 
 def _sketches(sets: DataFrame) -> DataFrame:
-    """node and the parities of its shingles' numbers in 64 * SKETCH_LONGS hash buckets, as longs.
+    """node, where its prefix ends, and the parities of its shingles' numbers in 64 * SKETCH_LONGS hash buckets, as longs.
 
     Where two sketches differ, the sets differ: common shingles cancel out, so as many bits differ as shingles at most.
     """
@@ -367,9 +381,9 @@ def _sketches(sets: DataFrame) -> DataFrame:
             for i, raw in enumerate(batch.column(1).to_pylist()):
                 at = (mix(_tokens(raw)) % np.uint64(64 * SKETCH_LONGS)).astype(np.int64)
                 out[i] = np.packbits(np.bincount(at, minlength=64 * SKETCH_LONGS) & 1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[:, i]) for i in range(SKETCH_LONGS))], ["node", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *(pa.array(out[:, i]) for i in range(SKETCH_LONGS))], ["node", "tier", "end", *names])
 
-    return sets.select("node", "tokens").mapInArrow(rows, ", ".join(["node long", *(f"{c} long" for c in names)]))
+    return sets.select("node", "tokens", "tier", "end").mapInArrow(rows, ", ".join(["node long, tier int, end long", *(f"{c} long" for c in names)]))
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:

@@ -3,10 +3,11 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from placeflow.llm.jaccard import jaccard_components
+from placeflow.llm.jaccard import COUNTED, jaccard_components, shingle_sets
 from placeflow.llm.line_dedup import LineIndex, dedup_lines
 from placeflow.llm.suffix_dedup import dedup_suffixes
 from placeflow.llm.window_dedup import dedup_windows
@@ -91,6 +92,32 @@ def test_jaccard_hot_groups(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute.jaccard(rows)
 
 
+def test_jaccard_prefixes_of_different_reach(spark):
+    """1 and 2 link, but the prefix of 2 holds its own shingles and four of base, that of 1 only shingles of base, most of them in no other prefix."""
+    rng = random.Random(7)
+
+    def counted(start, n):
+        """start and n words more, each closing a shingle that is counted."""
+        out = list(start)
+        while len(out) < len(start) + n:
+            out.append(f"c{rng.randrange(10**9)}")
+            raw = " ".join(out[-5:]).encode()
+            if len(out) >= 5 and shingle_sets(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0][0] >= COUNTED * 2**64:
+                out.pop()
+        return out
+
+    own = lambda n: [f"p{rng.randrange(10**9)}" for _ in range(n)]
+    base = counted([], 174)
+    families = [counted(base[:8], 100) for _ in range(7)]  # purer than 1 and 2 in the lists of base's first four shingles
+    rows = [(1, " ".join(base)), (2, " ".join(base + own(42)))]
+    rows += [(100 * (j + 1) + i, " ".join(f + own(1))) for j, f in enumerate(families) for i in range(10)]
+    for i in range(90):  # makes all of base and the families but those four more frequent than they are
+        rows.append((5000 + i, " ".join([*base[4:], *own(5), *(w for f in families for w in [*f[4:], *own(5)]), *own(300)])))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(frame(spark, rows, 5)).collect()}
+    want = brute.jaccard(rows)
+    assert want[2] == (212, 1) and got == want
+
+
 def test_rows_without_id_and_repeated_ids(spark):
     long = " ".join(f"w{i}" for i in range(60))
     rows = [(None, long), (None, None), (5, long), (5, long), (6, long), (5, None)]
