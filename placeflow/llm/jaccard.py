@@ -118,7 +118,8 @@ def boundary(counts: dict[int, int], percent: int = PERCENT) -> int:
 
 def _bucketed(found: Iterator[tuple[np.ndarray, np.ndarray]], buckets: int, count: bool) -> Iterator[pa.RecordBatch]:
     """Packs (tokens, nodes) by bucket. A token that is already repeated in the buffer goes to its bucket once with its number; when
-    members are asked for, they go to a bucket of their own choosing, marked as repeated: so no bucket grows with a hot token."""
+    members are asked for, the token goes there without one (kind 2), and its members to a bucket of their own choosing (kind 1): so no
+    bucket grows with a hot token. Kind 0 is a token's number or its single member."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def flush() -> pa.RecordBatch:
@@ -129,19 +130,21 @@ def _bucketed(found: Iterator[tuple[np.ndarray, np.ndarray]], buckets: int, coun
         head = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
         n = np.diff(np.append(head, len(tokens)))
         many = np.repeat(n > 1, n)
-        parts = [(tokens[head], np.where(n > 1, -1, nodes[head]) if not count else n, tokens[head])]
-        if not count and many.any():
-            parts.append((tokens[many], nodes[many], mix(tokens[many] ^ nodes[many].astype(np.uint64))))
+        if count:
+            parts = [(0, tokens[head], n, tokens[head])]
+        else:
+            one, more = head[n == 1], head[n > 1]
+            parts = [(0, tokens[one], nodes[one], tokens[one]), (2, tokens[more], nodes[more], tokens[more]), (1, tokens[many], nodes[many], mix(tokens[many] ^ nodes[many].astype(np.uint64)))]
         out: list[list] = [[], [], [], []]
-        for kind, (t, v, by) in enumerate(parts):
+        for kind, t, v, by in parts:
             at = (mix(by) >> np.uint64(8)) % np.uint64(buckets)
             order = np.argsort(at, kind="stable")
             cuts = np.searchsorted(at[order], np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(cuts)).tolist():
                 own = order[cuts[b] : cuts[b + 1]]
-                for column, value in zip(out, (b, bool(kind), t[own].tobytes(), v[own].astype(np.int64).tobytes()), strict=True):
+                for column, value in zip(out, (b, kind, t[own].tobytes(), v[own].astype(np.int64).tobytes()), strict=True):
                     column.append(value)
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.bool_()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], ["bucket", "apart", "tokens", "nodes"])
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], ["bucket", "kind", "tokens", "nodes"])
 
     total = 0
     for tokens, nodes in found:
@@ -154,7 +157,7 @@ def _bucketed(found: Iterator[tuple[np.ndarray, np.ndarray]], buckets: int, coun
         yield flush()
 
 
-_PACKED = "bucket int, apart boolean, tokens binary, nodes binary"
+_PACKED = "bucket int, kind int, tokens binary, nodes binary"
 
 
 def _pack(docs: DataFrame, select: Callable[[np.ndarray], np.ndarray], buckets: int, words: int, count: bool) -> DataFrame:
@@ -180,25 +183,26 @@ def _heavy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _unpacked(batches: Iterator[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    tokens, nodes, apart = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+    tokens, nodes, kinds = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int8)]
     for rows in batches:
-        for t, v, a in zip(rows["tokens"], rows["nodes"], rows["apart"], strict=True):
+        for t, v, k in zip(rows["tokens"], rows["nodes"], rows["kind"], strict=True):
             tokens.append(np.frombuffer(t, np.uint64))
             nodes.append(np.frombuffer(v, np.int64))
-            apart.append(np.full(len(nodes[-1]), a))
-    return np.concatenate(tokens), np.concatenate(nodes), np.concatenate(apart)
+            kinds.append(np.full(len(nodes[-1]), k, np.int8))
+    return np.concatenate(tokens), np.concatenate(nodes), np.concatenate(kinds)
 
 
 def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """token, node of tokens that are not alone: those marked as repeated, and those that meet another here."""
-    tokens, nodes, apart = _unpacked(batches)
+    tokens, nodes, kinds = _unpacked(batches)
+    apart = kinds == 1
     yield pd.DataFrame({"token": tokens[apart].view(np.int64), "node": nodes[apart]})
-    tokens, nodes = tokens[~apart], nodes[~apart]
+    tokens, nodes, kinds = tokens[~apart], nodes[~apart], kinds[~apart]
     if len(tokens):
         order = np.argsort(tokens, kind="stable")
-        tokens, nodes = tokens[order], nodes[order]
+        tokens, nodes, kinds = tokens[order], nodes[order], kinds[order]
         same = np.append(False, tokens[1:] == tokens[:-1])
-        keep = (same | np.append(same[1:], False)) & (nodes >= 0)
+        keep = (same | np.append(same[1:], False)) & (kinds == 0)
         yield pd.DataFrame({"token": tokens[keep].view(np.int64), "node": nodes[keep]})
 
 

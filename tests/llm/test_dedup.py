@@ -118,6 +118,16 @@ def test_jaccard_prefixes_of_different_reach(spark):
     assert want[2] == (212, 1) and got == want
 
 
+def test_jaccard_negative_ids(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(1, 11):
+        text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+        rows += [(-i, text), (i, text + " more")]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(frame(spark, rows, 8)).collect()}
+    assert got == brute.jaccard(rows) and all(got[i][1] == -i for i in range(1, 11))
+
+
 def test_rows_without_id_and_repeated_ids(spark):
     long = " ".join(f"w{i}" for i in range(60))
     rows = [(None, long), (None, None), (5, long), (5, long), (6, long), (5, None)]
