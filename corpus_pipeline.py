@@ -33,15 +33,25 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies; one row of a doc_id."""
+    """The document with the smallest doc_id of each group of near copies; different rows of one doc_id are documents of their own."""
     release(spark)
+    if not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return _keep_one_of_repeated_ids(docs)
     found = stage(jaccard_components(docs).where("doc_id IS NOT NULL").select("doc_id", "component_id"), "pipe-near")
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    repeated = not found.groupBy("doc_id").count().where("count > 1").isEmpty()
-    kept = docs.join(F.broadcast(gone) if gone.count() <= SMALL else gone, "doc_id", "left_anti").select(*docs.columns)
-    if not repeated:
-        return kept
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+    return docs.join(F.broadcast(gone) if gone.count() <= SMALL else gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def _keep_one_of_repeated_ids(docs: DataFrame) -> DataFrame:
+    """The same where a doc_id repeats: equal rows are one document, and of near copies the first by doc_id and digests stays."""
+    cells = [F.coalesce(F.sha2(F.col(c).cast("string").cast("binary"), 256), F.lit("-")) for c in ("text", *(c for c in docs.columns if c != "text"))]
+    rows = docs.where("doc_id IS NOT NULL").withColumn("digest", F.concat(*cells))
+    # numbers are fixed once written; which row has which one decides nothing
+    keys = stage(rows.select("doc_id", "digest").distinct().withColumn("node", F.monotonically_increasing_id()), "pipe-nodes")
+    numbered = stage(rows.join(keys, ["doc_id", "digest"]).dropDuplicates(["node"]), "pipe-rows")
+    found = jaccard_components(numbered.select(F.col("node").alias("doc_id"), "text")).select(F.col("doc_id").alias("node"), "component_id")
+    first = keys.join(found, "node").groupBy("component_id").agg(F.min(F.struct("doc_id", "digest", "node")).alias("s")).select("s.node")
+    return numbered.join(first, "node", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,3 +38,18 @@ def test_stages(spark, tmp_path):
     assert ids["n-gram Jaccard join"] - ids["benchmark decontamination"] == {300}
     last = at["mixing sources to target weights"]
     assert {r["doc_id"] for r in last} <= ids["benchmark decontamination"] and all(1 <= r["copies"] <= 3 and r["taken"] == r["copies"] * r["size"] for r in last)
+
+
+def test_near_copies_with_repeated_ids(spark):
+    rng = random.Random(6)
+    text = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    a, b, c, d = text(60), text(60), text(60), text(60)
+    kept = [(5, a, "en"), (5, b, "en"), (-3, d, "de"), (7, None, "en"), (7, "", "en"), (7, "", "de"), (None, a, "en"), (None, a, "en")]
+    gone = [(5, a, "en"), (5, a, "de"), (6, a + " more", "en"), (8, b + " more", "en"), (4, d, "en"), (7, None, "en")]
+    rows = [*kept, *gone, (9, c, "en"), (9, c + " more", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = [tuple(r) for r in pipeline.keep_one_of_near_copies(spark, docs, "").collect()]
+    texts = lambda some: sorted(((r[0], r[1]) for r in some if r[0] != 9), key=str)
+    assert texts(got) == texts(kept) and sum(r[0] == 9 for r in got) == 1
+    again = [tuple(r) for r in pipeline.keep_one_of_near_copies(spark, docs.repartition(3, "lang"), "").collect()]
+    assert sorted(again, key=str) == sorted(got, key=str)
