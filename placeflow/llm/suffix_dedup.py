@@ -1,8 +1,8 @@
 """Suffix-array dedup over bytes: strings of 50 bytes that repeat across documents, by bucket-pointer refinement.
 
 Suffixes are dealt to partitions by the minimiser of the 50 bytes that they start with. In a partition they start in buckets of
-equal 8-byte beginnings; a bucket is refined by sorting on the bucket numbers that its suffixes have 8 bytes later, which doubles the depth, and
-the new numbers serve the next round. Only buckets with several suffixes are sorted again.
+equal 16-byte beginnings; a bucket is refined by sorting on the bucket numbers that its suffixes have 16 bytes later, which doubles
+the depth, and the new numbers serve the next, deeper round. Only buckets that several documents share are refined.
 """
 
 from __future__ import annotations
@@ -13,10 +13,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from ._text import Rolling, mix, spans
-from .superkmer import Runs, Units, covered, repeats, stretches, with_marks
+from .superkmer import Runs, Units, covered, dedup, sorted_places, stretches
 
 #: Bytes of a string, of the pieces whose hashes are minimisers, and of the first buckets.
-WINDOW, GRAM, FIRST = 50, 12, 8
+WINDOW, GRAM, FIRST = 50, 12, 16
 _ROLL = Rolling(seed=50)
 
 
@@ -28,63 +28,91 @@ def cut_bytes(buf: np.ndarray, offs: np.ndarray) -> Units:
     return Units(buf, at, at + 1, grams, offs)
 
 
-def refine(text: np.ndarray, depth_left: np.ndarray, depth: int = WINDOW, first: int = FIRST) -> np.ndarray:
-    """A number for every position with at least depth bytes left: equal numbers for equal strings of depth bytes; -1 elsewhere.
-
-    depth_left: bytes from each position to the end of its string.
+def numbered(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts equal pairs (a, b) together, and along it a number for each distinct pair."""
+    order, head = sorted_places(mix(a * np.uint64(0x9E3779B97F4A7C15) + mix(b)))
+    x, y = a[order], b[order]
+    new = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])) if len(order) else head
+    if (new & ~head).any():  # pairs that look alike by hash: sorted by value
+        run = np.cumsum(head) - 1
+        clash = np.zeros(int(run[-1]) + 1, bool)
+        clash[run[new & ~head]] = True
+        at = np.flatnonzero(clash[run])
+        order[at] = order[at][np.lexsort((y[at], x[at], run[at]))]
+        x, y = a[order], b[order]
+        new = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
+    return order, np.cumsum(new) - 1
+
+
+def _shared(order: np.ndarray, number: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which places of the order are in a bucket of several documents."""
+    if not len(order):
+        return np.zeros(0, bool)
+    head = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
+    own = doc[order]
+    return (np.minimum.reduceat(own, head) != np.maximum.reduceat(own, head))[number - number[0]]
+
+
+def refine(text: np.ndarray, at: np.ndarray, doc: np.ndarray, depth: int = WINDOW, first: int = FIRST) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes among those that start at `at` and share depth bytes with one of another document: their indices, bucket by bucket, and numbers of their buckets.
+
+    Every suffix has depth bytes at least. The first buckets hold equal beginnings of `first` bytes, two words of a machine. A bucket's suffixes
+    are sorted by the buckets that they are in some bytes later, as many as the buckets are deep, so depth doubles; the new numbers
+    serve the next round, for the suffixes and for those that later offsets point to. Suffixes that are alone or among their own
+    document's are out at once, and with them all that only they point to.
     """
-    n = len(text)
-    bucket = np.full(n, -1, np.int64)
-    at = np.flatnonzero(depth_left >= first)
-    gram = np.zeros(len(at), np.uint64)
-    for k in range(first):
-        gram = (gram << np.uint64(8)) | text[at + k].astype(np.uint64)
-    order = np.argsort(gram, kind="stable")
-    _number(bucket, at[order], gram[order], np.zeros(len(at), np.int64), 0)
-    have, following = first, n
-    while have < depth:
+    word = np.ndarray(max(0, len(text)), "<u8", np.append(text, np.zeros(8, np.uint8)).tobytes(), strides=(1,))
+    half = first // 2
+    order, number = numbered(word[at], word[at + half])
+    live = order[_shared(order, number, doc)]
+    bucket = np.full(len(text), -1, np.int64)
+    have = first
+    while have < depth and len(live):
         step = min(have, depth - have)
-        alive = np.flatnonzero((bucket >= 0) & (depth_left >= have + step))
-        short = (bucket >= 0) & (depth_left < have + step)
-        bucket_of = bucket[alive]
-        # a bucket's number is free to change where its suffixes differ in the bucket `step` bytes on; lone suffixes stay as they are
-        count = np.bincount(bucket_of, minlength=int(bucket.max(initial=-1)) + 1)
-        many = count[bucket_of] > 1
-        at = alive[many]
-        own, later = bucket[at], bucket[at + step]
-        order = np.lexsort((later, own))
-        bucket = bucket.copy()
-        following = _number(bucket, at[order], later[order], own[order], max(following, int(bucket.max(initial=-1)) + 1))
-        bucket[short] = -1
+        starts = at[live]
+        if have == first:
+            # all places whose first bucket some later round asks for
+            need, deep = [starts], have
+            while deep < depth:
+                ahead = min(deep, depth - deep)
+                need += [x + ahead for x in need]
+                deep += ahead
+            places = _places(need, len(text))
+            order, number = numbered(word[places], word[places + half])
+            bucket[places[order]] = number
+        ask = [starts]
+        if have + step < depth:
+            ask.append(starts + min(have + step, depth - have - step))
+        places = _places(ask, len(text))
+        order, number = numbered(bucket[places].view(np.uint64), bucket[places + step].view(np.uint64))
+        bucket[places[order]] = number  # read above, so a round sees the numbers of the round before
         have += step
-        if len(bucket) and bucket.max(initial=-1) > 4 * n + 1024:  # numbers stay small, so that counting by them is cheap
-            used = bucket >= 0
-            bucket[used] = np.unique(bucket[used], return_inverse=True)[1]
-            following = n
-    return bucket
+        of = bucket[starts]
+        order = np.argsort(of, kind="stable")
+        dense = np.cumsum(np.append(True, of[order][1:] != of[order][:-1])) - 1
+        live = live[order[_shared(order, dense, doc[live])]]
+    if not len(live):
+        return live, live
+    of = bucket[at[live]]
+    return live, np.cumsum(np.append(True, of[1:] != of[:-1])) - 1
 
 
-def _number(bucket: np.ndarray, at: np.ndarray, key: np.ndarray, own: np.ndarray, base: int) -> int:
-    """Gives sorted suffixes numbers from base on, one for each (own, key); the next free number."""
-    if not len(at):
-        return base
-    number = np.cumsum(np.append(0, (key[1:] != key[:-1]) | (own[1:] != own[:-1])))
-    bucket[at] = base + number
-    return base + int(number[-1]) + 1
+def _places(parts: list[np.ndarray], size: int) -> np.ndarray:
+    seen = np.zeros(size, bool)
+    for x in parts:
+        seen[x] = True
+    return np.flatnonzero(seen)
 
 
 def decide_bytes(runs: Runs, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    size = np.diff(runs.offs)
-    left = np.repeat(runs.offs[1:], size) - np.arange(len(runs.text))
-    bucket = refine(runs.text, left, window)
     string = np.repeat(np.arange(len(runs.doc)), runs.windows)
     at = spans(np.zeros(len(runs.doc), np.int64), runs.windows)
-    own, doc = bucket[runs.offs[string] + at], runs.doc[string]
-    order = np.argsort(own, kind="stable")
-    head = np.flatnonzero(np.append(True, own[order][1:] != own[order][:-1]))
-    low = np.repeat(np.minimum.reduceat(doc[order], head), np.diff(np.append(head, len(order))))
-    removed = np.zeros(len(own), bool)
-    removed[order] = doc[order] > low
+    doc = runs.doc[string]
+    live, bucket = refine(runs.text, runs.offs[string] + at, doc, window)
+    removed = np.zeros(len(string), bool)
+    if len(live):
+        head = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        removed[live] = doc[live] > np.minimum.reduceat(doc[live], head)[bucket]
     return stretches(removed, string, at)
 
 
@@ -105,4 +133,4 @@ def dedup_suffixes(docs: DataFrame) -> DataFrame:
     Rows without doc_id keep all and remove nothing elsewhere; rows that share a doc_id don't remove from each other. An empty
     table gives an empty result.
     """
-    return with_marks(docs, repeats(docs, cut_bytes, decide_bytes, WINDOW, GRAM), _finish, "n_bytes long, n_removed long, n_spans long, spans string, kept_sha256 string")
+    return dedup(docs, cut_bytes, decide_bytes, WINDOW, GRAM, _finish, "n_bytes long, n_removed long, n_spans long, spans string, kept_sha256 string")

@@ -15,13 +15,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._stage import input_partitions
+from ._stage import bound_batches, input_partitions, stage
 from ._text import Rolling, blocks, mix, spans, utf8
 
-_BUFFER, _PART, _PIECE = 16 << 20, 3 << 20, 1 << 20
+#: Bytes of strings that a task gathers before it deals them out, of the input for each bucket, and of a block of texts.
+_BUFFER, _PART, _PIECE = 32 << 20, 6 << 20, 1 << 19
+#: Documents whose ids may be broadcast.
+SMALL = 1 << 20
 _ROLL = Rolling(seed=3)
 
 
@@ -38,9 +41,9 @@ class Units(NamedTuple):
 class Runs(NamedTuple):
     """Strings of consecutive windows with one minimiser."""
 
-    minimiser: np.ndarray
+    minimiser: np.ndarray  #: 32 bits of its hash; strings with others are only looked at together
     doc: np.ndarray
-    row: np.ndarray  #: hash of the row's text, which tells rows with one doc_id apart
+    row: np.ndarray  #: tells rows with one doc_id apart, 0 where ids don't repeat
     start: np.ndarray  #: unit in its text where the first window starts
     windows: np.ndarray
     offs: np.ndarray  #: where each string starts in text, and the end
@@ -51,22 +54,26 @@ class Runs(NamedTuple):
         return Runs(*(x[at] for x in self[:5]), np.concatenate([[0], np.cumsum(size)]), self.text[spans(self.offs[at], size)])
 
     def pack(self) -> bytes:
-        parts = [np.array([len(self.doc)]), *(x.view(np.int64) for x in self[:3]), self.start, self.windows, np.diff(self.offs)]
-        return zstandard.compress(b"".join(np.ascontiguousarray(x, np.int64).tobytes() for x in parts) + self.text.tobytes(), 1)
+        """Differences of what grows along a text, bytes of one rank together: most are zeros."""
+        numbers = np.stack([np.diff(self.doc, prepend=0), np.diff(self.row, prepend=0), np.diff(self.start, prepend=0), self.windows, np.diff(self.offs)])
+        planes = np.ascontiguousarray(numbers, np.int64).view(np.uint8).reshape(5, -1, 8).transpose(0, 2, 1)
+        return zstandard.compress(b"".join((np.array([len(self.doc)]).tobytes(), self.minimiser.tobytes(), planes.tobytes(), self.text.tobytes())), 1)
 
 
 def unpack(blobs: list[bytes]) -> Runs:
-    parts: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(6)]
-    texts = [np.zeros(0, np.uint8)]
+    parts: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(5)]
+    minimisers, texts = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint8)]
     for blob in blobs:
         raw = zstandard.decompress(blob)
         n = int(np.frombuffer(raw, np.int64, 1)[0])
-        head = np.frombuffer(raw, np.int64, 6 * n, 8).reshape(6, n)
-        for part, x in zip(parts, head, strict=True):
-            part.append(x)
-        texts.append(np.frombuffer(raw, np.uint8, offset=8 + 48 * n))
-    minimiser, doc, row, start, windows, size = (np.concatenate(x) for x in parts)
-    return Runs(minimiser.view(np.uint64), doc, row, start, windows, np.concatenate([[0], np.cumsum(size)]), np.concatenate(texts))
+        minimisers.append(np.frombuffer(raw, np.uint32, n, 8))
+        planes = np.frombuffer(raw, np.uint8, 40 * n, 8 + 4 * n).reshape(5, 8, n)
+        numbers = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.int64).reshape(5, n)
+        for part, x, steps in zip(parts, numbers, (True, True, True, False, False), strict=True):
+            part.append(np.cumsum(x) if steps else x)
+        texts.append(np.frombuffer(raw, np.uint8, offset=8 + 44 * n))
+    doc, row, start, windows, size = (np.concatenate(x) for x in parts)
+    return Runs(np.concatenate(minimisers), doc, row, start, windows, np.concatenate([[0], np.cumsum(size)]), np.concatenate(texts))
 
 
 def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
@@ -90,7 +97,7 @@ def cut_runs(units: Units, doc: np.ndarray, row: np.ndarray, window: int, gram:
     first, own = at[head], own[head]
     begin = units.at[first]
     size = units.end[first + windows + window - 2] - begin
-    return Runs(value[head], doc[own], row[own], first - units.first[own], windows, np.concatenate([[0], np.cumsum(size)]), units.buf[spans(begin, size)])
+    return Runs((mix(value[head]) >> np.uint64(32)).astype(np.uint32), doc[own], row[own], first - units.first[own], windows, np.concatenate([[0], np.cumsum(size)]), units.buf[spans(begin, size)])
 
 
 def equal_bytes(text: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -104,22 +111,33 @@ def equal_bytes(text: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray
     return out
 
 
+def sorted_places(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts equal keys together, and where a new key may begin in it: places whose high bits differ from those before.
+
+    High bits and places are sorted as one number, which is several times faster than sorting places by key.
+    """
+    bits = np.uint64(max(1, int(len(key) - 1).bit_length()))
+    both = np.sort((key >> bits << bits) | np.arange(len(key), dtype=np.uint64))
+    high = both >> bits
+    return (both & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), np.append(True, high[1:] != high[:-1]) if len(key) else np.zeros(0, bool)
+
+
 def exact_groups(key: np.ndarray, text: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order, and for each item in that order the number of its group: items are together if their bytes are equal."""
-    order = np.argsort(key, kind="stable")
-    k, a, s = key[order], at[order], size[order]
-    head = np.append(True, k[1:] != k[:-1]) if len(k) else np.zeros(0, bool)
+    order, head = sorted_places(key)
+    a, s = at[order], size[order]
     group = np.cumsum(head) - 1
-    lead = np.flatnonzero(head)[group] if len(k) else group
-    rest = np.flatnonzero(lead != np.arange(len(k)))
+    lead = np.flatnonzero(head)[group] if len(order) else group
+    rest = np.flatnonzero(lead != np.arange(len(order)))
     same = s[rest] == s[lead[rest]]
     same[same] = equal_bytes(text, a[rest][same], a[lead[rest]][same], s[rest][same])
-    if not same.all():  # two strings with one hash: told apart by what they hold
-        for g in np.unique(group[rest[~same]]).tolist():
-            members, names = np.flatnonzero(group == g), {}
-            for i in members.tolist():
-                name = text[a[i] : a[i] + s[i]].tobytes()
-                group[i] = names.setdefault(name, g if not names else len(k) + i)
+    if not same.all():  # strings that look alike by hash: told apart by what they hold
+        clash = np.zeros(len(order), bool)
+        clash[lead[rest[~same]]] = True
+        clash = clash[lead]
+        names: dict[tuple[int, bytes], int] = {}
+        for i in np.flatnonzero(clash).tolist():
+            group[i] = names.setdefault((int(group[i]), text[a[i] : a[i] + s[i]].tobytes()), len(order) + len(names))
         again = np.argsort(group, kind="stable")
         order, group = order[again], group[again]
         group = np.cumsum(np.append(True, group[1:] != group[:-1])) - 1
@@ -157,7 +175,13 @@ def pack_marks(doc: np.ndarray, row: np.ndarray, start: np.ndarray, windows: np.
 _SENT = "bucket int, done boolean, doc_id long, row long, blob binary"
 
 
-def _send(docs: DataFrame, cut: Callable[[np.ndarray, np.ndarray], Units], window: int, gram: int, buckets: int) -> DataFrame:
+def row_mark(docs: DataFrame) -> Column:
+    """What tells rows apart that share a doc_id: a hash of the text, or 0 if no doc_id repeats."""
+    ids = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count()
+    return F.lit(0).cast("long") if ids.where("count > 1").isEmpty() else F.xxhash64("text")
+
+
+def _send(docs: DataFrame, row: Column, cut: Callable[[np.ndarray, np.ndarray], Units], window: int, gram: int, buckets: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Runs] = []
 
@@ -165,9 +189,10 @@ def _send(docs: DataFrame, cut: Callable[[np.ndarray, np.ndarray], Units], windo
             runs = Runs(*(np.concatenate([x[i] for x in held]) for i in range(5)), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(x.offs) for x in held]))]), np.concatenate([x.text for x in held]))
             held.clear()
             stay, gone = _settled(runs)
-            bucket = (mix(runs.minimiser[stay]) % np.uint64(buckets)).astype(np.int64)
-            order = stay[np.lexsort((runs.minimiser[stay], bucket))]
-            cuts = np.searchsorted(np.sort(bucket), np.arange(buckets + 1))
+            bucket = (mix(runs.minimiser[stay].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")  # in a bucket strings keep the order of texts, so numbers grow
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            order = stay[order]
             for b in np.flatnonzero(np.diff(cuts)).tolist():
                 yield batch([b], [False], [0], [0], [runs.pick(order[cuts[b] : cuts[b + 1]]).pack()])
             doc, row, blobs = pack_marks(runs.doc[gone], runs.row[gone], runs.start[gone], runs.windows[gone])
@@ -188,11 +213,11 @@ def _send(docs: DataFrame, cut: Callable[[np.ndarray, np.ndarray], Units], windo
         if held:
             yield from flush()
 
-    keyed = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
+    keyed = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), "text")
     return keyed.mapInArrow(rows, _SENT)
 
 
-def repeats(docs: DataFrame, cut: Callable[[np.ndarray, np.ndarray], Units], decide: Callable[[Runs], tuple[np.ndarray, np.ndarray, np.ndarray]], window: int, gram: int) -> DataFrame:
+def repeats(docs: DataFrame, row: Column, cut: Callable[[np.ndarray, np.ndarray], Units], decide: Callable[[Runs], tuple[np.ndarray, np.ndarray, np.ndarray]], window: int, gram: int) -> DataFrame:
     """doc_id, row, marks: windows of each row that also start in a document with a smaller doc_id.
 
     cut makes units of texts; decide gets strings, and returns for removed windows the string, the window in it, and how many
@@ -209,7 +234,7 @@ def repeats(docs: DataFrame, cut: Callable[[np.ndarray, np.ndarray], Units], dec
             blobs += rows.loc[~done, "blob"].tolist()
         runs = unpack(blobs)
         blobs.clear()
-        order = np.argsort(runs.minimiser, kind="stable")
+        order = sorted_places(runs.minimiser.astype(np.uint64) << np.uint64(32))[0]
         m, doc = runs.minimiser[order], runs.doc[order]
         if not len(m):
             return
@@ -230,9 +255,8 @@ def repeats(docs: DataFrame, cut: Callable[[np.ndarray, np.ndarray], Units], dec
             yield pd.DataFrame({"doc_id": doc_, "row": row_, "blob": marks})
             lo = hi
 
-    sent = _send(docs, cut, window, gram, 3 * buckets).repartition(buckets, "bucket")
-    found = sent.mapInPandas(reduce, "doc_id long, row long, blob binary")
-    return found.groupBy("doc_id", "row").agg(F.collect_list("blob").alias("marks"))
+    sent = _send(docs, row, cut, window, gram, buckets).repartitionById(buckets, F.col("bucket"))
+    return sent.mapInPandas(reduce, "doc_id long, row long, blob binary")
 
 
 def stretches(removed: np.ndarray, string: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -254,14 +278,20 @@ def covered(marks: list[bytes] | None, window: int, units: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def with_marks(docs: DataFrame, marks: DataFrame, finish: Callable[[bytes | None, list[bytes] | None], tuple], columns: str) -> DataFrame:
+def with_marks(docs: DataFrame, row: Column, marks: DataFrame, finish: Callable[[bytes | None, list[bytes] | None], tuple], columns: str) -> DataFrame:
     """docs' columns but text, and the columns that finish makes of each row's text and marks, which replace those with their names.
 
-    Texts move compressed.
+    Texts of documents without marks stay where they are, as long as the ids of the others are few enough to be broadcast; else all
+    texts move. They move compressed.
     """
     fields = [x.strip().split(" ") for x in columns.split(",")]
     rest = [c for c in docs.columns if c != "text" and c not in {f for f, _ in fields}]
     kind = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest))).schema[0].dataType.simpleString()
+    types = {"long": pa.int64(), "string": pa.string()}
+
+    def results(rows: pa.Array, found: Iterator[tuple]) -> pa.RecordBatch:
+        out = list(found)
+        return pa.RecordBatch.from_arrays([rows, *(pa.array([x[i] for x in out], types[t]) for i, (_, t) in enumerate(fields))], ["rest", *(c for c, _ in fields)])
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=1)
@@ -271,15 +301,32 @@ def with_marks(docs: DataFrame, marks: DataFrame, finish: Callable[[bytes | None
             packed = [None if no else zip_.compress(raw[a:b]) for no, a, b in zip(null, offs, offs[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(packed, pa.binary())], ["rest", "doc_id", "row", "packed"])
 
+    def unmarked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield results(batch.column(0), (finish(None if t is None else t.encode(), None) for t in batch.column(3).to_pylist()))
+
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
-        types = {"long": pa.int64(), "string": pa.string()}
         for batch in batches:
-            out = [finish(None if p is None else unzip.decompress(p), m) for p, m in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in out], types[t]) for i, (_, t) in enumerate(fields))], ["rest", *(c for c, _ in fields)])
-
-    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
-    small = keyed.mapInArrow(squeeze, f"rest {kind}, doc_id long, row long, packed binary").alias("d")
-    both = small.join(marks.alias("m"), F.expr("d.doc_id = m.doc_id AND d.row = m.row"), "left").select("d.rest", "d.packed", "m.marks")
-    out = both.mapInArrow(finished, f"rest {kind}, {columns}")
+            yield results(batch.column(0), (finish(None if p is None else unzip.decompress(p), m) for p, m in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)))
+
+    marks = stage(marks, "skm-marks")
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest"), F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), "text")
+    moved, out = keyed, None
+    ids = stage(marks.select("doc_id").distinct(), "skm-ids")
+    if ids.count() <= SMALL:
+        moved = keyed.join(F.broadcast(ids), "doc_id", "left_semi").select("rest", "doc_id", "row", "text")
+        out = keyed.join(F.broadcast(ids), "doc_id", "left_anti").select("rest", "doc_id", "row", "text").mapInArrow(unmarked, f"rest {kind}, {columns}")
+    small = moved.mapInArrow(squeeze, f"rest {kind}, doc_id long, row long, packed binary").alias("d")
+    listed = marks.groupBy("doc_id", "row").agg(F.collect_list("blob").alias("marks")).alias("m")
+    both = small.join(listed, F.expr("d.doc_id = m.doc_id AND d.row = m.row"), "left").select("d.rest", "d.packed", "m.marks")
+    marked = both.mapInArrow(finished, f"rest {kind}, {columns}")
+    out = marked if out is None else out.unionByName(marked)
     return out.select(*(F.col(f"rest.`{c}`").alias(c) for c in rest), *(c for c, _ in fields))
+
+
+def dedup(docs: DataFrame, cut: Callable[[np.ndarray, np.ndarray], Units], decide: Callable[[Runs], tuple[np.ndarray, np.ndarray, np.ndarray]], window: int, gram: int, finish: Callable[[bytes | None, list[bytes] | None], tuple], columns: str) -> DataFrame:
+    """docs with the columns that finish makes of each text and of its windows that also start in a smaller doc_id."""
+    bound_batches(docs.sparkSession)
+    row = row_mark(docs)
+    return with_marks(docs, row, repeats(docs, row, cut, decide, window, gram), finish, columns)

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from ._text import Rolling, combine, spans, split_words
-from .superkmer import Runs, Units, covered, exact_groups, repeats, stretches, with_marks
+from .superkmer import Runs, Units, covered, dedup, exact_groups, stretches
 
 #: Words of a window and of the pieces whose hashes are minimisers.
 WINDOW, GRAM = 13, 3
@@ -59,4 +59,4 @@ def dedup_windows(docs: DataFrame) -> DataFrame:
     keep all and remove nothing elsewhere; rows that share a doc_id don't remove from each other. An empty table gives an empty
     result.
     """
-    return with_marks(docs, repeats(docs, cut_words, decide_words, WINDOW, GRAM), _finish, "n_words long, n_removed long, kept string, kept_sha256 string")
+    return dedup(docs, cut_words, decide_words, WINDOW, GRAM, _finish, "n_words long, n_removed long, kept string, kept_sha256 string")
