@@ -31,6 +31,11 @@ def cell_dna(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(diversity.cell_diversity(_points(spark, sf_dir), min_support=10))
 
 
+def brand_dna(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with brands as cells, for small tables."""
+    return _rounded(diversity.cell_diversity(_points(spark, sf_dir).withColumn("cell", F.col("city")), min_support=5))
+
+
 def cell_dna_by_city(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = diversity.cell_diversity(_points(spark, sf_dir), "city", min_support=2)
     return _rounded(cells.select("city", "cell", "poi_count", "cat_richness", "cat_hill_q2", "top_cat_share", "dominant_category", "sample_coverage"))
