@@ -2,6 +2,7 @@
 
 import itertools
 import math
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from placeflow.llm.interpolation import learn_weights, score_texts
+from placeflow.llm.interpolation import CONTEXTS, learn_weights, score_texts
 from placeflow.llm.langid import identify_language, learn_languages
 from placeflow.llm.toxicity import learn_toxicity, score_toxicity
 
@@ -106,3 +107,47 @@ def test_toxicity_odd_rows(spark):
     assert {r["predicted"] for r in score_toxicity(docs, one).collect()} == {0}
     assert score_toxicity(docs.limit(0), one).count() == 0
     assert score_toxicity(docs, learn_toxicity(train.limit(0), labels)).count() == 11
+
+
+@pytest.mark.parametrize("which", ["odd", "table"])
+def test_mixture_score(spark, sf, which):
+    """The score of every text, token by token, with counts made by plain dictionaries and weights that are given."""
+    rows = ODD if which == "odd" else [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    rng = np.random.default_rng(1)
+    weights = rng.dirichlet([1, 1, 1], CONTEXTS)
+    held = lambda d: brute.crc(d, 5) == 1
+    texts = {d: [*brute.words(brute.low(t)), None] for d, t in rows}
+    one, two, begins = Counter(), Counter(), 0
+    for d, tokens in texts.items():
+        if not held(d):
+            one.update(tokens)
+            two.update(zip(["begin", *tokens], tokens))
+            begins += 1
+    total, kinds = sum(one.values()), len(one)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = score_texts(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, weights).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        want = 0.0
+        for before, token in zip(["begin", *texts[r["doc_id"]]], texts[r["doc_id"]]):
+            seen = begins if before == "begin" else one[before]
+            w = weights[min(math.ceil(math.log2(seen + 1)), CONTEXTS - 1)]
+            want += math.log10(w[0] * (two[before, token] / seen if seen else 0.0) + w[1] * one[token] / total + w[2] / (kinds + 1))
+        assert math.isclose(r["score"], want, rel_tol=1e-9), r
+
+
+def test_learnt_weights_by_plain_em():
+    """Binned EM against EM over single tokens whose estimates are those of their bins."""
+    rng = np.random.default_rng(2)
+    seen = pd.DataFrame({"bucket": rng.integers(1, 4, 200), "n": rng.integers(1, 9, 200), "two": rng.choice([0.0, 0.1, 0.5], 200), "one": rng.random(200) / 50})
+    got = learn_weights(seen, 99, 30)
+    for b in (1, 2, 3):
+        tokens = [(r.two, r.one, 0.01) for r in seen[seen["bucket"] == b].itertuples() for _ in range(r.n)]
+        w = [0.3, 0.5, 0.2]
+        for _ in range(30):
+            shares = np.zeros(3)
+            for f in tokens:
+                p = np.array(f) * w
+                shares += p / p.sum()
+            w = shares / len(tokens)
+        assert np.allclose(got[b], w, atol=1e-5)
