@@ -6,8 +6,9 @@ import io
 
 import numpy as np
 
-#: Neighbours a node keeps, candidates looked at when it is inserted, nodes inserted and queries searched together.
-LINKS, BUILD_BEAM, BATCH = 20, 40, 512
+#: Neighbours a node keeps, candidates looked at when it is inserted, nodes inserted and queries searched together, and nodes that a
+#: search takes from a layer to the next.
+LINKS, BUILD_BEAM, BATCH, ENTRIES = 20, 40, 512, 8
 
 
 class Hnsw:
@@ -28,10 +29,10 @@ class Hnsw:
         while lo < n:
             hi = min(n, lo + min(BATCH, max(8, lo)))
             new = np.arange(lo, hi)
-            near = np.zeros(hi - lo, np.int64)
+            ids = np.zeros((hi - lo, 1), np.int64)
             for level in range(len(upto) - 1, -1, -1):
                 here = new[new < upto[level]]
-                near, ids, sims = graph._beam(graph.vectors[new], near, level, BUILD_BEAM if len(here) else 1, lo)
+                ids, sims = graph._beam(graph.vectors[new], _best(ids, ENTRIES, sims) if level < len(upto) - 1 else ids, level, BUILD_BEAM if len(here) else ENTRIES, lo)
                 if len(here):
                     graph._connect(level, here, ids[: len(here)], sims[: len(here)])
             lo = hi
@@ -87,17 +88,19 @@ class Hnsw:
         out[:, : picked.shape[1]] = picked
         return out
 
-    def _beam(self, queries: np.ndarray, entry: np.ndarray, level: int, beam: int, known: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Best node, beam ids and similarities of each query on a layer, from its entry node, among the first `known` nodes."""
+    def _beam(self, queries: np.ndarray, entry: np.ndarray, level: int, beam: int, known: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Beam ids and similarities of each query on a layer, from its entry nodes, among the first `known` nodes."""
         x, links, q = self.vectors, self.layers[level], len(queries)
         size = min(self.upto[level], known or self.upto[level])
         ids, sims = np.full((q, beam), -1, np.int32), np.full((q, beam), -2, np.float32)
-        ids[:, 0], sims[:, 0] = entry, np.einsum("nd,nd->n", x[entry], queries)
-        fresh = np.zeros((q, beam), bool)
-        fresh[:, 0] = True
+        k = min(beam, entry.shape[1])
+        entry = np.where((entry[:, :k] >= 0) & (entry[:, :k] < size), entry[:, :k], size)
+        ids[:, :k] = entry
+        sims[:, :k] = np.where(entry < size, np.einsum("nkd,nd->nk", x[np.where(entry < size, entry, 0)], queries), -2)
+        fresh = sims > -1.5
         seen = np.zeros((q, size + 1), bool)  # the last column takes what is no node
         seen[:, size] = True
-        seen[np.arange(q), entry] = True
+        seen[np.arange(q)[:, None], entry] = True
         active = np.arange(q)
         while len(active):
             at = np.where(fresh[active], sims[active], -3).argmax(axis=1)
@@ -118,25 +121,29 @@ class Hnsw:
             sims[active] = np.take_along_axis(all_sims, top, 1)
             ids[active] = np.take_along_axis(all_ids, top, 1)
             fresh[active] = np.take_along_axis(all_fresh, top, 1) & (sims[active] > -1.5)
-        best = sims.argmax(axis=1)
         ids[sims < -1.5] = -1
-        return ids[np.arange(q), best].astype(np.int64), ids, sims
+        return ids, sims
 
     def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids (-1: none) and similarities of about the beam nearest nodes of each query."""
         queries = queries.astype(np.float32)
-        near = np.zeros(len(queries), np.int64)
+        near = np.zeros((len(queries), 1), np.int64)
         for level in range(len(self.upto) - 1, 0, -1):
-            near = self._beam(queries, near, level, 1)[0]
-        return self._beam(queries, near, 0, min(beam, self.upto[0]))[1:]
+            near = self._beam(queries, near, level, min(ENTRIES, self.upto[level]))[0]
+        return self._beam(queries, near, 0, min(beam, self.upto[0]))
 
     def to_bytes(self) -> bytes:
+        """The layers; vectors are kept elsewhere."""
         out = io.BytesIO()
-        np.savez(out, vectors=self.vectors, upto=self.upto, **{f"layer{i}": x for i, x in enumerate(self.layers)})
+        np.savez(out, upto=self.upto, **{f"layer{i}": x for i, x in enumerate(self.layers)})
         return out.getvalue()
 
     @classmethod
-    def from_bytes(cls, raw: bytes) -> Hnsw:
+    def from_bytes(cls, raw: bytes, vectors: np.ndarray) -> Hnsw:
         z = np.load(io.BytesIO(raw))
         upto = z["upto"].tolist()
-        return cls(z["vectors"], [z[f"layer{i}"] for i in range(len(upto))], upto)
+        return cls(vectors.astype(np.float32), [z[f"layer{i}"] for i in range(len(upto))], upto)
+
+
+def _best(ids: np.ndarray, n: int, sims: np.ndarray) -> np.ndarray:
+    return np.take_along_axis(ids, np.argsort(-sims, axis=1)[:, :n], 1).astype(np.int64)

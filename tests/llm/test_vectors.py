@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from placeflow.llm import vector_dedup
 from placeflow.llm.hnsw import Hnsw
 from placeflow.llm.vector_dedup import COSINE, vector_links
 
@@ -21,7 +22,7 @@ def expected(rows):
 def test_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/embeddings.parquet")
     rows = [(r["vec_id"], r["embedding"]) for r in docs.select("vec_id", "embedding").collect()]
-    assert {r[0]: tuple(r)[1:] for r in vector_links(docs).collect()} == expected(rows)
+    assert {r[0]: tuple(r)[1:4] for r in vector_links(docs).collect()} == expected(rows)
 
 
 def test_groups_and_odd_rows(spark):
@@ -32,7 +33,7 @@ def test_groups_and_odd_rows(spark):
     rows += [(4000 + i, (hub + rng.normal(0, 0.12, 16)).tolist()) for i in range(500)]
     rows += [(9000, None), (9001, []), (9002, [0.0] * 16), (9003, [1.0] * 15 + [None]), (9004, [float("nan")] + [1.0] * 15), (9005, [float("inf")] * 16), (9006, (hub * 1e-200).tolist())]
     docs = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<double>, node string, shard int").repartition(4)
-    got = {r[0]: tuple(r)[1:] for r in vector_links(docs).collect()}
+    got = {r[0]: tuple(r)[1:4] for r in vector_links(docs).collect()}
     want = expected([(i, v) for i, v in rows if i != 9006] + [(9006, hub.tolist())])
     assert {k: v[1:] for k, v in got.items()} == {k: v[1:] for k, v in want.items()}
     true, mine = sum(v[0] for v in want.values()), sum(v[0] for v in got.values())
@@ -48,7 +49,35 @@ def test_recall(n):
     rng = np.random.default_rng(n)
     v = rng.normal(size=(n, 24))
     v /= np.linalg.norm(v, axis=1, keepdims=True)
-    graph = Hnsw.from_bytes(Hnsw.build(v).to_bytes())
+    graph = Hnsw.from_bytes(Hnsw.build(v).to_bytes(), v)
     ids, _ = graph.search(v, 64)
     top = np.argsort(-(v @ v.T), axis=1)[:, : min(5, n)]
     assert np.mean([len(set(a) & set(b)) / len(b) for a, b in zip(ids.tolist(), top.tolist())]) > 0.9
+
+
+def clustered(n, clusters, dim=48, seed=0):
+    """Tight clusters among others: members of one link, those of different ones don't."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(clusters, dim))
+    v = centres[np.arange(n) % clusters] + rng.normal(0, 0.12, (n, dim))
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def test_clusters_are_searched_by_the_graph(monkeypatch):
+    """8,000 rows in 40 clusters: nearly all links come from graph searches, not from a look at the whole shard."""
+    v = clustered(8000, 40)
+    graph = Hnsw.build(v)
+    beam, recall = vector_dedup._audit(graph, v)
+    asked, whole = v[:400], []
+    split = np.array_split
+    monkeypatch.setattr(np, "array_split", lambda left, n: whole.append(len(left)) or split(left, n))
+    found = sum(len(q) for q, _ in vector_dedup._near(graph, v, asked, beam))
+    assert recall >= vector_dedup.RECALL and found >= 0.98 * (asked @ v.T >= COSINE).sum() > 400
+    assert sum(whole) < 0.1 * len(asked)
+
+
+def test_repeated_null_ids_and_lengths(spark):
+    """Rows that share a vec_id are rows of their own; a row without id has no component; vectors of other lengths don't link."""
+    rows = [(5, [1.0, 0.0]), (5, [1.0, 0.01]), (3, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (4, [0.0, 1.0])]
+    got = sorted((tuple(r)[:4] for r in vector_links(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()), key=str)
+    assert got == sorted([(5, 2, 5, True), (5, 2, 5, True), (3, 0, 3, True), (None, 2, 5, True), (4, 0, 4, True)], key=str), got
