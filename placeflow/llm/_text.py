@@ -44,7 +44,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 1 << 18) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches whose texts hold about size bytes, each with its bytes and offsets; a row is never cut."""
     for batch in batches:
         buf, offs = utf8(batch.column(batch.schema.get_field_index(column)))
