@@ -29,7 +29,7 @@ def first_source(sources: Column) -> Column:
 
 def provider_counts(points: DataFrame) -> DataFrame:
     """dataset, n over all sources of all points; points without sources don't count."""
-    return points.select(F.explode("sources")["dataset"].alias("dataset")).groupBy("dataset").agg(F.count("*").alias("n"))
+    return points.select(F.explode("sources").alias("s")).groupBy(F.col("s.dataset").alias("dataset")).agg(F.count("*").alias("n"))
 
 
 def taxonomy_coverage(points: DataFrame, columns: list[str]) -> DataFrame:

@@ -1,18 +1,45 @@
-"""Lineage cuts for loops."""
+"""Lineage cuts for loops: tables in the folder that driver and executors share, deleted when the loop is over."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL: list[str] = []
 
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder of the cluster; a local session without one gets a temporary folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not context.master.startswith("local["):
-            shared = df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoints-"))
-    return df.checkpoint(eager=True)
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where unset, a cluster's warehouse if machines share it, or a temporary folder of a local session."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if "://" not in warehouse or warehouse.startswith("file:"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        return warehouse.rstrip("/") + "/_rounds"
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="spark-rounds-"))
+    return _LOCAL[0]
+
+
+@contextmanager
+def rounds(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A function that writes a frame and reads it back. At the end all tables but the last are deleted: the last is the result."""
+    made: list[str] = []
+
+    def cut(df: DataFrame) -> DataFrame:
+        path = f"{shared_folder(spark)}/round-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        made.append(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield cut
+    finally:
+        for path in map(spark.sparkContext._jvm.org.apache.hadoop.fs.Path, made[:-1]):
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

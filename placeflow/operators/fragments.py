@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .cut import cut
+from .cut import rounds
 
 
 def symmetric(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -19,17 +19,19 @@ def area_components(assigned: DataFrame, edges: DataFrame, most_rounds: int = 60
 
     A round takes the smallest label among neighbours and then that label's own label, so distances double with rounds.
     """
-    a, b = assigned.select(F.col("unit").alias("u"), F.col("fua").alias("fu")), assigned.select(F.col("unit").alias("v"), F.col("fua").alias("fv"))
-    inside = cut(edges.join(a, "u").join(b, "v").where("fu = fv").select("u", "v"))
-    label = cut(assigned.select("unit", "fua", F.col("unit").alias("component")))
-    for _ in range(most_rounds):
-        low = inside.join(label.select(F.col("unit").alias("v"), "component"), "v").groupBy("u").agg(F.min("component").alias("low"))
-        near = label.join(low.withColumnRenamed("u", "unit"), "unit", "left").select("unit", "fua", F.least("component", F.coalesce("low", "component")).alias("to"), "component")
-        jump = near.select(F.col("unit").alias("to"), F.col("to").alias("further"))
-        moved = cut(near.join(jump, "to", "left").select("unit", "fua", F.least("to", F.coalesce("further", "to")).alias("component"), (F.least("to", F.coalesce("further", "to")) != F.col("component")).alias("moved")))
-        label = moved.drop("moved")
-        if moved.where("moved").isEmpty():
-            return label
+    with rounds(assigned.sparkSession) as cut:
+        a, b = assigned.select(F.col("unit").alias("u"), F.col("fua").alias("fu")), assigned.select(F.col("unit").alias("v"), F.col("fua").alias("fv"))
+        inside = cut(edges.join(a, "u").join(b, "v").where("fu = fv").select("u", "v"))
+        label = cut(assigned.select("unit", "fua", F.col("unit").alias("component")))
+        for _ in range(most_rounds):
+            low = inside.join(label.select(F.col("unit").alias("v"), "component"), "v").groupBy("u").agg(F.min("component").alias("low"))
+            near = label.join(low.withColumnRenamed("u", "unit"), "unit", "left").select("unit", "fua", F.least("component", F.coalesce("low", "component")).alias("to"), "component")
+            jump = near.select(F.col("unit").alias("to"), F.col("to").alias("further"))
+            to = F.least("to", F.coalesce("further", "to"))
+            moved = cut(near.join(jump, "to", "left").select("unit", "fua", to.alias("component"), (to != F.col("component")).alias("moved")))
+            label = moved.drop("moved")
+            if moved.where("moved").isEmpty():
+                return label
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
@@ -45,3 +47,47 @@ def main_components(components: DataFrame) -> DataFrame:
     order = W.partitionBy("fua").orderBy(F.desc("n"), "component")
     sizes = components.groupBy("fua", "component").agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(order)).where("r = 1")
     return components.join(sizes.select("fua", "component"), ["fua", "component"], "left_semi")
+
+
+def cut_off(components: DataFrame) -> DataFrame:
+    """unit, fua of the units outside their area's main component."""
+    return components.join(main_components(components).select("unit"), "unit", "left_anti").select("unit", "fua")
+
+
+def adjacency(polygons: DataFrame) -> DataFrame:
+    """u, v both ways: units whose polygons share a corner. polygons has unit and corners, an array of (x, y) structs.
+
+    Corners meet by an equal-value join on their coordinates, so borders must be drawn with the same corners on both sides.
+    """
+    points = polygons.select("unit", F.explode("corners").alias("p")).select("unit", "p.x", "p.y").distinct()
+    one, two = points.toDF("u", "x", "y"), points.toDF("v", "x", "y")
+    return one.join(two, ["x", "y"]).where("u <> v").select("u", "v").distinct()
+
+
+def repair(od: DataFrame, assigned: DataFrame, edges: DataFrame, cores: DataFrame | None = None, most_rounds: int = 10) -> DataFrame:
+    """unit, fua after cut-off components have gone to the adjacent area that they exchange most with; islands stay.
+
+    An area keeps the component that holds a core (the largest of them; ties: the smallest unit), or its largest. Flows count
+    between adjacent units, both ways. All components move at once, ties go to the larger area id, and rounds end when nothing moves.
+    edges are symmetric.
+    """
+    both = od.where("origin <> dest").select(F.col("origin").alias("u"), F.col("dest").alias("v"), "flow")
+    both = both.union(both.select("v", "u", "flow")).groupBy("u", "v").agg(F.sum("flow").alias("flow"))
+    seeds = cores.select("unit", F.lit(1).alias("core")) if cores is not None else assigned.select("unit", F.lit(0).alias("core"))
+    with rounds(od.sparkSession) as cut:
+        links = cut(edges.select("u", "v").distinct().join(both, ["u", "v"], "left").select("u", "v", F.coalesce("flow", F.lit(0.0)).alias("flow")))
+        now = cut(assigned.where("fua IS NOT NULL").select("unit", "fua"))
+        for _ in range(most_rounds):
+            parts = cut(area_components(now, links.select("u", "v")))
+            sizes = parts.join(seeds, "unit", "left").groupBy("fua", "component").agg(F.max(F.coalesce("core", F.lit(0))).alias("core"), F.count("*").alias("n"))
+            rank = F.row_number().over(W.partitionBy("fua").orderBy(F.desc("core"), F.desc("n"), "component"))
+            loose = parts.join(sizes.withColumn("rank", rank).where("rank > 1").select("fua", "component"), ["fua", "component"], "left_semi")
+            target = now.select(F.col("unit").alias("v"), F.col("fua").alias("other"))
+            offers = loose.select(F.col("unit").alias("u"), "fua", "component").join(links, "u").join(target, "v").where("other <> fua")
+            best = offers.groupBy("fua", "component", "other").agg(F.sum("flow").alias("flow")).groupBy("fua", "component").agg(F.max(F.struct("flow", "other"))["other"].alias("to"))
+            moves = cut(loose.join(best, ["fua", "component"]).select("unit", "to"))
+            done = moves.isEmpty()
+            now = cut(now.join(moves, "unit", "left").select("unit", F.coalesce("to", "fua").alias("fua")))
+            if done:
+                break
+        return now

@@ -10,16 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.grid import mesh_code
 from ..operators import checks, diversity, flows, fragments, zones
 from ..streaming.presence import presence_by_window
-
-_DOUBLES = ("double", "float")
-
-
-def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def _rounded(df: DataFrame) -> DataFrame:
-    return df.select(*((F.round(c, 6) + F.lit(0.0)).alias(c) if kind in _DOUBLES else F.col(c) for c, kind in df.dtypes))
+from ._tables import read as _read
+from ._tables import rounded as _rounded
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
