@@ -31,7 +31,7 @@ def qualifier(name: Column) -> Column:
 
 def wildcard_fits(pattern: Column, name: Column) -> Column:
     """Whether the whole name fits a pattern in which ? stands for any one letter."""
-    return name.rlike(F.concat(F.lit("^"), F.replace(pattern, F.lit("?"), F.lit(".")), F.lit("$")))
+    return F.regexp_like(name, F.concat(F.lit("^"), F.replace(pattern, F.lit("?"), F.lit(".")), F.lit("$")))
 
 
 def qualifier_fits(qual: Column, area: Column) -> Column:
