@@ -15,12 +15,11 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._stage import input_partitions, stage
+from ._stage import bound_batches, input_partitions, stage
 from ._text import Rolling, blocks, combine, mix, split_words
 from .components import components
 
@@ -39,7 +38,7 @@ SHARED = 4
 SKETCH_LONGS = 16
 #: Rows of a table of ids that may be broadcast.
 SMALL = 1 << 20
-_BUFFER = 1_000_000
+_BUFFER = 400_000
 _ROLL = Rolling(seed=10, fold_case=True)
 
 
@@ -169,41 +168,46 @@ def _pack(docs: DataFrame, select: Callable[[np.ndarray], np.ndarray], buckets:
 
         yield from _bucketed(found(), buckets, count)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, _PACKED).repartition(buckets, "bucket")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, _PACKED).repartitionById(buckets, F.col("bucket"))
 
 
-def _heavy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tokens of more than LIGHT documents; a partition holds all blobs of its buckets."""
     tokens, n = _unpacked(batches)[:2]
-    order = np.argsort(tokens, kind="stable")
+    order = np.argsort(tokens)
     tokens, n = tokens[order], n[order]
     head = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])) if len(tokens) else np.zeros(0, np.int64)
     total = np.add.reduceat(n, head) if len(head) else n
-    yield pd.DataFrame({"token": tokens[head][total > LIGHT].view(np.int64), "df": total[total > LIGHT]})
+    yield pa.RecordBatch.from_arrays([pa.array(tokens[head][total > LIGHT].view(np.int64)), pa.array(total[total > LIGHT])], ["token", "df"])
 
 
-def _unpacked(batches: Iterator[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     tokens, nodes, kinds = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int8)]
     for rows in batches:
-        for t, v, k in zip(rows["tokens"], rows["nodes"], rows["kind"], strict=True):
+        for kind, t, v in zip(*(rows.column(c).to_pylist() for c in ("kind", "tokens", "nodes")), strict=True):
             tokens.append(np.frombuffer(t, np.uint64))
             nodes.append(np.frombuffer(v, np.int64))
-            kinds.append(np.full(len(nodes[-1]), k, np.int8))
+            kinds.append(np.full(len(nodes[-1]), kind, np.int8))
     return np.concatenate(tokens), np.concatenate(nodes), np.concatenate(kinds)
 
 
-def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """token, node of tokens that are not alone: those marked as repeated, and those that meet another here."""
+
+    def rows(tokens: np.ndarray, nodes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(tokens), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[lo : lo + 50_000].view(np.int64)), pa.array(nodes[lo : lo + 50_000])], ["token", "node"])
+
     tokens, nodes, kinds = _unpacked(batches)
     apart = kinds == 1
-    yield pd.DataFrame({"token": tokens[apart].view(np.int64), "node": nodes[apart]})
+    yield from rows(tokens[apart], nodes[apart])
     tokens, nodes, kinds = tokens[~apart], nodes[~apart], kinds[~apart]
     if len(tokens):
-        order = np.argsort(tokens, kind="stable")
+        order = np.argsort(tokens)
         tokens, nodes, kinds = tokens[order], nodes[order], kinds[order]
         same = np.append(False, tokens[1:] == tokens[:-1])
         keep = (same | np.append(same[1:], False)) & (kinds == 0)
-        yield pd.DataFrame({"token": tokens[keep].view(np.int64), "node": nodes[keep]})
+        yield from rows(tokens[keep], nodes[keep])
 
 
 def shingle_features(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -218,12 +222,12 @@ def shingle_features(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def _sets(docs: DataFrame, words: int, end: Callable[[np.ndarray], tuple[int, int]]) -> DataFrame:
-    """node, its set as 6-byte hashes (enough to compare two sets), and where its prefix ends."""
+    """node, its set as sorted hashes, and where its prefix ends."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, buf, offs in blocks(batches):
             sets = shingle_sets(buf, offs, words)
-            packed = [(s >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in sets]
+            packed = [s.tobytes() for s in sets]
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             ends = [end(s) for s in sets]
             columns = [batch.column(0), pa.array(digests, pa.binary()), pa.array(packed, pa.binary()), pa.array([e[0] for e in ends], pa.int32()), pa.array([e[1] for e in ends], pa.int64())]
@@ -233,9 +237,7 @@ def _sets(docs: DataFrame, words: int, end: Callable[[np.ndarray], tuple[int, in
 
 
 def _tokens(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+    return np.frombuffer(raw, np.uint64)
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,6 +269,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
     that share a doc_id are one node: its set is that of the row with the smallest digest, and each row keeps its own n_shingles. Texts
     are read whole; an empty table gives an empty result; columns other than doc_id and text are ignored.
     """
+    bound_batches(docs.sparkSession)
     features = stage(shingle_features(docs, words), "jac-features")
     nodes = features.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("digest", "n")).alias("s")).select("doc_id", "s.digest", "s.n")
     classes = nodes.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
@@ -285,7 +288,7 @@ def _links(docs: DataFrame, reps: DataFrame, repeated: bool, percent: int, words
     buckets = input_partitions(docs, 8 << 20, 12)
     edge = np.uint64(int(COUNTED * (1 << 64)))
     counted = _pack(docs, lambda s: s[: np.searchsorted(s, edge)], buckets, words, True)
-    heavy = stage(counted.mapInPandas(_heavy, "token long, df long"), "jac-heavy")
+    heavy = stage(counted.mapInArrow(_heavy, "token long, df long"), "jac-heavy")
     top = heavy.orderBy(F.desc("df"), "token").limit(MOST_HEAVY).toPandas()
     tokens = top["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tokens)
@@ -298,7 +301,7 @@ def _links(docs: DataFrame, reps: DataFrame, repeated: bool, percent: int, words
             own.append(_prefix(s, *known.value, percent))
         return np.concatenate(own)
 
-    shared = _pack(docs, select, buckets, words, False).mapInPandas(_shared, "token long, node long")
+    shared = _pack(docs, select, buckets, words, False).mapInArrow(_shared, "token long, node long")
     lists = stage(shared.join(reps, "node").select("token", "node", "n"), "jac-lists")
     sizes = lists.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     members = stage(lists.join(sizes, "token").select("token", "node", "n", "df").distinct(), "jac-members")
