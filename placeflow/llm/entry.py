@@ -49,7 +49,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector_links(_read(spark, sf_dir, "embeddings"))
+    return vector_links(_read(spark, sf_dir, "embeddings")).drop("audit_recall")
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,5 +96,90 @@ FROM marked GROUP BY doc_id
 """
 
 
+#: Windows of 13 words; the rule of op3.
+_OP3 = r"""
+WITH word AS MATERIALIZED (
+  SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents)),
+win AS (
+  SELECT doc_id, i, concat_ws(' ', w, {leads}) AS k FROM word
+  WINDOW o AS (PARTITION BY doc_id ORDER BY i) QUALIFY lead(w, 12) OVER o IS NOT NULL),
+low AS (SELECT k, min(doc_id) AS lo FROM win GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, i + n AS i FROM win JOIN low USING (k), range(0, 13) t(n) WHERE doc_id > lo),
+kept AS (
+  SELECT word.doc_id, count(*) AS n_words, count(g.i) AS n_removed, string_agg(w, ' ' ORDER BY word.i) FILTER (WHERE g.i IS NULL) AS kept
+  FROM word LEFT JOIN gone g ON word.doc_id = g.doc_id AND word.i = g.i GROUP BY word.doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN kept USING (doc_id)
+""".replace("{leads}", ", ".join(f"lead(w, {n}) OVER o" for n in range(1, 13)))
+
+#: Strings of 50 bytes, as hexadecimal digits; the rule of op7.
+_OP7 = """
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+block AS MATERIALIZED (
+  SELECT doc_id, base, substr(x, 2 * base + 1, 226) AS x FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2, 64)) AS base FROM d)),
+win AS (SELECT doc_id, base + n AS i, substr(x, 2 * n + 1, 100) AS k FROM (SELECT doc_id, base, x, unnest(range(0, 64)) AS n FROM block) WHERE length(x) >= 2 * n + 100),
+low AS (SELECT k, min(doc_id) AS lo FROM win GROUP BY k HAVING min(doc_id) < max(doc_id)),
+start AS (SELECT doc_id, i FROM win JOIN low USING (k) WHERE doc_id > lo),
+gone AS (SELECT DISTINCT doc_id, i + n AS i FROM start, range(0, 50) t(n)),
+runs AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE before IS NULL OR before < i - 1) AS n_spans FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM gone) GROUP BY doc_id),
+byte AS (
+  SELECT doc_id, substr(x, 2 * n + 1, 2) AS b, base + n AS i FROM (SELECT doc_id, base, x, unnest(range(0, 64)) AS n FROM block WHERE doc_id IN (SELECT doc_id FROM runs)) WHERE length(x) > 2 * n),
+kept AS (SELECT doc_id, string_agg(b, '' ORDER BY i) AS x FROM byte ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, (length(d.x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN n_removed IS NULL THEN d.x ELSE coalesce(kept.x, '') END)) AS kept_sha256
+FROM d LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+#: All pairs of vectors; the rule of op5.
+_OP5 = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+s AS MATERIALIZED (
+  SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS n FROM v
+  WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS MATERIALIZED (SELECT a.vec_id AS u, b.vec_id AS v FROM s a JOIN s b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.95),
+seen AS (SELECT vec_id, vec_id AS other FROM v UNION SELECT seen.vec_id, link.v FROM seen JOIN link ON other = u)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM (SELECT vec_id, min(other) AS component_id FROM seen GROUP BY 1)
+LEFT JOIN (SELECT u AS vec_id, count(*) AS n_links FROM link GROUP BY 1) USING (vec_id)
+"""
+
+#: Documents in the order of a digest of their id, until their source's target is met; the rule of op6 and of this library's thresholds.
+_OP6 = r"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
+r AS (SELECT *, 3.0::DOUBLE * source_size / w AS ratio FROM s),
+level AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(3.0::DOUBLE * source_size) OVER below, 0.0))::DOUBLE / (sum(w) OVER () - coalesce(sum(w) OVER below, 0.0)) AS level FROM r
+  WINDOW below AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+final AS (SELECT level FROM level WHERE ratio > level ORDER BY ratio LIMIT 1),
+t AS (
+  SELECT source, source_size, CASE WHEN source_size = 0 THEN 0.0 ELSE least(3.0::DOUBLE * source_size, w * coalesce((SELECT level FROM final), 'inf'::DOUBLE)) END AS target FROM r),
+g AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3) ELSE 0 END::BIGINT AS whole FROM t),
+c AS (
+  SELECT d.*, g.source_size, g.target, g.whole, g.target - g.whole * g.source_size AS need, sum(size) OVER (PARTITION BY d.source ORDER BY h) AS upto, sum(size) OVER (PARTITION BY d.source, h) AS own
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+edge AS (SELECT source, min(h) AS h, min_by(upto - own, h) AS took, min_by(own, h) AS own, any_value(need) AS need FROM c WHERE upto > need GROUP BY source),
+k AS (
+  SELECT c.*, whole + CASE WHEN edge.h IS NULL OR c.h < edge.h THEN 1 WHEN c.h = edge.h AND edge.need - took > 0 AND abs(edge.need - took - edge.own) < edge.need - took THEN 1 ELSE 0 END AS copies
+  FROM c LEFT JOIN edge ON c.source IS NOT DISTINCT FROM edge.source)
+SELECT doc_id, size, source_size, target, (least(copies, 3) * size)::BIGINT AS taken FROM k
+"""
+
+#: All pairs of documents that share a shingle; the rule of op10.
+_OP10 = r"""
+WITH RECURSIVE word AS MATERIALIZED (
+  SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i, len(ws) AS words
+  FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents)),
+five AS (
+  SELECT doc_id, i, words, concat_ws(' ', w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o) AS k FROM word WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+sh AS MATERIALIZED (SELECT DISTINCT doc_id, k FROM five WHERE i <= greatest(words - 4, 1)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+met AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM sh a JOIN sh b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT u, v FROM met JOIN n x ON u = x.doc_id JOIN n y ON v = y.doc_id WHERE 100 * c >= 80 * (x.n + y.n - c)),
+both_ways AS MATERIALIZED (SELECT u, v FROM link UNION ALL SELECT v, u FROM link),
+seen AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT seen.doc_id, v FROM seen JOIN both_ways ON other = u)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM (SELECT doc_id, min(other) AS component_id FROM seen GROUP BY 1) LEFT JOIN n USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": _OP9}
+    return {"op3_window_dedup": _OP3, "op5_vector_dedup": _OP5, "op6_mix_sources": _OP6, "op7_suffix_dedup": _OP7, "op9_line_dedup": _OP9, "op10_jaccard_join": _OP10}

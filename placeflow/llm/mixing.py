@@ -56,7 +56,8 @@ def mix_to_weights(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     of their own. Rows that share a doc_id share a hash and so a decision. An empty table gives an empty result. Columns other
     than doc_id, text and source are not read, and with whole_rows those named like a new one are replaced. A source whose documents are all empty has target 0.
     """
-    h = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 64 - DIGIT_BITS * DIGITS)
+    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    h = F.conv(F.substring(digest, 1, DIGIT_BITS * DIGITS // 4), 16, 10).cast("long")
     size = word_count(F.col("text"))
     sized = stage(docs.select("doc_id", "source", size.alias("size"), h.alias("h")), "mix-sizes")
     goal = stage(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, float(most)), "mix-targets")
