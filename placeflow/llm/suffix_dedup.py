@@ -125,12 +125,12 @@ def _finish(text: bytes | None, marks: list[bytes] | None) -> tuple:
     return len(raw), int(gone.sum()), len(edge) // 2, str(edge.reshape(-1, 2).tolist()), hashlib.sha256(raw[~gone].tobytes()).hexdigest()
 
 
-def dedup_suffixes(docs: DataFrame) -> DataFrame:
+def dedup_suffixes(docs: DataFrame, **limits: int) -> DataFrame:
     """docs' columns but text, and n_bytes, n_removed, n_spans, spans (JSON pairs of start and end of the removed runs), kept_sha256.
 
     A byte goes if a string of WINDOW bytes that covers it also starts in a document with a smaller doc_id, as the input has them.
     A null text is empty; shorter texts keep all bytes. What is kept may end within a character, so it is given as bytes' digest and spans.
     Rows without doc_id keep all and remove nothing elsewhere; rows that share a doc_id don't remove from each other. An empty
-    table gives an empty result.
+    table gives an empty result. limits: see superkmer.repeats.
     """
-    return dedup(docs, cut_bytes, decide_bytes, WINDOW, GRAM, _finish, "n_bytes long, n_removed long, n_spans long, spans string, kept_sha256 string")
+    return dedup(docs, cut_bytes, decide_bytes, WINDOW, GRAM, _finish, "n_bytes long, n_removed long, n_spans long, spans string, kept_sha256 string", **limits)

@@ -23,6 +23,8 @@ from ._text import Rolling, blocks, mix, spans, utf8
 
 #: Bytes of strings that a task gathers before it deals them out, of the input for each bucket, and of a block of texts.
 _BUFFER, _PART, _PIECE = 32 << 20, 6 << 20, 1 << 19
+#: Bytes of one minimiser's strings beyond which it is split, and of packed strings that a task holds before it looks for such ones.
+HOT, HELD = 4 << 20, 24 << 20
 #: Documents whose ids may be broadcast.
 SMALL = 1 << 20
 _ROLL = Rolling(seed=3)
@@ -217,23 +219,33 @@ def _send(docs: DataFrame, row: Column, cut: Callable[[np.ndarray, np.ndarray],
     return keyed.mapInArrow(rows, _SENT)
 
 
-def repeats(docs: DataFrame, row: Column, cut: Callable[[np.ndarray, np.ndarray], Units], decide: Callable[[Runs], tuple[np.ndarray, np.ndarray, np.ndarray]], window: int, gram: int) -> DataFrame:
-    """doc_id, row, marks: windows of each row that also start in a document with a smaller doc_id.
+def single_windows(runs: Runs, cut: Callable[[np.ndarray, np.ndarray], Units], window: int) -> Runs:
+    """Every window as a string of its own, with bits of its hash in place of the minimiser's."""
+    units = cut(runs.text, runs.offs)
+    string = np.repeat(np.arange(len(runs.doc)), runs.windows)
+    at = spans(np.zeros(len(runs.doc), np.int64), runs.windows)
+    first = units.first[string] + at
+    begin = units.at[first]
+    size = units.end[first + window - 1] - begin
+    key = _ROLL.ranges(units.buf, begin, begin + size)
+    return Runs((mix(key) >> np.uint64(32)).astype(np.uint32), runs.doc[string], runs.row[string], runs.start[string] + at, np.ones(len(string), np.int64), np.concatenate([[0], np.cumsum(size)]), units.buf[spans(begin, size)])
+
+
+def _marked(doc: np.ndarray, row: np.ndarray, start: np.ndarray, windows: np.ndarray) -> pd.DataFrame:
+    doc, row, marks = pack_marks(doc, row, start, windows)
+    return pd.DataFrame({"bucket": np.full(len(doc), -1), "doc_id": doc, "row": row, "blob": marks})
+
+
+def repeats(docs: DataFrame, row: Column, cut: Callable[[np.ndarray, np.ndarray], Units], decide: Callable[[Runs], tuple[np.ndarray, np.ndarray, np.ndarray]], window: int, gram: int, hot: int = HOT, held: int = HELD) -> DataFrame:
+    """doc_id, row, blob, written to the shared folder: windows of each row that also start in a document with a smaller doc_id, in one or more parts.
 
     cut makes units of texts; decide gets strings, and returns for removed windows the string, the window in it, and how many
-    follow. A minimiser that only one document has needs no more work.
+    follow. A minimiser that only one document has needs no more work. One whose strings take more than `hot` bytes is split: its
+    windows are dealt out once more, each by its own hash, so that only equal windows must meet, of which a task sends one.
     """
     buckets = input_partitions(docs, _PART, 12)
 
-    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        blobs: list[bytes] = []
-        for rows in batches:
-            done = rows["done"].astype(bool)
-            if done.any():
-                yield rows.loc[done, ["doc_id", "row", "blob"]]
-            blobs += rows.loc[~done, "blob"].tolist()
-        runs = unpack(blobs)
-        blobs.clear()
+    def settle(runs: Runs) -> Iterator[pd.DataFrame]:
         order = sorted_places(runs.minimiser.astype(np.uint64) << np.uint64(32))[0]
         m, doc = runs.minimiser[order], runs.doc[order]
         if not len(m):
@@ -251,12 +263,62 @@ def repeats(docs: DataFrame, row: Column, cut: Callable[[np.ndarray, np.ndarray]
             hi = int(ends[j])
             own = runs.pick(order[lo:hi])
             string, at, count = decide(own)
-            doc_, row_, marks = pack_marks(own.doc[string], own.row[string], own.start[string] + at, count)
-            yield pd.DataFrame({"doc_id": doc_, "row": row_, "blob": marks})
+            yield _marked(own.doc[string], own.row[string], own.start[string] + at, count)
             lo = hi
 
+    def split(runs: Runs) -> Iterator[pd.DataFrame]:
+        lo = 0
+        while lo < len(runs.doc):
+            hi = max(lo + 1, int(np.searchsorted(runs.offs, runs.offs[lo] + (_PIECE >> 1), "right")) - 1)
+            own = single_windows(runs.pick(np.arange(lo, hi)), cut, window)
+            stay, gone = _settled(own)
+            yield _marked(own.doc[gone], own.row[gone], own.start[gone], own.windows[gone])
+            bucket = (mix(own.minimiser[stay].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            some, cuts = np.unique(bucket[order], return_index=True)
+            cuts = np.append(cuts, len(order))
+            yield pd.DataFrame({"bucket": some, "doc_id": 0, "row": 0, "blob": [own.pick(stay[order[x:y]]).pack() for x, y in zip(cuts, cuts[1:], strict=False)]})
+            lo = hi
+
+    def reduce(batches: Iterator[pd.DataFrame], splits: bool) -> Iterator[pd.DataFrame]:
+        blobs: list[bytes] = []
+        known, total = np.zeros(0, np.uint32), 0
+        for rows in batches:
+            done = rows["done"].astype(bool)
+            if done.any():
+                yield rows.loc[done, ["doc_id", "row", "blob"]].assign(bucket=-1)
+            blobs += rows.loc[~done, "blob"].tolist()
+            total += int(rows.loc[~done, "blob"].str.len().sum())
+            if splits and total > held:
+                runs = unpack(blobs)
+                known = np.union1d(known, _large(runs, hot))
+                out = np.isin(runs.minimiser, known)
+                yield from split(runs.pick(np.flatnonzero(out)))
+                blobs = [runs.pick(np.flatnonzero(~out)).pack()]
+                total = len(blobs[0]) // 2  # so it doesn't come here for every batch
+        runs = unpack(blobs)
+        blobs.clear()
+        if splits:
+            out = np.isin(runs.minimiser, np.union1d(known, _large(runs, hot)))
+            if out.any():
+                yield from split(runs.pick(np.flatnonzero(out)))
+                runs = runs.pick(np.flatnonzero(~out))
+        yield from settle(runs)
+
+    kind = "bucket int, doc_id long, row long, blob binary"
     sent = _send(docs, row, cut, window, gram, buckets).repartitionById(buckets, F.col("bucket"))
-    return sent.mapInPandas(reduce, "doc_id long, row long, blob binary")
+    first = stage(sent.mapInPandas(lambda batches: reduce(batches, True), kind), "skm-first")
+    marks, more = first.where("bucket < 0").drop("bucket"), first.where("bucket >= 0")
+    if more.isEmpty():
+        return marks
+    again = more.select("bucket", F.lit(False).alias("done"), "doc_id", "row", "blob").repartitionById(buckets, F.col("bucket"))
+    return stage(marks.union(again.mapInPandas(lambda batches: reduce(batches, False), kind).where("bucket < 0").drop("bucket")), "skm-marks")
+
+
+def _large(runs: Runs, hot: int) -> np.ndarray:
+    """Minimisers whose strings take more than `hot` bytes."""
+    some, at = np.unique(runs.minimiser, return_inverse=True)
+    return some[np.bincount(at, np.diff(runs.offs), len(some)) > hot]
 
 
 def stretches(removed: np.ndarray, string: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -310,7 +372,6 @@ def with_marks(docs: DataFrame, row: Column, marks: DataFrame, finish: Callable[
         for batch in batches:
             yield results(batch.column(0), (finish(None if p is None else unzip.decompress(p), m) for p, m in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)))
 
-    marks = stage(marks, "skm-marks")
     keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest"), F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), "text")
     moved, out = keyed, None
     ids = stage(marks.select("doc_id").distinct(), "skm-ids")
@@ -325,8 +386,8 @@ def with_marks(docs: DataFrame, row: Column, marks: DataFrame, finish: Callable[
     return out.select(*(F.col(f"rest.`{c}`").alias(c) for c in rest), *(c for c, _ in fields))
 
 
-def dedup(docs: DataFrame, cut: Callable[[np.ndarray, np.ndarray], Units], decide: Callable[[Runs], tuple[np.ndarray, np.ndarray, np.ndarray]], window: int, gram: int, finish: Callable[[bytes | None, list[bytes] | None], tuple], columns: str) -> DataFrame:
-    """docs with the columns that finish makes of each text and of its windows that also start in a smaller doc_id."""
+def dedup(docs: DataFrame, cut: Callable[[np.ndarray, np.ndarray], Units], decide: Callable[[Runs], tuple[np.ndarray, np.ndarray, np.ndarray]], window: int, gram: int, finish: Callable[[bytes | None, list[bytes] | None], tuple], columns: str, **limits: int) -> DataFrame:
+    """docs with the columns that finish makes of each text and of its windows that also start in a smaller doc_id; limits are those of repeats()."""
     bound_batches(docs.sparkSession)
     row = row_mark(docs)
-    return with_marks(docs, row, repeats(docs, row, cut, decide, window, gram), finish, columns)
+    return with_marks(docs, row, repeats(docs, row, cut, decide, window, gram, **limits), finish, columns)

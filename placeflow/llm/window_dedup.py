@@ -51,12 +51,12 @@ def _finish(text: bytes | None, marks: list[bytes] | None) -> tuple:
     return len(words), int(gone.sum()), kept.decode(), hashlib.sha256(kept).hexdigest()
 
 
-def dedup_windows(docs: DataFrame) -> DataFrame:
+def dedup_windows(docs: DataFrame, **limits: int) -> DataFrame:
     """docs' columns but text, and n_words, n_removed, kept (words joined by one space), kept_sha256, for every row.
 
     A word goes if a window of WINDOW words that covers it also starts in a document with a smaller doc_id, as the input has them.
     Null texts, and texts of white space, have no words. Texts with fewer words than a window keep them all. Rows without doc_id
     keep all and remove nothing elsewhere; rows that share a doc_id don't remove from each other. An empty table gives an empty
-    result.
+    result. limits: see superkmer.repeats.
     """
-    return dedup(docs, cut_words, decide_words, WINDOW, GRAM, _finish, "n_words long, n_removed long, kept string, kept_sha256 string")
+    return dedup(docs, cut_words, decide_words, WINDOW, GRAM, _finish, "n_words long, n_removed long, kept string, kept_sha256 string", **limits)
