@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._stage import bound_batches
+
 #: Edits per character of an item, shortest piece, and characters of items that are sent to tasks at once.
 ERROR_RATE, MIN_PIECE, BLOCK_CHARS = 0.05, 8, 4_000_000
 
@@ -85,7 +87,7 @@ class Items:
         for end, (size, uses) in self.automaton.iter(text):
             for n, offset in uses:
                 places.setdefault(n, set()).add(end + 1 - size - offset)
-        out = []
+        out: dict[int | None, tuple[int, int]] = {}
         for n, starts in places.items():
             item_id, item = self.items[n]
             k, best = budget(len(item), self.rate), None
@@ -94,13 +96,18 @@ class Items:
                 if start <= done:
                     continue
                 done = start + k
+                if not k:  # too short for edits: it must stand by itself
+                    end = start + len(item)
+                    if not text[start - 1 : start].isalnum() and not text[end : end + 1].isalnum():
+                        best = best or (0, end)
+                    continue
                 low = max(0, start - k)
                 distance, end = best_match(item, text[low : start + len(item) + 2 * k])
                 if distance <= k and (best is None or distance < best[0]):
                     best = (distance, low + end)
-            if best:
-                out.append((item_id, *best))
-        return out
+            if best and (item_id not in out or best < out[item_id]):
+                out[item_id] = best
+        return [(item_id, *x) for item_id, x in out.items()]
 
 
 @lru_cache(2)
@@ -109,16 +116,16 @@ def _automaton(items: tuple[tuple[int | None, str], ...], rate: float) -> Items:
 
 
 def item_blocks(benchmark: DataFrame, chars: int = BLOCK_CHARS) -> Iterator[tuple[tuple[int | None, str], ...]]:
-    """The items in blocks of at most about chars characters; the driver holds one block at a time."""
-    block, size = [], 0
-    for row in benchmark.where("text IS NOT NULL").select("item_id", "text").distinct().toLocalIterator():
-        text = normal(row["text"])
+    """The items in blocks of about chars characters, all texts of one item_id in one block. Each block is one pass over the documents."""
+    block, size, last = [], 0, None
+    for row in benchmark.where("text IS NOT NULL").select("item_id", "text").distinct().orderBy("item_id", "text").toLocalIterator():
+        if size >= chars and row["item_id"] != last:
+            yield tuple(block)
+            block, size = [], 0
+        text, last = normal(row["text"]), row["item_id"]
         if text:
             block.append((row["item_id"], text))
             size += len(text)
-        if size >= chars:
-            yield tuple(block)
-            block, size = [], 0
     if block:
         yield tuple(block)
 
@@ -127,9 +134,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE)
     """docs' columns and leaks, an array of (item_id, distance, end) of the items that occur in the whole text, for every row.
 
     An item occurs if some part of the text, both in lower case with white space as single blanks, is within rate edits per
-    character. Null and empty texts hold nothing; blank items never occur; items that repeat are reported once per item_id.
-    An empty table of either kind gives no leaks. A column named leaks is replaced.
+    character. Items too short for an edit occur where they stand between other than letters and digits. Null and empty texts hold
+    nothing; blank items never occur. Each item_id is reported once per row, with its best place: the smallest distance, then the first
+    end; so if its texts repeat or differ. Null item_ids count as one. An empty table of either kind gives no leaks. A column named
+    leaks is replaced. Documents are read in one pass for every BLOCK_CHARS characters of items.
     """
+    bound_batches(docs.sparkSession)
     names = [c for c in docs.columns if c != "leaks"]
     kind = "array<struct<item_id:bigint,distance:bigint,end:bigint>>"
     out = docs.select(*(F.col(f"`{c}`") for c in names), F.array().cast(kind).alias("leaks"))

@@ -11,9 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._stage import bound_batches
 from ._text import blocks, mix
 
-BUCKETS, ORDERS, MAX_LANGS = 1 << 14, (1, 2, 3), 256
+BUCKETS, ORDERS = 1 << 14, (1, 2, 3)
+#: Numbers of the product of counts and log-probabilities that are made at once.
+_AT_ONCE = 1 << 21
 
 
 @lru_cache(1)
@@ -48,6 +51,14 @@ def ngram_buckets(buf: np.ndarray, offs: np.ndarray) -> tuple[list[np.ndarray],
     return grams, begins, some[points[1:]] > some[points[:-1]]
 
 
+def sparse_counts(group: np.ndarray, grams: list[np.ndarray], begins: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Group, bucket and count of all pairs that occur, in order; group[r] is the group of row r."""
+    rows = np.arange(len(group))
+    keys = [group[np.repeat(rows, np.diff(b))] * BUCKETS + g[b[0] : b[-1]] for g, b in zip(grams, begins, strict=True)]
+    key, n = np.unique(np.concatenate(keys), return_counts=True)
+    return key // BUCKETS, key % BUCKETS, n
+
+
 @dataclass
 class LanguageModel:
     langs: list[str]
@@ -56,46 +67,44 @@ class LanguageModel:
 
     def score(self, buf: np.ndarray, offs: np.ndarray) -> tuple[list[str], np.ndarray]:
         """The likeliest language of each row (ties: first by code point) and its posterior; `und`, 0 without letters."""
-        grams, begins, known = ngram_buckets(buf, offs)
-        total = np.tile(self.log_prior, (len(offs) - 1, 1))
-        for r in np.flatnonzero(known).tolist():
-            counts = np.bincount(np.concatenate([g[b[r] : b[r + 1]] for g, b in zip(grams, begins, strict=True)]), minlength=BUCKETS)
-            used = np.flatnonzero(counts)
-            total[r] += counts[used] @ self.log_prob[used]
+        n = len(offs) - 1
         if not self.langs:
-            return ["und"] * (len(offs) - 1), np.zeros(len(offs) - 1)
+            return ["und"] * n, np.zeros(n)
+        grams, begins, known = ngram_buckets(buf, offs)
+        row, bucket, count = sparse_counts(np.arange(n), grams, begins)
+        total = np.tile(self.log_prior, (n, 1))
+        step = max(1, _AT_ONCE // len(self.langs))
+        for lo in range(0, len(row), step):  # a row that is cut adds up over slices
+            r = row[lo : lo + step]
+            head = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
+            total[r[head]] += np.add.reduceat(count[lo : lo + step, None] * self.log_prob[bucket[lo : lo + step]], head, axis=0)
         best = total.argmax(1)
         share = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
         return [self.langs[b] if k else "und" for b, k in zip(best.tolist(), known.tolist(), strict=True)], np.where(known, np.minimum(share, 1.0), 0.0)
 
 
 def learn_languages(docs: DataFrame, smoothing: float = 0.5) -> LanguageModel:
-    """Counts n-grams of all rows with a lang. The model has BUCKETS numbers per language, and at most MAX_LANGS languages."""
+    """Counts n-grams of all rows with a lang. The model has BUCKETS numbers per language, and that many counts per language come to
+    the driver; the number of languages is that of the labels."""
+    bound_batches(docs.sparkSession)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[str, np.ndarray] = {}
-        rows_of: dict[str, int] = {}
-        for rows, buf, offs in blocks(batches):
+        for rows, buf, offs in blocks(batches, size=1 << 20):
             grams, begins, _ = ngram_buckets(buf, offs)
-            for r, lang in enumerate(rows.column(0).to_pylist()):
-                into = own.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                rows_of[lang] = rows_of.get(lang, 0) + 1
-                into += np.bincount(np.concatenate([g[b[r] : b[r + 1]] for g, b in zip(grams, begins, strict=True)]), minlength=BUCKETS)
-        for lang, n in own.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1), pa.string()), pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(n[at], rows_of[lang]))], ["lang", "bucket", "n"])
+            langs, group = np.unique(np.array(rows.column(0).to_pylist(), object), return_inverse=True)
+            of, bucket, n = sparse_counts(group, grams, begins)
+            # the number of rows stands beside the buckets, as -1
+            of, bucket, n = np.append(of, np.arange(len(langs))), np.append(bucket, np.full(len(langs), -1)), np.append(n, np.bincount(group, minlength=len(langs)))
+            yield pa.RecordBatch.from_arrays([pa.array(langs[of].tolist(), pa.string()), pa.array(bucket.astype(np.int32)), pa.array(n.astype(np.int64))], ["lang", "bucket", "n"])
 
     found = docs.where("lang IS NOT NULL").select("lang", "text").mapInArrow(counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    table = found.limit(MAX_LANGS * (BUCKETS + 1) + 1).toPandas()
+    table = found.toPandas()
     langs = sorted(table["lang"].unique(), key=lambda x: x.encode())
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
     n, prior = np.zeros((BUCKETS, len(langs))), np.zeros(len(langs))
-    for k, lang in enumerate(langs):
-        own = table[table["lang"] == lang]
-        grams = own[own["bucket"] >= 0]
-        n[grams["bucket"].to_numpy(), k] = grams["n"]
-        prior[k] = own.loc[own["bucket"] < 0, "n"].sum()
+    place = table["lang"].map({x: k for k, x in enumerate(langs)}).to_numpy(np.int64)
+    bucket, count = table["bucket"].to_numpy(np.int64), table["n"].to_numpy()
+    n[bucket[bucket >= 0], place[bucket >= 0]] = count[bucket >= 0]
+    prior[place[bucket < 0]] = count[bucket < 0]
     n += smoothing
     return LanguageModel(langs, np.log(n / n.sum(0)), np.log(prior / max(prior.sum(), 1)))
 

@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._stage import stage
+from ._stage import bound_batches, stage
 from ._text import LOWER, blocks, split_words
 from .cuckoo import CuckooFilter
 
 #: Code points that a key has at least; documents that hold a dropped key at least; keys a shard's filter has about.
 MIN_CHARS, MIN_DOCS, KEYS_PER_SHARD = 20, 3, 50_000
+#: Keys that a task gathers before it deals them to shards.
+PACKED = 200_000
 
 
 def _lines(buf: np.ndarray, offs: np.ndarray, min_chars: int) -> tuple[np.ndarray, np.ndarray, list[bytes | None], np.ndarray]:
@@ -80,6 +82,7 @@ class LineIndex:
 
     @classmethod
     def build(cls, docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> LineIndex:
+        bound_batches(docs.sparkSession)
         references = stage(line_references(docs, min_chars), "line-refs")
         counted = stage(_counts(references, min_docs), "line-counts")
         shards = max(4, -(-counted.count() // KEYS_PER_SHARD))
@@ -114,7 +117,7 @@ class LineIndex:
     def drops(self) -> DataFrame:
         """doc_id, keys: the keys that each document loses. Lines are probed shard by shard; hits are looked up exactly."""
         packed = self.references.select("key", "doc_id", _shard(self.shards).alias("shard")).mapInArrow(_packed, "shard int, keys binary, docs binary")
-        hits = packed.join(self.filters, "shard").select("keys", "docs", "cells").mapInArrow(_probed, "key binary, doc_id long")
+        hits = packed.join(self.filters, "shard").select("keys", "docs", "cells", "shard").mapInArrow(_probed, "key binary, doc_id long")
         counts = self.counts.select("key", "last_doc")
         return hits.join(counts, "key").where("doc_id <> last_doc").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
@@ -142,26 +145,36 @@ def _updated(held: pd.DataFrame, changes: pd.DataFrame) -> pd.DataFrame:
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per shard and batch with all its keys: a hot line never makes a hot row."""
-    for batch in batches:
-        keys, docs, at = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
+    """One row per shard with the keys of many batches: a hot line never makes a hot row, and a filter is sent to few rows."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def flush() -> pa.RecordBatch:
+        keys, docs, at = (np.concatenate([x[i] for x in held]) for i in range(3))
+        held.clear()
         order = np.argsort(at, kind="stable")
         some, cuts = np.unique(at[order], return_index=True)
         cuts = np.append(cuts, len(order))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(some, pa.int32()),
-                pa.array([b"".join(keys[i] for i in order[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()),
-                pa.array([docs[order[a:b]].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()),
-            ],
-            ["shard", "keys", "docs"],
-        )
+        parts = [order[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([keys[p].tobytes() for p in parts], pa.binary()), pa.array([docs[p].tobytes() for p in parts], pa.binary())], ["shard", "keys", "docs"])
+
+    total = 0
+    for batch in batches:
+        held.append((_halves(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)))
+        total += batch.num_rows
+        if total >= PACKED:
+            yield flush()
+            total = 0
+    if total:
+        yield flush()
 
 
 def _probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: tuple[int, CuckooFilter] | None = None
     for batch in batches:
-        for raw, docs, cells in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            hit = np.flatnonzero(CuckooFilter.from_bytes(cells).contains(np.frombuffer(raw, np.uint64).reshape(-1, 2)))
+        for raw, docs, cells, shard in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if known is None or known[0] != shard:
+                known = (shard, CuckooFilter.from_bytes(cells))
+            hit = np.flatnonzero(known[1].contains(np.frombuffer(raw, np.uint64).reshape(-1, 2)))
             yield pa.RecordBatch.from_arrays([pa.array([raw[16 * i : 16 * i + 16] for i in hit.tolist()], pa.binary()), pa.array(np.frombuffer(docs, np.int64)[hit], pa.int64())], ["key", "doc_id"])
 
 

@@ -1,4 +1,5 @@
 import random
+import re
 from collections import defaultdict
 
 from placeflow.llm.decontaminate import best_match, budget, find_leaks, normal, pieces
@@ -73,8 +74,8 @@ def test_leaks(spark):
     rng = random.Random(2)
     words = [f"word{i}" for i in range(400)]
     text = lambda n: " ".join(rng.choice(words) for _ in range(n))
-    items = [(i, text(rng.randrange(3, 40))) for i in range(12)] + [(50, None), (51, " "), (52, "Tiny"), (53, text(10)), (53, text(10))]
-    rows = [(1, None), (2, ""), (3, text(5000))]
+    items = [(i, text(rng.randrange(3, 40))) for i in range(12)] + [(50, None), (51, " "), (52, "Tiny"), (53, text(10)), (53, text(10)), (54, items_twice := text(9)), (54, items_twice.upper() + "x"), (55, "o")]
+    rows = [(1, None), (2, ""), (3, text(900) + " " + items[0][1]), (4, "a tiny, thing"), (5, "destiny"), (6, f"q {items_twice} r"), (7, "o")]
     for i in range(40):
         item = list(rng.choice(items[:12])[1])
         for _ in range(rng.randrange(0, 6)):
@@ -83,14 +84,32 @@ def test_leaks(spark):
         rows.append((10 + i, f"{text(20)}\n{''.join(item)}\t{text(10)}"))
     docs = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, leaks string, item_id int").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {(r["doc_id"], x["item_id"]): x["distance"] for r in find_leaks(docs, bench).collect() for x in r["leaks"]}
+    reported = [(r["doc_id"], x["item_id"], x["distance"]) for r in find_leaks(docs, bench).collect() for x in r["leaks"]]
+    got = {(d, i): n for d, i, n in reported}
+    assert len(got) == len(reported)
     want = {}
-    for d, t in rows[:2] + rows[3:]:
+    for d, t in rows:
         for i, item in items:
             item = normal(item)
-            if item:
+            if item and budget(len(item)):
                 n = brute.edit_in(item, normal(t))
                 if n <= budget(len(item)):
                     want[d, i] = min(n, want.get((d, i), n))
-    assert {k: v for k, v in got.items() if k[0] != 3} == want
+            elif item and re.search(rf"(?<![^\W_]){re.escape(item)}(?![^\W_])", normal(t)):
+                want[d, i] = 0
+    assert got == want and (4, 52) in got and (5, 52) not in got and got[6, 54] == 0 and got[3, 0] == 0
     assert find_leaks(docs.limit(0), bench).count() == 0 and all(not r["leaks"] for r in find_leaks(docs, bench.limit(0)).collect())
+
+
+def test_leaks_in_several_blocks(spark, monkeypatch):
+    """Blocks of items: each item_id is in one block, and rows keep what earlier blocks have found."""
+    from placeflow.llm import decontaminate
+
+    items = [(i // 2, f"item number {i} of the benchmark") for i in range(20)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    blocks = list(decontaminate.item_blocks(bench, 60))
+    assert len(blocks) > 3 and all(len({id(b) for b in blocks if any(x[0] == i for x in b)}) == 1 for i in range(10))
+    monkeypatch.setattr(decontaminate.item_blocks, "__defaults__", (60,))
+    docs = spark.createDataFrame([(1, " ".join(t for _, t in items)), (2, items[19][1])], "doc_id long, text string")
+    got = {r["doc_id"]: {x["item_id"] for x in r["leaks"]} for r in find_leaks(docs, bench).collect()}
+    assert got[1] == set(range(10)) and 9 in got[2]

@@ -10,6 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from placeflow.llm import langid, toxicity
+from placeflow.llm._text import mix
 from placeflow.llm.interpolation import CONTEXTS, learn_weights, score_texts
 from placeflow.llm.langid import identify_language, learn_languages
 from placeflow.llm.toxicity import learn_toxicity, score_toxicity
@@ -151,3 +153,74 @@ def test_learnt_weights_by_plain_em():
                 shares += p / p.sum()
             w = shares / len(tokens)
         assert np.allclose(got[b], w, atol=1e-5)
+
+
+def plain_grams(text):
+    """Buckets of a text's n-grams, one character after the other."""
+    letter = lambda c: (ord(c.lower()) if len(c.lower()) == 1 else ord(c)) if c.isalpha() else 0
+    codes = [letter(c) for c in text or ""]
+    for n in langid.ORDERS:
+        for i in range(len(codes) - n + 1):
+            if any(codes[i : i + n]):
+                h = n
+                for c in codes[i : i + n]:
+                    h = (h * 0x100000001B3 + c) % 2**64
+                yield int(mix(np.array([h], np.uint64))[0]) % langid.BUCKETS
+
+
+@pytest.mark.parametrize("which", ["odd", "table"])
+def test_language_by_plain_bayes(spark, sf, which):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()][:60]
+    train, asked = rows[::2], rows[1::2] if which == "table" else [(d, t if d != 5 else "the " * 50, None) for d, t in ODD if d != 9]
+    counts, priors = {}, Counter()
+    for _, t, lang in train:
+        if lang is not None:
+            counts.setdefault(lang, Counter()).update(plain_grams(t))
+            priors[lang] += 1
+    langs = sorted(counts)
+    got = {r["doc_id"]: r for r in identify_language(spark.createDataFrame(asked, "doc_id long, text string, lang string"), learn_languages(spark.createDataFrame(train, "doc_id long, text string, lang string"))).collect()}
+    for d, t, _ in asked:
+        grams = Counter(plain_grams(t))
+        if not any(c.isalpha() for c in t or ""):
+            assert got[d]["lang_pred"] == "und" and got[d]["score"] == 0
+            continue
+        z = [math.log(priors[x] / sum(priors.values())) + sum(n * math.log((counts[x][g] + 0.5) / (sum(counts[x].values()) + 0.5 * langid.BUCKETS)) for g, n in grams.items()) for x in langs]
+        share = 1 / sum(math.exp(v - max(z)) for v in z)
+        assert got[d]["lang_pred"] == langs[z.index(max(z))] and math.isclose(got[d]["score"], share, rel_tol=1e-6), (d, got[d], z)
+
+
+def test_many_languages_and_ties(spark):
+    """More labels than any list of languages has; labels with the same texts tie, and the first by code point is given."""
+    train = spark.createDataFrame([(i, "same text" if i < 2 else f"only {i} x{i}", f"l{i:03}") for i in range(300)], "doc_id long, text string, lang string")
+    model = learn_languages(train)
+    got = identify_language(spark.createDataFrame([(1, "same text", "zz")], "doc_id long, text string, lang string"), model).collect()
+    assert len(model.langs) == 300 and got[0]["lang_pred"] == "l000"
+
+
+def test_toxicity_by_plain_forward_pass():
+    """Scores of a model with random numbers, filter by filter and place by place."""
+    rng = np.random.default_rng(3)
+    m = toxicity.ToxicityModel(rng.normal(size=(toxicity.BUCKETS, toxicity.DIM)).astype(np.float32), [rng.normal(size=(w * toxicity.DIM, toxicity.FILTERS)).astype(np.float32) for w in toxicity.WIDTHS], rng.normal(size=len(toxicity.WIDTHS) * toxicity.FILTERS), rng.normal(size=len(toxicity.WIDTHS) * toxicity.FILTERS), 0.3, (0.2, -0.1))
+    m.emb[0] = 0
+    texts = ["", "one", "two Words, here", " ".join(f"w{i % 7}" for i in range(40))]
+    raw = [t.encode() for t in texts]
+    offs = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    got = m.score(np.frombuffer(b"".join(raw), np.uint8), offs)
+    for text, score in zip(raw, got):
+        ids, _ = toxicity.word_ids(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        words = [sum(m.emb[i].astype(float) for i in row) for row in ids] or [np.zeros(toxicity.DIM)]
+        blank, z = np.zeros(toxicity.DIM), m.offset
+        peaks = []
+        for w, tap in zip(toxicity.WIDTHS, m.taps):
+            for f in range(toxicity.FILTERS):
+                peaks.append(max(sum((words[i + k] if i + k < len(words) else blank) @ tap[k * toxicity.DIM : (k + 1) * toxicity.DIM, f] for k in range(w)) for i in range(len(words))))
+        z += sum(max(p + b, 0) * weight for p, b, weight in zip(peaks, m.bias, m.weight))
+        assert math.isclose(score, 1 / (1 + math.exp(-(0.2 * z - 0.1))), rel_tol=1e-4)
+
+
+def test_repeated_and_null_ids_score(spark):
+    """Rows that share an id or have none are scored like others, and count as often as they are there."""
+    rows = [(7, "a b"), (7, "a b"), (None, "a c"), (8, "a b c")]
+    got = score_texts(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(False)).collect()
+    assert sorted(((r["doc_id"], r["n_tokens"]) for r in got), key=str) == sorted([(7, 3), (7, 3), (None, 3), (8, 4)], key=str)
+    assert {r["train_tokens"] for r in got} == {13} and len({r["score"] for r in got if r["doc_id"] == 7}) == 1
