@@ -39,8 +39,8 @@ def bin_label(x: Column, edges: list[float], labels: list[str], closed: str = "l
 
 
 def rank_quartile(rank: Column, n: Column, parts: int = 4) -> Column:
-    """Quantile group of a tie-free rank of n, with linear interpolation between ranks: not ntile."""
-    return F.greatest(F.lit(1), F.ceil((rank - 1) * parts / (n - 1))).cast("int")
+    """Quantile group of a tie-free rank of n, with linear interpolation between ranks: not ntile. A single row is in group 1."""
+    return F.when(n > 1, F.greatest(F.lit(1), F.ceil((rank - 1) * parts / (n - 1)))).otherwise(1).cast("int")
 
 
 def size_threshold(size: Column, small: float = 3500.0, big: float = 25000.0, sc_small: float = 0.75, sc_big: float = 2.0 / 3.0) -> Column:

@@ -9,9 +9,9 @@ from ..functions.ratios import at_least_zero, code, number, ratio
 
 
 def prepare_od(rows: DataFrame, origin: str, dest: str, flow: str) -> DataFrame:
-    """origin, dest, flow: trimmed codes, positive numeric flows summed per pair."""
+    """origin, dest, flow: trimmed codes, positive numeric flows summed per pair. Rows without a code or a number don't count."""
     clean = rows.select(code(F.col(origin)).alias("origin"), code(F.col(dest)).alias("dest"), number(F.col(flow)).alias("flow"))
-    return clean.where(F.col("flow") > 0).groupBy("origin", "dest").agg(F.sum("flow").alias("flow"))
+    return clean.where("origin IS NOT NULL AND dest IS NOT NULL AND flow > 0").groupBy("origin", "dest").agg(F.sum("flow").alias("flow"))
 
 
 def unit_stats(od: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ratios import rank_quartile, ratio
+from .cut import rounds
 
 
 def zonal_sums(pixels: DataFrame, urban: list[int], city: list[int]) -> DataFrame:
@@ -22,17 +23,30 @@ def zonal_sums(pixels: DataFrame, urban: list[int], city: list[int]) -> DataFram
 
 
 def correlations(rows: DataFrame, x: str, y: str, z: str) -> DataFrame:
-    """r_xy, r_xz, r_yz and the partial correlation of x and y given z."""
+    """r_xy, r_xz, r_yz and the partial correlation of x and y given z, null where z explains one of them fully."""
     r = rows.agg(F.corr(x, y).alias("r_xy"), F.corr(x, z).alias("r_xz"), F.corr(y, z).alias("r_yz"))
-    partial = (F.col("r_xy") - F.col("r_xz") * F.col("r_yz")) / F.sqrt((1 - F.col("r_xz") * F.col("r_xz")) * (1 - F.col("r_yz") * F.col("r_yz")))
+    left = F.greatest(F.lit(0.0), (1 - F.col("r_xz") * F.col("r_xz")) * (1 - F.col("r_yz") * F.col("r_yz")))
+    partial = F.try_divide(F.col("r_xy") - F.col("r_xz") * F.col("r_yz"), F.sqrt(left))
     return r.withColumn("r_xy_z", partial)
 
 
+def ranked(rows: DataFrame, *by: str) -> DataFrame:
+    """rows with rank (from 1, in the order of columns that tell all rows apart) and rows, their number.
+
+    Rows are dealt to ranges and ranked within each; what the ranges before hold is added. So no task sees all rows.
+    """
+    with rounds(rows.sparkSession) as cut:
+        dealt = cut(rows.repartitionByRange(*by).withColumn("range", F.spark_partition_id()))
+        counts = dealt.groupBy("range").agg(F.count("*").alias("n"))
+        # one row a range
+        before = counts.select("range", (F.sum("n").over(W.orderBy("range")) - F.col("n")).alias("before"), F.sum("n").over(W.partitionBy()).alias("rows"))
+        within = F.row_number().over(W.partitionBy("range").orderBy(*by))
+        return cut(dealt.withColumn("within", within).join(F.broadcast(before), "range").withColumn("rank", F.col("before") + F.col("within")).drop("range", "within", "before"))
+
+
 def quartile_means(zones: DataFrame, key: str, by: str, *values: str) -> DataFrame:
-    """Means of values in the quarters of a rank by a column (ties by key). For tables of zones, which are few: the rank is one window."""
-    order = W.orderBy(by, key)
-    ranked = zones.withColumns({"rank": F.row_number().over(order), "zones": F.count("*").over(W.partitionBy())})
-    grouped = ranked.withColumn("quarter", rank_quartile(F.col("rank"), F.col("zones")))
+    """Means of values in the quarters of a rank by a column (ties by key)."""
+    grouped = ranked(zones, by, key).withColumn("quarter", rank_quartile(F.col("rank"), F.col("rows")))
     return grouped.groupBy("quarter").agg(F.count("*").alias("n"), *(F.avg(v).alias(v) for v in values))
 
 

@@ -29,8 +29,7 @@ def brand_dna(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cell_dna_by_city(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = diversity.cell_diversity(_points(spark, sf_dir), "city", min_support=2)
-    return _rounded(cells.select("city", "cell", "poi_count", "cat_richness", "cat_hill_q2", "top_cat_share", "dominant_category", "sample_coverage"))
+    return _rounded(diversity.cell_diversity(_points(spark, sf_dir), "city", min_support=2))
 
 
 def dna_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,11 +38,11 @@ def dna_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mono_functional(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = diversity.cell_diversity(_points(spark, sf_dir), min_support=1)
-    return _rounded(diversity.mono_functional(cells, 0.25).select("cell", "top_cat_share", "dominant_category"))
+    return _rounded(diversity.mono_functional(cells, 0.25))
 
 
 def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.source_mix(_points(spark, sf_dir)).select("city", "src", "n")
+    return checks.source_mix(_points(spark, sf_dir))
 
 
 def density_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +71,7 @@ def mesh_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _od(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = _read(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_linenumber = 1").select("l_orderkey", "l_suppkey", "l_quantity")
+    items = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
     trips = items.join(_read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.expr("l_orderkey = o_orderkey"))
     return flows.prepare_od(trips, "o_custkey", "l_suppkey", "l_quantity")
 
@@ -82,7 +81,7 @@ def od_unit_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def od_cores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flows.find_cores(flows.unit_stats(_od(spark, sf_dir)), 0.98).select("unit", "in_external")
+    return _rounded(flows.find_cores(flows.unit_stats(_od(spark, sf_dir)), 0.98))
 
 
 def od_best_destination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +129,7 @@ def quartile_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     hour = F.hour("ts")
-    return _read(spark, sf_dir, "events").select((F.col("user_id") % 25).alias("zone"), F.when(hour.between(9, 17), 0).otherwise(1).alias("timezone"), (F.col("event_id") % 5).cast("int").alias("ring"), F.col("value").alias("population"), "ts")
+    return _read(spark, sf_dir, "events").select((F.col("user_id") % 25).alias("zone"), F.when(hour.between(9, 17), 0).otherwise(1).alias("timezone"), (F.col("event_id") % 4).cast("int").alias("ring"), F.col("value").alias("population"), "ts")
 
 
 def presence_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +160,7 @@ def area_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: globals()[name] for name in (*SQL, "area_fragments")}
+    return {name: globals()[name] for name in SQL}
 
 
 _CELLS = """
@@ -178,7 +177,7 @@ _ALL = "WITH " + _CELLS.format(keys="")
 _OD = """
 WITH od AS (
   SELECT o_custkey::VARCHAR AS origin, l_suppkey::VARCHAR AS dest, sum(l_quantity) AS flow FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  WHERE l_returnflag = 'R' AND l_linenumber = 1 GROUP BY ALL HAVING sum(l_quantity) > 0),
+  GROUP BY ALL HAVING sum(l_quantity) > 0),
 o AS (SELECT origin AS unit, sum(flow) AS f, sum(CASE WHEN origin = dest THEN flow ELSE 0 END) AS i FROM od GROUP BY 1),
 d AS (SELECT dest AS unit, sum(flow) AS f FROM od GROUP BY 1),
 stats AS (
@@ -206,18 +205,21 @@ zs AS (SELECT *, urban_pop / pop AS urban_share, city_pop / pop AS city_share FR
 """
 _PRESENCE = """
 WITH p AS (
-  SELECT user_id % 25 AS zone, CASE WHEN hour(ts) BETWEEN 9 AND 17 THEN 0 ELSE 1 END AS timezone, (event_id % 5)::INT AS ring, value AS population, ts FROM events)
+  SELECT user_id % 25 AS zone, CASE WHEN hour(ts) BETWEEN 9 AND 17 THEN 0 ELSE 1 END AS timezone, (event_id % 4)::INT AS ring, value AS population, ts FROM events)
 """
 
+_PROFILE = f"""poi_count, cat_richness, round(h, 6) + 0.0 AS cat_shannon, round(h / nullif(ln(cat_richness), 0), 6) AS cat_evenness, round(gs, 6) AS cat_gini_simpson, round(exp(h), 6) AS cat_hill_q1,
+  round(1 / pp, 6) AS cat_hill_q2, round(top, 6) AS top_cat_share, dominant_category, {_COVERAGE} AS sample_coverage"""
+
 SQL = {
-    "cell_dna": _ALL + f"""SELECT cell, poi_count, cat_richness, round(h, 6) + 0.0 AS cat_shannon, round(h / nullif(ln(cat_richness), 0), 6) AS cat_evenness, round(gs, 6) AS cat_gini_simpson,
-      round(exp(h), 6) AS cat_hill_q1, round(1 / pp, 6) AS cat_hill_q2, round(top, 6) AS top_cat_share, dominant_category, {_COVERAGE} AS sample_coverage FROM cells WHERE poi_count >= 10""",
-    "cell_dna_by_city": "WITH " + _CELLS.format(keys="city,").replace("SELECT city, p_size", "SELECT p_brand AS city, p_size") + f"""
-      SELECT city, cell, poi_count, cat_richness, round(1 / pp, 6) AS cat_hill_q2, round(top, 6) AS top_cat_share, dominant_category, {_COVERAGE} AS sample_coverage FROM cells WHERE poi_count >= 2""",
+    "cell_dna": _ALL + f"SELECT cell, {_PROFILE} FROM cells WHERE poi_count >= 10",
+    "brand_dna": _ALL.replace("p_size AS cell", "p_brand AS cell").replace("p_size IS NOT NULL", "p_brand IS NOT NULL") + f"SELECT cell, {_PROFILE} FROM cells WHERE poi_count >= 5",
+    "cell_dna_by_city": "WITH " + _CELLS.format(keys="city,").replace("SELECT city, p_size", "SELECT p_brand AS city, p_size") + f"SELECT city, cell, {_PROFILE} FROM cells WHERE poi_count >= 2",
     "dna_summary": _ALL + """SELECT count(*) AS cells, median(poi_count) AS median_poi, round(median(exp(h)), 6) AS median_hill_q1, round(median(1 / pp), 6) AS median_hill_q2,
       (SELECT dominant_category FROM cells GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS mode_dominant FROM cells""",
-    "mono_functional": _ALL + "SELECT cell, round(top, 6) AS top_cat_share, dominant_category FROM cells WHERE top >= 0.25",
-    "source_mix": "SELECT p_brand AS city, coalesce(p_name, '(none)') AS src, count(*) AS n FROM part GROUP BY ALL",
+    "mono_functional": _ALL + f"SELECT cell, {_PROFILE} FROM cells WHERE top >= 0.25",
+    "source_mix": """SELECT city, src, n, round_even(100 * n / sum(n) OVER (PARTITION BY city), 1) AS share FROM (
+      SELECT p_brand AS city, coalesce(p_name, '(none)') AS src, count(*) AS n FROM part GROUP BY ALL)""",
     "density_bins": _ALL + """SELECT 'all' AS city, CASE WHEN poi_count < 20 THEN '10-19' WHEN poi_count < 40 THEN '20-39' WHEN poi_count < 80 THEN '40-79' WHEN poi_count < 160 THEN '80-159'
       WHEN poi_count < 320 THEN '160-319' ELSE '320+' END AS bin, count(*) AS cells, round(median(1 / pp), 6) AS median FROM cells WHERE poi_count >= 10 GROUP BY ALL""",
     "threshold_sensitivity": _ALL + """SELECT 'all' AS city, t.threshold, count(*) AS cells, round(median(1 / pp), 6) AS median FROM cells
@@ -231,7 +233,14 @@ SQL = {
       SELECT concat(r1::BIGINT, (c1 - 100)::BIGINT, r2::BIGINT, c2::BIGINT, floor((m - r2 * 5) * 60 / 30)::BIGINT, floor((x - c2 * 7.5) * 60 / 45)::BIGINT) AS mesh, count(*) AS points FROM c GROUP BY 1""",
     "od_unit_stats": _OD + """SELECT unit, internal, out_total, in_total, out_external, in_external, round(CASE WHEN out_total > 0 THEN internal / out_total END, 6) AS self_containment,
       in_external - out_external AS net_attraction, round(CASE WHEN out_total > 0 THEN in_total / out_total END, 6) AS job_ratio FROM stats""",
-    "od_cores": _OD + "SELECT unit, in_external FROM stats WHERE in_external >= (SELECT quantile_cont(in_external, 0.98) FROM stats) AND out_total > 0 AND in_total / out_total >= 1",
+    "od_cores": _OD + """SELECT unit, internal, out_total, in_total, out_external, in_external, round(internal / out_total, 6) AS self_containment, in_external - out_external AS net_attraction,
+      round(in_total / out_total, 6) AS job_ratio FROM stats WHERE in_external >= (SELECT quantile_cont(in_external, 0.98) FROM stats) AND out_total > 0 AND in_total / out_total >= 1""",
+    "area_fragments": """WITH RECURSIVE u AS (SELECT s_suppkey AS unit, (s_suppkey % 40 >= 20)::INT AS fua FROM supplier),
+      e AS (SELECT a.unit AS u, b.unit AS v FROM u a JOIN u b ON b.unit = a.unit + 1 AND a.fua = b.fua AND b.unit % 5 <> 0),
+      both_ways AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+      seen AS (SELECT unit, unit AS other FROM u UNION SELECT seen.unit, v FROM seen JOIN both_ways ON other = u),
+      parts AS (SELECT unit, fua, component FROM u JOIN (SELECT unit, min(other) AS component FROM seen GROUP BY 1) USING (unit))
+      SELECT fua, sum(n)::BIGINT AS units, count(*) AS components, max(n) AS main, (sum(n) - max(n))::BIGINT AS cut FROM (SELECT fua, component, count(*) AS n FROM parts GROUP BY ALL) GROUP BY 1""",
     "od_best_destination": _OD + "SELECT origin, dest, flow FROM od QUALIFY row_number() OVER (PARTITION BY origin ORDER BY flow DESC, dest DESC) = 1",
     "od_overall": _OD + "SELECT round(sum(internal) / sum(out_total), 6) AS self_containment, count(*) AS units FROM stats",
     "self_containment": _SC + """SELECT fa_code, motive, departures_res, internal_trips, arrivals_total, arrivals_internal, round(rbsc, 6) AS "RBSC", round(1 - rbsc, 6) AS "LEAK", round(dbsc, 6) AS "DBSC",
@@ -243,7 +252,7 @@ SQL = {
       SELECT round(xy, 6) AS r_xy, round(xz, 6) AS r_xz, round(yz, 6) AS r_yz, round((xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)), 6) AS r_xy_z FROM r""",
     "quartile_means": _ZONES + """, k AS (SELECT *, row_number() OVER (ORDER BY urban_share, zone) AS rn, count(*) OVER () AS total FROM zs)
       SELECT greatest(1, ceil((rn - 1) * 4 / (total - 1)::DOUBLE))::INT AS quarter, count(*) AS n, round(avg(pop), 6) AS pop, round(avg(city_share), 6) AS city_share FROM k GROUP BY 1""",
-    "presence_rings": _PRESENCE + """, w AS (SELECT zone, timezone, """ + ", ".join(f"coalesce(sum(population) FILTER (WHERE ring = {i}), 0.0) AS r{i}" for i in range(4)) + """ FROM p WHERE ring < 4 GROUP BY ALL)
+    "presence_rings": _PRESENCE + """, w AS (SELECT zone, timezone, """ + ", ".join(f"coalesce(sum(population) FILTER (WHERE ring = {i}), 0.0) AS r{i}" for i in range(4)) + """ FROM p GROUP BY ALL)
       SELECT zone, timezone, round(r0, 6) AS r0, round(r1, 6) AS r1, round(r2, 6) AS r2, round(r3, 6) AS r3, round(r0 + r1 + r2 + r3, 6) AS total, round(r0 / (r0 + r1 + r2 + r3), 6) AS local_share, round(1 - r0 / (r0 + r1 + r2 + r3), 6) AS outside_share FROM w""",
     "day_night": _PRESENCE + """, w AS (SELECT zone, sum(CASE WHEN timezone = 0 THEN population END) AS day, sum(CASE WHEN timezone = 1 THEN population END) AS night FROM p GROUP BY 1)
       SELECT zone, round(day, 6) AS day, round(night, 6) AS night, round(day / night, 6) AS day_night FROM w WHERE day >= 10 AND night >= 10""",
