@@ -27,3 +27,9 @@ def tracks(spark: SparkSession, path: str) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def timed_share(points: DataFrame) -> DataFrame:
+    """points, and the share of them that have a time; 0 of none."""
+    timed = F.when(F.coalesce(F.col("time"), F.lit("")) != "", 1.0).otherwise(0.0)
+    return points.agg(F.count("*").alias("points"), F.coalesce(F.avg(timed), F.lit(0.0)).alias("timed"))
