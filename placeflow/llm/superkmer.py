@@ -22,9 +22,9 @@ from ._stage import bound_batches, input_partitions, stage
 from ._text import Rolling, blocks, mix, spans, utf8
 
 #: Bytes of strings that a task gathers before it deals them out, of the input for each bucket, and of a block of texts.
-_BUFFER, _PART, _PIECE = 32 << 20, 6 << 20, 1 << 19
+_BUFFER, _PART, _PIECE = 32 << 20, 4 << 20, 1 << 19
 #: Bytes of one minimiser's strings beyond which it is split, and of packed strings that a task holds before it looks for such ones.
-HOT, HELD = 4 << 20, 24 << 20
+HOT, HELD = 4 << 20, 48 << 20
 #: Documents whose ids may be broadcast.
 SMALL = 1 << 20
 _ROLL = Rolling(seed=3)
