@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._stage import bound_batches, stage
-from .components import components
+from .components import Forest, components
 from .hnsw import BATCH, Hnsw
 
 #: Cosine of a link; vectors of a shard and shards at least; vectors of a block; first beam; recall that an audit must show.
@@ -88,26 +88,6 @@ def _shard(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"dim": rows["dim"].iloc[:1].to_numpy(), "shard": rows["shard"].iloc[:1].to_numpy(), "nodes": [rows["node"].to_numpy(np.int64).tobytes()], "weights": [rows["n"].to_numpy(np.int64).tobytes()], "vectors": [vectors.tobytes()], "graph": [graph.to_bytes()], "beam": [beam], "recall": [recall]})
 
 
-class _Forest:
-    """Merges labelled items; edges that connect nothing new cost one comparison."""
-
-    def __init__(self, n: int):
-        self.label = np.arange(n)
-
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        while True:
-            x, y = self.label[a], self.label[b]
-            apart = x != y
-            if not apart.any():
-                return
-            low, high = np.minimum(x, y)[apart], np.maximum(x, y)[apart]
-            to = np.arange(len(self.label))
-            np.minimum.at(to, high, low)
-            while (to[to] != to).any():
-                to = to[to]
-            self.label = to[self.label]
-
-
 def _links(queries: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
     """For a block of classes and a shard: node, n (vectors of other classes linked to it), other (an edge, or null)."""
     nothing = pd.DataFrame({"node": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), "other": np.zeros(0, np.int64)})
@@ -119,7 +99,7 @@ def _links(queries: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
     asked = queries["node"].to_numpy(np.int64)
     vectors = _unit(np.array(queries["v"].tolist(), np.float64))
     count = np.zeros(len(asked), np.int64)
-    forest = _Forest(len(asked) + len(nodes))
+    forest = Forest(len(asked) + len(nodes))
     for q, s in _near(graph, unit, vectors, int(shard["beam"].iloc[0])):
         other = asked[q] != nodes[s]
         np.add.at(count, q[other], weights[s[other]])

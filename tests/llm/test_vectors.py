@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from placeflow.llm import vector_dedup
+from placeflow.llm.components import components
 from placeflow.llm.hnsw import Hnsw
 from placeflow.llm.vector_dedup import COSINE, vector_links
 
@@ -81,3 +82,12 @@ def test_repeated_null_ids_and_lengths(spark):
     rows = [(5, [1.0, 0.0]), (5, [1.0, 0.01]), (3, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (4, [0.0, 1.0])]
     got = sorted((tuple(r)[:4] for r in vector_links(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()), key=str)
     assert got == sorted([(5, 2, 5, True), (5, 2, 5, True), (3, 0, 3, True), (None, 2, 5, True), (4, 0, 4, True)], key=str), got
+
+
+@pytest.mark.parametrize("one_task", [0, 30, 1 << 20])
+def test_components(spark, one_task):
+    """Paths, a star, loops and repeats, by rounds alone, by rounds and one task, and by one task alone."""
+    edges = [(i, i + 1) for i in range(100, 160)] + [(500, 500 + i) for i in range(1, 40)] + [(7, 7), (9, 8), (8, 9), (None, 3), (160, 520)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long").repartition(4), one_task=one_task).collect()}
+    links = [e for e in edges if None not in e]
+    assert got == brute.closure({x for e in links for x in e}, links)
