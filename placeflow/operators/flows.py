@@ -67,6 +67,11 @@ def self_containment(trips: DataFrame, drop_codes: list[str] | None = None) -> D
     return sums.withColumns({"RBSC": rbsc, "LEAK": 1.0 - rbsc, "DBSC": ratio(F.col("arrivals_internal"), F.col("arrivals_total")), "arrivals_external": external, "nonresident_share": ratio(external, F.col("arrivals_total"))})
 
 
+def with_metadata(areas: DataFrame, meta: DataFrame) -> DataFrame:
+    """areas and the columns of meta (fa_code and what is known of an area); areas that meta lacks stay, with nulls."""
+    return areas.join(meta, "fa_code", "left")
+
+
 def benchmark_shares(areas: DataFrame, thresholds: tuple[float, ...] = (0.66, 0.75), by: tuple[str, ...] = ("motive",)) -> DataFrame:
     """n_areas with an RBSC, and the share of all areas that reach each threshold; areas without RBSC count as failing."""
     passed = [F.avg(F.when(F.col("RBSC") >= t, 1.0).otherwise(0.0)).alias(f"share_ge_{t}") for t in thresholds]

@@ -19,6 +19,11 @@ def named_csv(spark: SparkSession, path: str, schema: str, names: list[str]) ->
     return spark.read.csv(path, header=True, schema=schema).toDF(*names)
 
 
+def od_csv(spark: SparkSession, path: str, schema: str, names: list[str], where: str, columns: list[str]) -> DataFrame:
+    """The columns of rows that fit a condition, as in a flow table of which one category of workplace counts; splits are filtered as they are read."""
+    return named_csv(spark, path, schema, names).where(where).select(*columns)
+
+
 def tracks(spark: SparkSession, path: str) -> DataFrame:
     """lat, lon, time of the track points of GPX files."""
     rows = spark.read.format("xml").option("rowTag", "trkpt").schema("_lat double, _lon double, time string").load(path)

@@ -26,6 +26,8 @@ def test_csv_and_tracks(spark, tmp_path):
     files.write_csv(spark.createDataFrame([("a", "b", 3), ("c", "d", 4)], "x string, y string, z int").coalesce(1), f"{tmp_path}/c")
     got = files.named_csv(spark, f"{tmp_path}/c", "x string, y string, z int", ["origin", "dest", "flow"])
     assert sorted(map(tuple, got.collect())) == [("a", "b", 3), ("c", "d", 4)] and got.columns == ["origin", "dest", "flow"]
+    some = files.od_csv(spark, f"{tmp_path}/c", "x string, y string, z int", ["o", "d", "n"], "n > 3", ["o", "n"])
+    assert [tuple(r) for r in some.collect()] == [("c", 4)]
     (tmp_path / "t.gpx").write_text('<gpx><trk><trkseg><trkpt lat="1.5" lon="2.5"><time>2024-01-01T00:00:00Z</time></trkpt><trkpt lat="3" lon="4"/></trkseg></trk></gpx>')
     tracks = files.tracks(spark, f"{tmp_path}/t.gpx")
     assert sorted(map(tuple, tracks.collect())) == [(1.5, 2.5, "2024-01-01T00:00:00Z"), (3.0, 4.0, None)]
