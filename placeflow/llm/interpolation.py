@@ -24,7 +24,7 @@ from ._stage import bound_batches, input_partitions, stage
 from ._text import Rolling, blocks, mix, split_words
 
 #: Bytes of a chunk's text, of the input for each range, and codes that a range counts at once.
-CHUNK, PART, SLICE = 4 << 20, 24 << 20, 1 << 20
+CHUNK, PART, SLICE = 4 << 20, 6 << 20, 1 << 20
 #: One in DELETED training texts is kept from the counts; context buckets.
 DELETED, CONTEXTS = 8, 18
 _ROLL = Rolling(seed=2, fold_case=True)

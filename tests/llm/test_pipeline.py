@@ -53,3 +53,52 @@ def test_near_copies_with_repeated_ids(spark):
     assert texts(got) == texts(kept) and sum(r[0] == 9 for r in got) == 1
     again = [tuple(r) for r in pipeline.keep_one_of_near_copies(spark, docs.repartition(3, "lang"), "").collect()]
     assert sorted(again, key=str) == sorted(got, key=str)
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, score string, flagged string, n_lines int, leaks string, `a.b` int"
+
+
+def write_tables(spark, folder, rows, kind):
+    spark.createDataFrame(rows, kind).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(40)], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "the quick brown benchmark item jumps over it all")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_clashing_names_and_run(spark, tmp_path):
+    """Columns named like an operator's results keep their values through the stages, and run() gives what the stages give."""
+    rng = random.Random(8)
+    text = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    texts = [(i, "vile filth " * 3 + text(20) if i % 4 == 0 else text(40)) for i in range(40)]
+    texts += [(100, None), (101, ""), (102, f"{text(9)} the quick brown benchmark item jumps over it all"), (None, text(20)), (103, same := text(30)), (103, same), (104, same + " x")]
+    rows = [(d, t, "en", f"s{i % 2}", len(t or ""), f"mine{i}", "f", i, "l", i) for i, (d, t) in enumerate(texts)]
+    write_tables(spark, tmp_path, rows, CLASHING)
+    docs, mine = spark.read.parquet(f"{tmp_path}/documents.parquet"), {(r[1], r[5], r[6], r[7], r[8], r[9]) for r in rows}
+    columns = docs.columns
+    for k, (name, f) in enumerate(pipeline.STAGES):
+        f(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        if k < 4:
+            assert docs.columns == columns
+            assert {(r["text"], r["score"], r["flagged"], r["n_lines"], r["leaks"], r["a.b"]) for r in docs.collect()} <= mine
+    last = sorted(map(str, docs.collect()))
+    assert sorted(map(str, pipeline.run(spark, str(tmp_path)).collect())) == last and len(last) > 10
+    kept = {r["doc_id"] for r in spark.read.parquet(f"{tmp_path}/3").collect()}
+    assert {None, 100, 101, 103} <= kept and not kept & {0, 102, 104}
+    assert spark.read.parquet(f"{tmp_path}/3").where("doc_id = 103").count() == 1
+
+
+def test_empty_documents(spark, tmp_path):
+    write_tables(spark, tmp_path, [], CLASHING)
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_results_outlive_the_pipeline(spark, tmp_path):
+    """A run deletes its own scratch tables only: what another query has staged can still be read."""
+    from placeflow.llm.line_dedup import dedup_lines
+
+    line = "a line that is long enough to be a key"
+    docs = spark.createDataFrame([(i, f"{line}\nown {i}") for i in range(4)], "doc_id long, text string")
+    before = dedup_lines(docs)
+    write_tables(spark, tmp_path, [(1, "a b c", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    pipeline.run(spark, str(tmp_path)).collect()
+    assert sum(line in r["text"] for r in before.collect()) == 1
