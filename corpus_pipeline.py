@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placeflow.llm._stage import delete, scratch, shared_dir, stage
@@ -20,12 +20,16 @@ from placeflow.llm.mixing import mix_to_weights
 from placeflow.llm.toxicity import learn_toxicity, score_toxicity
 
 
+def _named(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def _apart(docs: DataFrame, names: tuple[str, ...], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """What work keeps of docs, with docs' columns; those named like the results of an operator have other names meanwhile."""
     mark = uuid.uuid4().hex
     away = {c: f"{c}_{mark}" for c in docs.columns if c in names}
     inner = docs.withColumnsRenamed(away)
-    return work(inner).select(*(F.col(f"`{c}`") for c in inner.columns)).withColumnsRenamed({v: k for k, v in away.items()})
+    return work(inner).select(*_named(inner)).withColumnsRenamed({v: k for k, v in away.items()})
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,19 +63,19 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
         return _keep_one_of_repeated_ids(docs)
     found = stage(jaccard_components(docs).where("doc_id IS NOT NULL").select("doc_id", "component_id"), "pipe-near")
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(F.broadcast(gone) if gone.count() <= SMALL else gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(F.broadcast(gone) if gone.count() <= SMALL else gone, "doc_id", "left_anti").select(*_named(docs))
 
 
 def _keep_one_of_repeated_ids(docs: DataFrame) -> DataFrame:
     """The same where a doc_id repeats: equal rows are one document, and of near copies the first by doc_id and digests stays."""
-    cells = [F.coalesce(F.sha2(F.col(c).cast("string").cast("binary"), 256), F.lit("-")) for c in ("text", *(c for c in docs.columns if c != "text"))]
+    cells = [F.coalesce(F.sha2(F.col(f"`{c}`").cast("string").cast("binary"), 256), F.lit("-")) for c in ("text", *(c for c in docs.columns if c != "text"))]
     rows = docs.where("doc_id IS NOT NULL").withColumn("digest", F.concat(*cells))
     # numbers are fixed once written; which row has which one decides nothing
     keys = stage(rows.select("doc_id", "digest").distinct().withColumn("node", F.monotonically_increasing_id()), "pipe-nodes")
     numbered = stage(rows.join(keys, ["doc_id", "digest"]).dropDuplicates(["node"]), "pipe-rows")
     found = jaccard_components(numbered.select(F.col("node").alias("doc_id"), "text")).select(F.col("doc_id").alias("node"), "component_id")
     first = keys.join(found, "node").groupBy("component_id").agg(F.min(F.struct("doc_id", "digest", "node")).alias("s")).select("s.node")
-    return numbered.join(first, "node", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    return numbered.join(first, "node", "left_semi").select(*_named(docs)).unionByName(docs.where("doc_id IS NULL"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -198,7 +198,7 @@ _EDGES = """,
 edges AS MATERIALIZED (
   SELECT u::VARCHAR AS u, v::VARCHAR AS v FROM (
     SELECT unit::BIGINT AS u, unit::BIGINT + d AS v FROM units, (VALUES (1), (2)) t(d) UNION SELECT unit::BIGINT + d, unit::BIGINT FROM units, (VALUES (1), (2)) t(d)))"""
-#: Components by numbers of places where a chain of neighbours in one area breaks would need an order of units; reachability needs none.
+#: The units that each unit reaches within its area, and the components that these make.
 _PARTS = """,
 near{k} AS MATERIALIZED (SELECT u, v FROM edges JOIN {now} x ON u = x.unit JOIN {now} y ON v = y.unit WHERE x.fua = y.fua),
 seen{k} AS (SELECT unit, unit AS other FROM {now} UNION SELECT seen{k}.unit, v FROM seen{k} JOIN near{k} ON other = u),
