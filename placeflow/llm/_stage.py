@@ -10,6 +10,7 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 _LOCAL_BASE: list[str] = []
 _MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
@@ -70,6 +71,11 @@ def delete(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def beside(name: str, column: DataType, more: str) -> StructType:
+    """A schema of one column, whatever its fields are called, and more, as DDL."""
+    return StructType([StructField(name, column), *StructType.fromDDL(more)])
+
+
 def input_partitions(df: DataFrame, bytes_each: int, least: int = 1) -> int:
     """Partitions that hold about bytes_each of df's input. Catalyst's estimate from file sizes, so no job runs; texts are summed
     where it knows none (frames from Python objects or RDDs)."""

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._stage import bound_batches
+from ._stage import beside, bound_batches
 
 #: Edits per character of an item, shortest piece, and characters of items that are sent to tasks at once.
 ERROR_RATE, MIN_PIECE, BLOCK_CHARS = 0.05, 8, 4_000_000
@@ -154,6 +154,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, struct)], ["row", "more"])
 
         inner = out.select(F.struct(*(F.col(f"`{c}`") for c in out.columns)).alias("row"), "text")
-        both = inner.mapInArrow(searched, f"row {inner.schema['row'].dataType.simpleString()}, more {kind}")
+        both = inner.mapInArrow(searched, beside("row", inner.schema["row"].dataType, f"more {kind}"))
         out = both.select(*(F.col(f"row.`{c}`").alias(c) for c in names), F.concat("row.leaks", "more").alias("leaks"))
     return out

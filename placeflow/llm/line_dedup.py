@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._stage import bound_batches, stage
+from ._stage import beside, bound_batches, stage
 from ._text import LOWER, blocks, split_words
 from .cuckoo import CuckooFilter
 
@@ -206,6 +206,5 @@ def dedup_lines(docs: DataFrame, index: LineIndex | None = None) -> DataFrame:
                 texts.append(b"\n".join(raw[start[i] : end[i]] for i in stay).decode() if gone else text)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(dropped, pa.int64())], ["row", "kept", "n_lines", "n_dropped"])
 
-    kind = inner.schema["row"].dataType.simpleString()
-    out = both.mapInArrow(kept, f"row {kind}, kept string, n_lines long, n_dropped long")
+    out = both.mapInArrow(kept, beside("row", inner.schema["row"].dataType, "kept string, n_lines long, n_dropped long"))
     return out.select(*(F.col("kept").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names), "n_lines", "n_dropped")

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._stage import bound_batches, input_partitions, stage
+from ._stage import beside, bound_batches, input_partitions, stage
 from ._text import Rolling, blocks, mix, spans, utf8
 
 #: Bytes of strings that a task gathers before it deals them out, of the input for each bucket, and of a block of texts.
@@ -348,7 +348,7 @@ def with_marks(docs: DataFrame, row: Column, marks: DataFrame, finish: Callable[
     """
     fields = [x.strip().split(" ") for x in columns.split(",")]
     rest = [c for c in docs.columns if c != "text" and c not in {f for f, _ in fields}]
-    kind = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest))).schema[0].dataType.simpleString()
+    kind = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest))).schema[0].dataType
     types = {"long": pa.int64(), "string": pa.string()}
 
     def results(rows: pa.Array, found: Iterator[tuple]) -> pa.RecordBatch:
@@ -377,11 +377,11 @@ def with_marks(docs: DataFrame, row: Column, marks: DataFrame, finish: Callable[
     ids = stage(marks.select("doc_id").distinct(), "skm-ids")
     if ids.count() <= SMALL:
         moved = keyed.join(F.broadcast(ids), "doc_id", "left_semi").select("rest", "doc_id", "row", "text")
-        out = keyed.join(F.broadcast(ids), "doc_id", "left_anti").select("rest", "doc_id", "row", "text").mapInArrow(unmarked, f"rest {kind}, {columns}")
-    small = moved.mapInArrow(squeeze, f"rest {kind}, doc_id long, row long, packed binary").alias("d")
+        out = keyed.join(F.broadcast(ids), "doc_id", "left_anti").select("rest", "doc_id", "row", "text").mapInArrow(unmarked, beside("rest", kind, columns))
+    small = moved.mapInArrow(squeeze, beside("rest", kind, "doc_id long, row long, packed binary")).alias("d")
     listed = marks.groupBy("doc_id", "row").agg(F.collect_list("blob").alias("marks")).alias("m")
     both = small.join(listed, F.expr("d.doc_id = m.doc_id AND d.row = m.row"), "left").select("d.rest", "d.packed", "m.marks")
-    marked = both.mapInArrow(finished, f"rest {kind}, {columns}")
+    marked = both.mapInArrow(finished, beside("rest", kind, columns))
     out = marked if out is None else out.unionByName(marked)
     return out.select(*(F.col(f"rest.`{c}`").alias(c) for c in rest), *(c for c, _ in fields))
 

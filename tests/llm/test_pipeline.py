@@ -60,7 +60,7 @@ CLASHING = "doc_id long, text string, lang string, source string, n_chars long,
 
 def write_tables(spark, folder, rows, kind):
     spark.createDataFrame(rows, kind).write.parquet(f"{folder}/documents.parquet")
-    spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(40)], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(80)], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([(1, "the quick brown benchmark item jumps over it all")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
 
 
@@ -68,7 +68,7 @@ def test_clashing_names_and_run(spark, tmp_path):
     """Columns named like an operator's results keep their values through the stages, and run() gives what the stages give."""
     rng = random.Random(8)
     text = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
-    texts = [(i, "vile filth " * 3 + text(20) if i % 4 == 0 else text(40)) for i in range(40)]
+    texts = [(i, "vile filth " * 3 + text(20) if i % 4 == 0 else text(40)) for i in range(80)]
     texts += [(100, None), (101, ""), (102, f"{text(9)} the quick brown benchmark item jumps over it all"), (None, text(20)), (103, same := text(30)), (103, same), (104, same + " x")]
     rows = [(d, t, "en", f"s{i % 2}", len(t or ""), f"mine{i}", "f", i, "l", i) for i, (d, t) in enumerate(texts)]
     write_tables(spark, tmp_path, rows, CLASHING)
