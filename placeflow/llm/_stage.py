@@ -17,7 +17,7 @@ _MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
 #: Catalyst's size for what it knows nothing of is the largest long.
 _UNKNOWN = 1 << 62
 #: Bytes of rows that go to a Python worker at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
