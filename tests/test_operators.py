@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from placeflow.functions import ratios
 from placeflow.operators import census, delimitation, flows, fragments, matching, rules, zones
 from placeflow.sources import adapters, files, packed
+from placeflow.streaming.presence import presence_by_window
 
 
 def test_points_in_box(spark, tmp_path):
@@ -110,6 +111,17 @@ def test_polygon_files(spark, tmp_path):
     assert len(shapes["a"]) == 1 and len(shapes["b"]) == 2 and tuple(shapes["b"][1][0]) == (7.0, 7.0)
 
 
+def test_presence_of_a_stream(spark, sf, tmp_path):
+    """A stream of points gives the counts of a batch."""
+    events = spark.read.parquet(f"{sf}/events.parquet").select("ts", (F.col("user_id") % 5).alias("zone"))
+    events.repartition(3).write.parquet(f"{tmp_path}/in")
+    stream = presence_by_window(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"), "zone")
+    query = stream.writeStream.format("memory").queryName("presence").outputMode("complete").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    got = sorted(map(tuple, spark.table("presence").collect()))
+    assert got == sorted(map(tuple, presence_by_window(events, "zone").collect())) and len(got) > 100
+
+
 def test_columns_present(spark):
     rows = spark.createDataFrame([], "a int, t struct<h array<struct<d string>>>")
     assert packed.columns_present(rows, ["a", "t.h.d", "t.x", "b"]) == {"a": True, "t.h.d": True, "t.x": False, "b": False}
