@@ -108,7 +108,7 @@ def self_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def self_containment_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with the names and regions of areas, of which one is not known."""
-    meta = _read(spark, sf_dir, "nation").where("n_nationkey <> 5").select(F.col("n_nationkey").alias("fa_code"), F.col("n_name").alias("fa_name"), F.col("n_regionkey").alias("cntr"))
+    meta = _read(spark, sf_dir, "nation").where("n_nationkey <> 5").select(F.col("n_nationkey").alias("fa_code"), F.col("n_name").alias("fa_name"), F.col("n_regionkey").cast("string").alias("cntr"))
     return _rounded(flows.with_metadata(flows.self_containment(_trips(spark, sf_dir), [7]), meta))
 
 
@@ -252,7 +252,7 @@ SQL = {
     "self_containment": _SC + """SELECT fa_code, motive, departures_res, internal_trips, arrivals_total, arrivals_internal, round(rbsc, 6) AS "RBSC", round(1 - rbsc, 6) AS "LEAK", round(dbsc, 6) AS "DBSC",
       arrivals_total - arrivals_internal AS arrivals_external, round(1 - dbsc, 6) AS nonresident_share FROM sc""",
     "self_containment_meta": _SC + """SELECT fa_code, motive, departures_res, internal_trips, arrivals_total, arrivals_internal, round(rbsc, 6) AS "RBSC", round(1 - rbsc, 6) AS "LEAK", round(dbsc, 6) AS "DBSC",
-      arrivals_total - arrivals_internal AS arrivals_external, round(1 - dbsc, 6) AS nonresident_share, n_name AS fa_name, n_regionkey AS cntr FROM sc LEFT JOIN nation ON fa_code = n_nationkey AND n_nationkey <> 5""",
+      arrivals_total - arrivals_internal AS arrivals_external, round(1 - dbsc, 6) AS nonresident_share, n_name AS fa_name, n_regionkey::VARCHAR AS cntr FROM sc LEFT JOIN nation ON fa_code = n_nationkey AND n_nationkey <> 5""",
     "benchmark_shares": _SC + """SELECT motive, count(rbsc) AS n_areas, round(avg(CASE WHEN rbsc >= 0.04 THEN 1.0 ELSE 0.0 END), 6) AS share_low,
       round(avg(CASE WHEN rbsc >= 0.05 THEN 1.0 ELSE 0.0 END), 6) AS share_high FROM sc GROUP BY 1""",
     "zonal_sums": _ZONES + "SELECT zone, pop, urban_pop, city_pop, pixels, round(urban_share, 6) AS urban_share, round(city_share, 6) AS city_share FROM zs",
