@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .conversation_repair import damage, repair_report
 from .decontaminate import find_leaks
 from .interpolation import score_texts
 from .jaccard import jaccard_components
@@ -75,6 +76,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_read(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(damage(_read(spark, sf_dir, "conversations")), F.col("dropped"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -180,6 +185,59 @@ seen AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT seen.doc_id,
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM (SELECT doc_id, min(other) AS component_id FROM seen GROUP BY 1) LEFT JOIN n USING (doc_id)
 """
 
+#: The table of crc32, made from its polynomial, and the crc32 of a string's bytes.
+_CRC = """
+crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t)"""
+
+
+def _crc32(text: str) -> str:
+    octets = f"list_transform(range(strlen({text})), lambda i: ('0x' || substr(hex(encode({text})), 2 * i::INT + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda c, b: xor(c >> 8, (SELECT t FROM crc)[xor(c & 255, b) + 1])), 4294967295)"
+
+
+#: Damage, faults, costs of the rest from every row and state on, and the cheapest edits traced with them; the rule of op12.
+_OP12 = rf"""
+WITH RECURSIVE {_CRC.strip()},
+c AS MATERIALIZED (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS k FROM conversations),
+d AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM c, range(2) t(copy) WHERE k <> 0 AND (copy = 0 OR k = 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text)) AS i, left(role, 1) AS x, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS e FROM d),
+r AS MATERIALIZED (
+  SELECT *, CASE WHEN e = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN right(e, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS f, lag(x) OVER (PARTITION BY conv_id ORDER BY i) || x AS pair FROM o),
+n AS (
+  SELECT conv_id, count(*) AS n, count(*) FILTER (WHERE f = 'b') AS blank, count(*) FILTER (WHERE f = 'd') AS duplicate, count(*) FILTER (WHERE f = 't') AS truncated,
+    count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps FROM r GROUP BY conv_id),
+rest AS (
+  SELECT conv_id, n + 1 AS i, 0 AS b0, 10 AS b1, 5 AS b2, 0 AS b3 FROM n
+  UNION ALL
+  SELECT conv_id, i, least(c0, 5 + c2, 10 + c3), least(c1, 5 + c2, 10 + c3), least(c2, 5 + c3), least(c3, 5 + c2) FROM (
+    SELECT r.conv_id, r.i, least(2 + b0, keep + CASE x WHEN 's' THEN least(b1, 1 + b2) WHEN 'u' THEN b2 ELSE 1 + b2 END) AS c0, least(2 + b1, keep + CASE x WHEN 'u' THEN 0 ELSE 1 END + b2) AS c1,
+      least(2 + b2, keep + CASE x WHEN 'a' THEN 0 ELSE 1 END + b3) AS c2, least(2 + b3, keep + CASE x WHEN 'u' THEN 0 ELSE 1 END + b2) AS c3
+    FROM rest JOIN (SELECT *, CASE f WHEN '' THEN 0 WHEN 't' THEN 5 ELSE 1000000 END AS keep FROM r) r ON r.conv_id IS NOT DISTINCT FROM rest.conv_id AND r.i = rest.i - 1)),
+b AS MATERIALIZED (SELECT conv_id, i, unnest([0, 1, 2, 3]) AS q, unnest([b0, b1, b2, b3]) AS cost FROM rest),
+path AS (
+  SELECT conv_id, 1::BIGINT AS i, 0 AS q, '' AS audit, []::VARCHAR[] AS out FROM n
+  UNION ALL
+  SELECT conv_id, CASE edit WHEN 'I' THEN i ELSE i + 1 END, CASE edit WHEN 'D' THEN q WHEN 'S' THEN 1 ELSE nx END, audit || replace(edit, 'S', 'K'),
+    CASE edit WHEN 'D' THEN out WHEN 'I' THEN list_append(out, nrole || ':') WHEN 'R' THEN list_append(out, nrole || ':' || text) ELSE list_append(out, role || ':' || text) END
+  FROM (
+    SELECT p.*, r.role, r.text, CASE WHEN p.q = 2 THEN 3 ELSE 2 END AS nx, CASE WHEN p.q = 2 THEN 'assistant' ELSE 'user' END AS nrole,
+      CASE WHEN r.i IS NOT NULL AND 2 + d.cost = h.cost THEN 'D' WHEN 5 + s.cost = h.cost THEN 'I' WHEN r.i IS NULL THEN 'E'
+        WHEN p.q = 0 AND r.x = 's' AND f IN ('', 't') AND CASE f WHEN 't' THEN 5 ELSE 0 END + k.cost = h.cost THEN 'S'
+        WHEN r.x = CASE WHEN p.q = 2 THEN 'a' ELSE 'u' END AND f IN ('', 't') AND CASE f WHEN 't' THEN 5 ELSE 0 END + g.cost = h.cost THEN 'K' ELSE 'R' END AS edit
+    FROM path p LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i JOIN b h ON h.conv_id IS NOT DISTINCT FROM p.conv_id AND h.i = p.i AND h.q = p.q
+    LEFT JOIN b d ON d.conv_id IS NOT DISTINCT FROM p.conv_id AND d.i = p.i + 1 AND d.q = p.q LEFT JOIN b k ON k.conv_id IS NOT DISTINCT FROM p.conv_id AND k.i = p.i + 1 AND k.q = 1
+    LEFT JOIN b g ON g.conv_id IS NOT DISTINCT FROM p.conv_id AND g.i = p.i + 1 AND g.q = CASE WHEN p.q = 2 THEN 3 ELSE 2 END
+    JOIN b s ON s.conv_id IS NOT DISTINCT FROM p.conv_id AND s.i = p.i AND s.q = CASE WHEN p.q = 2 THEN 3 ELSE 2 END)
+  WHERE edit <> 'E'),
+last AS (SELECT p.* FROM path p JOIN n ON n.conv_id IS NOT DISTINCT FROM p.conv_id WHERE p.i = n.n + 1 QUALIFY row_number() OVER (PARTITION BY p.conv_id ORDER BY length(audit) DESC) = 1)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(b.cost, 0)::BIGINT AS cost,
+  coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(out, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN last ON last.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM a.conv_id AND b.i = 1 AND b.q = 0
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_window_dedup": _OP3, "op5_vector_dedup": _OP5, "op6_mix_sources": _OP6, "op7_suffix_dedup": _OP7, "op9_line_dedup": _OP9, "op10_jaccard_join": _OP10}
+    return {"op3_window_dedup": _OP3, "op5_vector_dedup": _OP5, "op6_mix_sources": _OP6, "op7_suffix_dedup": _OP7, "op9_line_dedup": _OP9, "op10_jaccard_join": _OP10, "op12_conversation_repair": _OP12}

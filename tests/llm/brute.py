@@ -120,3 +120,55 @@ def edit_in(item, text):
             new.append(min(row[j - 1] + (c != t), row[j] + 1, new[j - 1] + 1))
         row = new
     return min(row)
+
+
+def conversations(rows):
+    """conv_id -> what op12 returns, from (conv_id, turn, role, text, dropped)."""
+    by = defaultdict(list)
+    for conv_id, turn, role, text, dropped in rows:
+        by[conv_id] += [] if dropped else [(turn, role, text)]
+    out = {}
+    for conv_id, own in by.items():
+        own.sort(key=lambda r: (r[0] is not None, r[0], r[1].encode(), hashlib.sha256(f"{len(r[1])}:{r[1]}{r[2]}".encode()).digest()) if r[0] is not None else (False, 0, r[1].encode(), hashlib.sha256(f"{len(r[1])}:{r[1]}{r[2]}".encode()).digest()))
+        faults, seen = [], set()
+        for _, role, text in own:
+            end = text.rstrip(SPACES)
+            faults.append("blank" if not end else "duplicate" if (role, text) in seen else "" if end[-1] in ".!?" else "truncated")
+            seen.add((role, text))
+        turns = [t for t, _, _ in own if t is not None]
+        pairs = [a[1][:1] + b[1][:1] for a, b in zip(own, own[1:])]
+        ends = {"": True, "s": False, "u": False, "a": True}
+        follow = {"": "su", "s": "u", "u": "a", "a": "u"}
+        best = {}
+
+        def rest(i, last, inserts=2):
+            """Cheapest (cost, edits, rows) from row i on, after a row with the initial last."""
+            if (i, last, inserts) not in best:
+                ways = []
+                if i == len(own) and ends[last]:
+                    ways.append((0, "", []))
+                if inserts:
+                    for to in set(follow[last]) - {"s"}:
+                        c, e, r = rest(i, to, inserts - 1)
+                        ways.append((c + 5, "I" + e, [{"u": "user:", "a": "assistant:"}[to], *r]))
+                if i < len(own):
+                    _, role, text = own[i]
+                    c, e, r = rest(i + 1, last)
+                    ways.append((c + 2, "D" + e, r))
+                    if faults[i] in ("", "truncated"):
+                        extra = 5 * (faults[i] == "truncated")
+                        for to, name in (("u", "user"), ("a", "assistant")):
+                            if to in follow[last]:
+                                c, e, r = rest(i + 1, to)
+                                ways.append((c + 1 + extra, "R" + e, [f"{name}:{text}", *r]))
+                        if role[:1] and role[:1] in follow[last]:
+                            c, e, r = rest(i + 1, role[:1])
+                            ways.append((c + extra, "K" + e, [f"{role}:{text}", *r]))
+                best[i, last, inserts] = min(ways, key=lambda w: w[:2]) if ways else (10**9, "", [])
+            return best[i, last, inserts]
+
+        cost, audit, fixed = rest(0, "")
+        n = Counter(faults)
+        gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+        out[conv_id] = (gaps, n["blank"], n["duplicate"], n["truncated"], sum(p not in ("su", "ua", "au") for p in pairs), cost, audit, sha("\n".join(fixed)), fixed)
+    return out
