@@ -191,14 +191,15 @@ crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n,
 
 
 def _crc32(text: str) -> str:
+    """Where the one row of crc is in FROM."""
     octets = f"list_transform(range(strlen({text})), lambda i: ('0x' || substr(hex(encode({text})), 2 * i::INT + 1, 2))::BIGINT)"
-    return f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda c, b: xor(c >> 8, (SELECT t FROM crc)[xor(c & 255, b) + 1])), 4294967295)"
+    return f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda c, b: xor(c >> 8, crc.t[xor(c & 255, b) + 1])), 4294967295)"
 
 
 #: Damage, faults, costs of the rest from every row and state on, and the cheapest edits traced with them; the rule of op12.
 _OP12 = rf"""
 WITH RECURSIVE {_CRC.strip()},
-c AS MATERIALIZED (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS k FROM conversations),
+c AS MATERIALIZED (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS k FROM conversations, crc),
 d AS (
   SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
   FROM c, range(2) t(copy) WHERE k <> 0 AND (copy = 0 OR k = 3)),
