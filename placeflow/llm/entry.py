@@ -14,6 +14,7 @@ from .jaccard import jaccard_components
 from .langid import identify_language, learn_languages
 from .line_dedup import dedup_lines
 from .mixing import mix_to_weights
+from .spelling import spelling_forms, text_words
 from .suffix_dedup import dedup_suffixes
 from .toxicity import learn_toxicity, score_toxicity
 from .vector_dedup import vector_links
@@ -76,6 +77,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_read(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_forms(text_words(_read(spark, sf_dir, "documents").select("doc_id", "text"), every=97))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_report(damage(_read(spark, sf_dir, "conversations")), F.col("dropped"))
 
@@ -196,6 +201,25 @@ def _crc32(text: str) -> str:
     return f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda c, b: xor(c >> 8, crc.t[xor(c & 255, b) + 1])), 4294967295)"
 
 
+#: Words after typing errors; near words share what is left when a place is blanked, or one is the other without a place; the rule of op11.
+_OP11 = rf"""
+WITH RECURSIVE {_CRC.strip()},
+run AS MATERIALIZED (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents) WHERE length(run) >= 5 GROUP BY ALL),
+hashed AS (SELECT run, n, {_crc32("(coalesce(doc_id::VARCHAR, '') || ':' || run)")} AS h FROM run, crc),
+typed AS (SELECT n, CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM hashed),
+w AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM typed WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+place AS MATERIALIZED (SELECT word, n, i, left(word, i::INT) AS head, substr(word, i::INT + 2) AS tail FROM (SELECT word, n, unnest(range(length(word))) AS i FROM w)),
+near AS MATERIALIZED (
+  SELECT a.word, b.word AS other, b.n AS m FROM place a JOIN place b ON a.i = b.i AND a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM place a JOIN w b ON b.word = a.head || a.tail UNION SELECT b.word, a.word, a.n FROM place a JOIN w b ON b.word = a.head || a.tail),
+best AS (SELECT word, count(*) AS n_near, max(m) AS m, min(other) FILTER (WHERE m = top) AS other FROM (SELECT *, max(m) OVER (PARTITION BY word) AS top FROM near) GROUP BY 1),
+form AS MATERIALIZED (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN other END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n FROM w LEFT JOIN best USING (word)),
+up AS (SELECT word, word AS reached, form AS next FROM form UNION ALL SELECT up.word, form.word, form.form FROM up JOIN form ON up.next = form.word)
+SELECT f.word, f.form, reached AS root, f.n, f.n_near, f.form_n FROM form f JOIN up ON f.word = up.word AND up.next IS NULL
+"""
+
 #: Damage, faults, costs of the rest from every row and state on, and the cheapest edits traced with them; the rule of op12.
 _OP12 = rf"""
 WITH RECURSIVE {_CRC.strip()},
@@ -241,4 +265,4 @@ LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM a.conv_id AND b.i = 1 AND b.q = 0
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_window_dedup": _OP3, "op5_vector_dedup": _OP5, "op6_mix_sources": _OP6, "op7_suffix_dedup": _OP7, "op9_line_dedup": _OP9, "op10_jaccard_join": _OP10, "op12_conversation_repair": _OP12}
+    return {"op3_window_dedup": _OP3, "op5_vector_dedup": _OP5, "op6_mix_sources": _OP6, "op7_suffix_dedup": _OP7, "op9_line_dedup": _OP9, "op10_jaccard_join": _OP10, "op11_spelling_variants": _OP11, "op12_conversation_repair": _OP12}
