@@ -14,6 +14,7 @@ from .jaccard import jaccard_components
 from .langid import identify_language, learn_languages
 from .line_dedup import dedup_lines
 from .mixing import mix_to_weights
+from .secrets import count_of, find_secrets, listing
 from .spelling import spelling_forms, text_words
 from .suffix_dedup import dedup_suffixes
 from .toxicity import learn_toxicity, score_toxicity
@@ -85,6 +86,12 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_report(damage(_read(spark, sf_dir, "conversations")), F.col("dropped"))
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, base = find_secrets(_read(spark, sf_dir, "documents")), F.col("base")
+    counts = [count_of(base, kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(listing(base), 256).alias("base_sha256"), listing(F.col("secrets")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
