@@ -116,7 +116,8 @@ def padded_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def size_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(read(spark, sf_dir, "orders").select("o_orderkey", ratios.size_threshold(F.col("o_totalprice") / 10).alias("threshold")))
+    # not rounded: some prices lie on the edge between two roundings
+    return read(spark, sf_dir, "orders").select("o_orderkey", ratios.size_threshold(F.col("o_totalprice") / 10).alias("threshold"))
 
 
 def _presence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,7 +228,7 @@ SQL = {
       SELECT mesh, round(lat, 6) AS lat_min, round(lon, 6) AS lon_min, round(lat + 1 / 120.0::DOUBLE, 6) AS lat_max, round(lon + 1 / 80.0::DOUBLE, 6) AS lon_max, round(110.574::DOUBLE / 120, 6) AS height_km,
       round(111.320::DOUBLE / 80 * cos(radians(lat + 1 / 240.0::DOUBLE)), 6) AS width_km, mesh AS again FROM k""",
     "padded_codes": "SELECT CASE WHEN length(o_orderkey::VARCHAR) < 4 THEN lpad(o_orderkey::VARCHAR, 4, '0') ELSE o_orderkey::VARCHAR END AS code, count(*) AS n FROM orders GROUP BY 1",
-    "size_thresholds": "SELECT o_orderkey, round(0.75::DOUBLE + least(1.0::DOUBLE, greatest(0.0::DOUBLE, (o_totalprice / 10 - 3500) / 21500.0::DOUBLE)) * (2.0::DOUBLE / 3 - 0.75::DOUBLE), 6) AS threshold FROM orders",
+    "size_thresholds": "SELECT o_orderkey, 0.75::DOUBLE + least(1.0::DOUBLE, greatest(0.0::DOUBLE, (o_totalprice / 10 - 3500) / 21500.0::DOUBLE)) * (2.0::DOUBLE / 3 - 0.75::DOUBLE) AS threshold FROM orders",
     "presence_shares": f"WITH {_PRESENCE}, w AS (SELECT year, month, dayflag, timezone, zone, " + ", ".join(f"coalesce(sum(population) FILTER (WHERE from_area = {i}), 0.0) AS {c}" for i, c in presence.FROM_AREA.items()) + """ FROM p GROUP BY ALL), t AS (SELECT *, same_city + same_pref + same_region + other_region AS total FROM w)
       SELECT year, month, dayflag, timezone, zone, round(same_city, 6) AS same_city, round(same_pref, 6) AS same_pref, round(same_region, 6) AS same_region, round(other_region, 6) AS other_region, round(total, 6) AS total,
       round(CASE WHEN total > 0 THEN same_city / total END, 6) AS sc, round(CASE WHEN total > 0 THEN (same_region + other_region) / total END, 6) AS far_share FROM t""",

@@ -3,6 +3,7 @@
 import glob
 import math
 import os
+from decimal import Decimal
 
 import duckdb
 import pytest
@@ -22,19 +23,36 @@ def duck():
     return con
 
 
-def rows(df):
-    df = df[sorted(df.columns)]
-    plain = lambda x: None if x is None or x != x else (round(float(x), 5) if isinstance(x, float) else str(x))
-    out = [tuple(plain(float(x)) if hasattr(x, "dtype") and x.dtype.kind in "iuf" or isinstance(x, (int, float)) else plain(x) for x in r) for r in df.itertuples(index=False)]
-    return list(df.columns), sorted(out, key=str)
+def plain(x):
+    """A value as both engines give it: numbers that are no floats as integers where they are whole, NaN as missing."""
+    if isinstance(x, bool) or x is None:
+        return x
+    if isinstance(x, Decimal):
+        x = int(x) if x == int(x) else float(x)
+    return None if isinstance(x, float) and math.isnan(x) else x if isinstance(x, (int, float)) else str(x)
+
+
+def rows(columns, found):
+    """The names in order, and the rows: those of columns without floats first, so that last digits don't change the order."""
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    out = [tuple(plain(r[i]) for i in order) for r in found]
+    key = lambda r: (str([x for x in r if not isinstance(x, float)]), [f"{x:.6g}" for x in r if isinstance(x, float)])
+    return [columns[i] for i in order], sorted(out, key=key)
+
+
+def equal(x, y):
+    if isinstance(x, float) or isinstance(y, float):
+        return x is not None and y is not None and math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-9)
+    return x == y
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, duck, name):
-    got, want = rows(QUERIES[name](spark, SF).toPandas()), rows(duck.execute(SQL[name]).df())
+    frame, there = QUERIES[name](spark, SF), duck.execute(SQL[name])
+    got, want = rows(frame.columns, frame.collect()), rows([c[0] for c in there.description], there.fetchall())
     assert got[0] == want[0] and len(got[1]) == len(want[1]) > 0
     for a, b in zip(got[1], want[1]):
-        assert all(x == y or isinstance(x, float) and isinstance(y, float) and math.isclose(x, y, rel_tol=1e-9, abs_tol=2e-5) for x, y in zip(a, b)), (a, b)
+        assert all(equal(x, y) for x, y in zip(a, b)), (a, b)
 
 
 def test_entry_and_fragments(spark):
