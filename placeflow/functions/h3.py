@@ -1,4 +1,4 @@
-"""H3 cells and their boundaries as column expressions, from the public description of the grid: an icosahedron's faces, each with
+"""H3 cells and their boundaries in columns, from the public description of the grid: an icosahedron's faces, each with
 a hexagonal grid in gnomonic projection, and finer grids of a seventh of the cells' area, turned to and fro.
 
 All geometry is derived once from the fixed values below: corners and neighbours of faces, the base cells and how each is turned
@@ -14,7 +14,7 @@ import math
 from collections.abc import Callable
 from functools import cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values of the grid: latitude and longitude of the faces' centres, and the azimuth of their first axis, in radians
@@ -174,8 +174,17 @@ def _scaled(r: int) -> complex:
     return cmath.rect(math.sqrt(7) ** -r, TURN * (r % 2))
 
 
-def h3_cell(lat: Column, lng: Column, res: int) -> Column:
-    """The index (long) of the cell of a grid, 0 to 15, that holds a point in degrees; null where the point is not finite or beyond the poles."""
+def _doubles(x: float, a: Column, y: float, b: Column) -> Column:
+    return x * a + y * b
+
+
+def with_h3_cell(points: DataFrame, lat: str, lng: str, res: int, name: str = "cell") -> DataFrame:
+    """points with the index (long) of the cell of a grid, 0 to 15, that holds each: null where lat or lng (degrees) is not finite or beyond
+    the poles. A column of that name is replaced.
+
+    Each step is a projection of its own, so that nothing is computed twice and all of it is compiled; the last one is a generator
+    of one value, which keeps filters on the cell from being pushed into the steps.
+    """
     grid = _grid()
     spots = [(f, (i, j, k)) for f in range(20) for i in range(3) for j in range(3) for k in range(3)]
     bases = _table([grid["base"].get(s, -1) for s in spots], "int")
@@ -183,64 +192,44 @@ def h3_cell(lat: Column, lng: Column, res: int) -> Column:
     turned = _table([_turned(d, t) if d else 0 for t in range(6) for d in range(7)], "int")
     axes = _table([c for face in grid["faces"] for axis in (face.x, face.y) for c in axis])
     fine = 1 / _scaled(res) / UNIT
-
-    def on_face(v: Column, dots: Column) -> Column:
-        def plane(face: Column) -> Column:
-            x, y = (sum(v[c] * _at(axes, face * 6 + at + i) for i, c in enumerate("xyz")) / F.element_at(dots, face + 1) for at in (0, 3))
-            b = (fine.imag * x + fine.real * y) / (math.sqrt(3) / 2)
-            a = fine.real * x - fine.imag * y + b / 2
-            return _let(F.struct((a - b).alias("q"), b.alias("r"), (-a).alias("s")), lambda p: nearest(face, p))
-
-        return _let((F.array_position(dots, F.array_max(dots)) - 1).cast("int"), plane)
-
-    def nearest(face: Column, p: Column) -> Column:
-        whole = F.struct(*(F.floor(p[c] + 0.5).alias(c) for c in "qrs"))
-
-        def fixed(w: Column) -> Column:
-            dq, dr, ds = (F.abs(w[c] - p[c]) for c in "qrs")
-            q = F.when((dq > dr) & (dq > ds), -w["r"] - w["s"]).otherwise(w["q"])
-            r = F.when((dr >= dq) & (dr > ds), -w["q"] - w["s"]).otherwise(w["r"])
-            return F.struct((q + r).cast("long").alias("a"), r.cast("long").alias("b"))
-
-        return _let(_let(whole, fixed), lambda c: coarser(face, c))
-
-    def coarser(face: Column, cell: Column) -> Column:
-        start = F.struct(cell["a"].alias("a"), cell["b"].alias("b"), F.array().cast("array<int>").alias("digits"))
-        if not res:
-            return _let(start, lambda c: indexed(face, c))
-
-        def step(c: Column, r: Column) -> Column:
-            a, b, odd = c["a"], c["b"], r % 2 == 1
-            up = F.struct(F.floor(F.when(odd, 3 * a - b).otherwise(2 * a + b) / 7 + 0.5).alias("a"), F.floor(F.when(odd, a + 2 * b).otherwise(3 * b - a) / 7 + 0.5).alias("b"))
-
-            def digit(u: Column) -> Column:
-                da, db = a - F.when(odd, 2 * u["a"] + u["b"]).otherwise(3 * u["a"] - u["b"]), b - F.when(odd, 3 * u["b"] - u["a"]).otherwise(u["a"] + 2 * u["b"])
-                low = F.least(da, db, F.lit(0))
-                d = 4 * (da - low) + 2 * (db - low) - low
-                return F.struct(u["a"].alias("a"), u["b"].alias("b"), F.concat(F.array(d.cast("int")), c["digits"]).alias("digits"))
-
-            return _let(up, digit)
-
-        return _let(F.aggregate(F.array(*map(F.lit, range(res, 0, -1))), start, step), lambda c: indexed(face, c))
-
-    def indexed(face: Column, c: Column) -> Column:
-        low = F.least(c["a"], c["b"], F.lit(0))
-        ijk = (c["a"] - low, c["b"] - low, -low)
-        spot = face * 27 + ijk[0] * 9 + ijk[1] * 3 + ijk[2]
-        lead = F.coalesce(F.try_element_at(F.filter(c["digits"], lambda d: d > 0), F.lit(1)), F.lit(0))
-        fixed = (1 << 59) + (res << 52) + sum(7 << (45 - 3 * r) for r in range(res + 1, FINEST + 1))
-
-        def put(turn: Column) -> Column:
-            places = F.zip_with(c["digits"], F.array(*(F.lit(1 << (45 - 3 * r)) for r in range(1, res + 1))).cast("array<long>"), lambda d, p: _at(turned, turn * 7 + d) * p)
-            return F.aggregate(places, F.lit(fixed).cast("long") + _at(bases, spot) * F.lit(1 << 45), lambda total, x: total + x)
-
-        return F.when(F.greatest(*ijk) < 3, _let(_at(turns, spot * 7 + lead), put))
-
-    up, round_ = F.radians(lat), F.radians(lng)
-    point = F.struct((F.cos(up) * F.cos(round_)).alias("x"), (F.cos(up) * F.sin(round_)).alias("y"), F.sin(up).alias("z"))
-    dots = lambda v: F.array(*(sum(v[c] * n for c, n in zip("xyz", face.centre, strict=True)) for face in grid["faces"]))
-    sound = lat.between(-90.0, 90.0) & (F.abs(lng) < float("inf"))
-    return F.when(sound, _let(point, lambda v: _let(dots(v), lambda d: on_face(v, d))))
+    own = [F.col(f"`{c}`") for c in points.columns if c != name]
+
+    def step(frame: DataFrame, **new: Column) -> DataFrame:
+        return frame.select("*", *(v.alias(f"__h3_{k}") for k, v in new.items()))
+
+    at = lambda k: F.col(f"__h3_{k}")
+    sound = F.col(f"`{lat}`").between(-90.0, 90.0) & (F.abs(F.col(f"`{lng}`")) < float("inf"))
+    rows = step(points, up=F.radians(F.when(sound, F.col(f"`{lat}`"))), round=F.radians(F.when(sound, F.col(f"`{lng}`"))))
+    rows = step(rows, x=F.cos(at("up")) * F.cos(at("round")), y=F.cos(at("up")) * F.sin(at("round")), z=F.sin(at("up")))
+    rows = step(rows, dots=F.array(*(sum(at(c) * n for c, n in zip("xyz", face.centre, strict=True)) for face in grid["faces"])))
+    rows = step(rows, dot=F.array_max(at("dots")))
+    rows = step(rows, face=F.array_position(at("dots"), at("dot")).cast("int") - 1)
+    rows = step(rows, **{c: sum(at(v) * _at(axes, at("face") * 6 + 3 * k + i) for i, v in enumerate("xyz")) / at("dot") for k, c in enumerate(("px", "py"))})
+    rows = step(rows, r=_doubles(fine.imag, at("px"), fine.real, at("py")) / (math.sqrt(3) / 2))
+    rows = step(rows, s=-(_doubles(fine.real, at("px"), -fine.imag, at("py")) + at("r") / 2))
+    rows = step(rows, q=-at("s") - at("r"))
+    rows = step(rows, **{f"w{c}": F.floor(at(c) + 0.5) for c in "qrs"})
+    rows = step(rows, **{f"d{c}": F.abs(at(f"w{c}") - at(c)) for c in "qrs"})
+    rows = step(rows, b0=F.when((at("dr") >= at("dq")) & (at("dr") > at("ds")), -at("wq") - at("ws")).otherwise(at("wr")), q0=F.when((at("dq") > at("dr")) & (at("dq") > at("ds")), -at("wr") - at("ws")).otherwise(at("wq")))
+    rows = step(rows, a0=at("q0") + at("b0"))
+    for k, r in enumerate(range(res, 0, -1)):
+        a, b = at(f"a{k}"), at(f"b{k}")
+        up = (3 * a - b, a + 2 * b) if r % 2 else (2 * a + b, 3 * b - a)
+        rows = step(rows, **{f"{c}{k + 1}": F.floor(u / 7 + 0.5) for c, u in zip("ab", up, strict=True)})
+        a1, b1 = at(f"a{k + 1}"), at(f"b{k + 1}")
+        down = (2 * a1 + b1, 3 * b1 - a1) if r % 2 else (3 * a1 - b1, a1 + 2 * b1)
+        rows = step(rows, **{f"e{k}": a - down[0], f"f{k}": b - down[1]})
+        rows = step(rows, **{f"low{k}": F.least(at(f"e{k}"), at(f"f{k}"), F.lit(0))})
+        rows = step(rows, **{f"digit{r}": (4 * at(f"e{k}") + 2 * at(f"f{k}") - 7 * at(f"low{k}")).cast("int")})
+    a, b = at(f"a{res}"), at(f"b{res}")
+    rows = step(rows, low=F.least(a, b, F.lit(0)))
+    rows = step(rows, spot=(at("face") * 27 + (a - at("low")) * 9 + (b - at("low")) * 3 - at("low")).cast("int"), lead=F.coalesce(*(F.nullif(at(f"digit{r}"), F.lit(0)) for r in range(1, res + 1)), F.lit(0)))
+    rows = step(rows, turn=_at(turns, at("spot") * 7 + at("lead")) * 7)
+    fixed = (1 << 59) + (res << 52) + sum(7 << (45 - 3 * r) for r in range(res + 1, FINEST + 1))
+    cell = F.lit(fixed) + _at(bases, at("spot")) * F.lit(1 << 45)
+    for r in range(1, res + 1):
+        cell = cell + _at(turned, at("turn") + at(f"digit{r}")) * F.lit(1 << (45 - 3 * r)).cast("long")
+    return rows.select(*own, F.explode(F.array(cell)).alias(name))
 
 
 def h3_name(cell: Column) -> Column:
@@ -256,7 +245,7 @@ def _read(cell: Column) -> Column:
     """base, res, digits, lead of an index."""
     bits = lambda shift, mask: F.shiftright(cell, shift).bitwiseAND(F.lit(mask)).cast("int")
     res = bits(52, 15)
-    digits = F.transform(F.slice(F.array(*map(F.lit, range(1, FINEST + 1))), 1, res), lambda r: F.expr("7").cast("long").bitwiseAND(F.call_function("shiftright", cell, (45 - 3 * r).cast("int"))).cast("int"))
+    digits = F.slice(F.array(*(bits(45 - 3 * r, 7) for r in range(1, FINEST + 1))), 1, res)
     whole = F.struct(bits(45, 127).alias("base"), res.alias("res"), digits.alias("digits"))
     lead = lambda w: F.coalesce(F.try_element_at(F.filter(w["digits"], lambda d: d > 0), F.lit(1)), F.lit(0))
     return _let(whole, lambda w: F.struct(w["base"].alias("base"), w["res"].alias("res"), w["digits"].alias("digits"), lead(w).alias("lead")))

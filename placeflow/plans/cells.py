@@ -16,7 +16,7 @@ RESOLUTIONS = (7, 8, 9)
 
 
 def _places(spark: SparkSession, sf_dir: str, res: int) -> DataFrame:
-    return _geo(spark, sf_dir).withColumn("cell", h3.h3_cell(F.col("lat"), F.col("lon"), res))
+    return h3.with_h3_cell(_geo(spark, sf_dir), "lat", "lon", res)
 
 
 def h3_dna(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,16 +26,19 @@ def h3_dna(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def h3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by cell at three resolutions, named as usual."""
-    points = _geo(spark, sf_dir)
-    cells = F.array(*(F.struct(F.lit(r).alias("res"), h3.h3_name(h3.h3_cell(F.col("lat"), F.col("lon"), r)).alias("cell")) for r in RESOLUTIONS))
-    return points.select(F.explode(cells).alias("c")).groupBy("c.res", "c.cell").agg(F.count("*").alias("points"))
+    points = _geo(spark, sf_dir).select("lat", "lon")
+    for r in RESOLUTIONS:
+        points = h3.with_h3_cell(points, "lat", "lon", r, f"cell{r}")
+    cells = F.array(*(F.struct(F.lit(r).alias("res"), F.col(f"cell{r}").alias("cell")) for r in RESOLUTIONS))
+    counts = points.select(F.explode(cells).alias("c")).groupBy("c.res", "c.cell").agg(F.count("*").alias("points"))
+    return counts.select("res", h3.h3_name(F.col("cell")).alias("name"), "points").withColumnRenamed("name", "cell")
 
 
 def h3_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each cell with events, its centre and its boundary."""
     cells = _places(spark, sf_dir, 7).groupBy("cell").agg(F.count("*").alias("points"))
-    centre = cells.withColumn("centre", h3.h3_centre(F.col("cell")))
-    return centre.select(h3.h3_name(F.col("cell")).alias("cell"), "points", F.col("centre.lat").alias("lat"), F.col("centre.lng").alias("lon"), h3.h3_boundary_wkt(F.col("cell")).alias("wkt"))
+    shaped = cells.select(h3.h3_name(F.col("cell")).alias("name"), "points", h3.h3_centre(F.col("cell")).alias("centre"), h3.h3_boundary_wkt(F.col("cell")).alias("wkt"))
+    return shaped.select(F.col("name").alias("cell"), "points", F.col("centre.lat").alias("lat"), F.col("centre.lng").alias("lon"), "wkt")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

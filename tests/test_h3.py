@@ -33,7 +33,7 @@ def _every(res):
 def _whole(spark, res):
     cells = spark.createDataFrame([(c,) for c in _every(res)], "cell long").repartition(8)
     centre = cells.select("cell", h3.h3_boundary(F.col("cell")).alias("ring"), h3.h3_centre(F.col("cell")).alias("m"))
-    return centre.select("cell", "ring", "m", h3.h3_cell(F.col("m.lat"), F.col("m.lng"), res).alias("again")).collect()
+    return h3.with_h3_cell(centre.select("cell", "ring", "m", "m.lat", "m.lng"), "lat", "lng", res, "again").collect()
 
 
 def _vector(p):
@@ -54,7 +54,7 @@ def _area(centre, ring):
 def test_published_values(spark):
     points = spark.createDataFrame(CELLS, "lat double, lng double, res int, name string")
     for res in {c[2] for c in CELLS}:
-        got = points.where(F.col("res") == res).select("name", h3.h3_name(h3.h3_cell(F.col("lat"), F.col("lng"), res)).alias("got")).collect()
+        got = h3.with_h3_cell(points.where(F.col("res") == res), "lat", "lng", res, "c").select("name", h3.h3_name(F.col("c")).alias("got")).collect()
         assert got and all(r["name"] == r["got"] for r in got)
     cell = spark.createDataFrame([("85283473fffffff",), (None,)], "name string").select(h3.h3_parse(F.col("name")).alias("c"))
     one, none = cell.select(h3.h3_centre(F.col("c")).alias("m"), h3.h3_boundary(F.col("c")).alias("ring"), h3.h3_boundary_wkt(F.col("c")).alias("wkt")).collect()
@@ -66,8 +66,10 @@ def test_published_values(spark):
 
 def test_odd_points(spark):
     rows = [(None, 1.0), (1.0, None), (91.0, 0.0), (float("nan"), 0.0), (0.0, float("inf")), (90.0, 12.0), (-90.0, 0.0), (10.0, 190.0), (10.0, -170.0)]
-    got = [r["c"] for r in spark.createDataFrame(rows, "lat double, lng double").coalesce(1).select(h3.h3_cell(F.col("lat"), F.col("lng"), 6).alias("c")).collect()]
+    cells = h3.with_h3_cell(spark.createDataFrame(rows, "lat double, lng double").coalesce(1), "lat", "lng", 6)
+    got = [r["cell"] for r in cells.collect()]
     assert got[:5] == [None] * 5 and None not in got[5:] and got[7] == got[8]
+    assert cells.where("cell IS NOT NULL").count() == 4 and h3.with_h3_cell(cells, "lat", "lng", 6).columns == ["lat", "lng", "cell"]
 
 
 @pytest.mark.parametrize("res", [0, 1, 2, 3])
