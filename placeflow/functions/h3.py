@@ -182,8 +182,9 @@ def with_h3_cell(points: DataFrame, lat: str, lng: str, res: int, name: str = "c
     """points with the index (long) of the cell of a grid, 0 to 15, that holds each: null where lat or lng (degrees) is not finite or beyond
     the poles. A column of that name is replaced.
 
-    Each step is a projection of its own, so that nothing is computed twice and all of it is compiled; the last one is a generator
-    of one value, which keeps filters on the cell from being pushed into the steps.
+    Each step is a projection of its own, so that nothing is computed twice; the last one is a generator of one value, which keeps
+    filters on the cell from being pushed into the steps. Some steps hold an expression that is not compiled (_let), so that those
+    between are compiled in pieces: all in one is a method too long for the JVM to optimize, and takes four times as long.
     """
     grid = _grid()
     spots = [(f, (i, j, k)) for f in range(20) for i in range(3) for j in range(3) for k in range(3)]
@@ -202,11 +203,11 @@ def with_h3_cell(points: DataFrame, lat: str, lng: str, res: int, name: str = "c
     rows = step(points, up=F.radians(F.when(sound, F.col(f"`{lat}`"))), round=F.radians(F.when(sound, F.col(f"`{lng}`"))))
     rows = step(rows, x=F.cos(at("up")) * F.cos(at("round")), y=F.cos(at("up")) * F.sin(at("round")), z=F.sin(at("up")))
     rows = step(rows, dots=F.array(*(sum(at(c) * n for c, n in zip("xyz", face.centre, strict=True)) for face in grid["faces"])))
-    rows = step(rows, dot=F.array_max(at("dots")))
+    rows = step(rows, dot=_let(F.array_max(at("dots")), lambda v: v))
     rows = step(rows, face=F.array_position(at("dots"), at("dot")).cast("int") - 1)
     rows = step(rows, **{c: sum(at(v) * _at(axes, at("face") * 6 + 3 * k + i) for i, v in enumerate("xyz")) / at("dot") for k, c in enumerate(("px", "py"))})
     rows = step(rows, r=_doubles(fine.imag, at("px"), fine.real, at("py")) / (math.sqrt(3) / 2))
-    rows = step(rows, s=-(_doubles(fine.real, at("px"), -fine.imag, at("py")) + at("r") / 2))
+    rows = step(rows, s=_let(-(_doubles(fine.real, at("px"), -fine.imag, at("py")) + at("r") / 2), lambda v: v))
     rows = step(rows, q=-at("s") - at("r"))
     rows = step(rows, **{f"w{c}": F.floor(at(c) + 0.5) for c in "qrs"})
     rows = step(rows, **{f"d{c}": F.abs(at(f"w{c}") - at(c)) for c in "qrs"})
@@ -219,7 +220,7 @@ def with_h3_cell(points: DataFrame, lat: str, lng: str, res: int, name: str = "c
         a1, b1 = at(f"a{k + 1}"), at(f"b{k + 1}")
         down = (2 * a1 + b1, 3 * b1 - a1) if r % 2 else (3 * a1 - b1, a1 + 2 * b1)
         rows = step(rows, **{f"e{k}": a - down[0], f"f{k}": b - down[1]})
-        rows = step(rows, **{f"low{k}": F.least(at(f"e{k}"), at(f"f{k}"), F.lit(0))})
+        rows = step(rows, **{f"low{k}": _let(F.least(at(f"e{k}"), at(f"f{k}"), F.lit(0)), lambda v: v)})
         rows = step(rows, **{f"digit{r}": (4 * at(f"e{k}") + 2 * at(f"f{k}") - 7 * at(f"low{k}")).cast("int")})
     a, b = at(f"a{res}"), at(f"b{res}")
     rows = step(rows, low=F.least(a, b, F.lit(0)))
