@@ -107,6 +107,45 @@ class Rolling:
         return mix((total[end] - total[start]) * self.down[start] + (end - start).astype(U64) * U64(0x2545F4914F6CDD1D))
 
 
+class Prints:
+    """Hashes of byte ranges that stand for them: two polynomials modulo primes, so that no two ranges collide whatever the base, as some
+    do modulo a power of two. Two given ranges of n bytes share a hash with a chance of about (n / 2**31)**2."""
+
+    PRIMES = (2147483647, 2147483629)
+
+    def __init__(self, seed: int, fold_case: bool = False) -> None:
+        rng = np.random.default_rng(seed)
+        self.bases = [int(rng.integers(1 << 20, p - 1)) for p in self.PRIMES]
+        values = [rng.integers(1, p, 256).astype(U64) for p in self.PRIMES]
+        self.values = [v[LOWER] if fold_case else v for v in values]
+        self.up = self.down = [np.ones(1, U64)] * 2
+
+    def _grow(self, n: int) -> None:
+        if n > len(self.up[0]):
+            n = max(n, len(self.up[0]) + len(self.up[0]) // 4)
+            self.up = [_powers(b, n, p) for b, p in zip(self.bases, self.PRIMES, strict=True)]
+            self.down = [_powers(pow(b, -1, p), n, p) for b, p in zip(self.bases, self.PRIMES, strict=True)]
+
+    def ranges(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        self._grow(len(buf) + 1)
+        halves = []
+        for k, p in enumerate(map(U64, self.PRIMES)):
+            # terms are below 2**31, so the sum of 2**32 of them fits
+            total = np.zeros(len(buf) + 1, U64)
+            np.cumsum(self.values[k][buf] * self.up[k][: len(buf)] % p, out=total[1:])
+            halves.append((total[end] - total[start]) % p * self.down[k][start] % p)
+        return mix(mix((halves[0] << U64(32)) | halves[1]) + (end - start).astype(U64) * U64(0x2545F4914F6CDD1D))
+
+
+def _powers(base: int, n: int, prime: int) -> np.ndarray:
+    out, have = np.ones(n, U64), 1
+    while have < n:
+        more = min(have, n - have)
+        out[have : have + more] = out[:more] * U64(pow(base, have, prime)) % U64(prime)
+        have += more
+    return out
+
+
 def combine(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of each n consecutive values of h, in order; len(h) - n + 1 values."""
     m = len(h) - n + 1

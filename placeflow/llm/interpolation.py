@@ -21,13 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._stage import bound_batches, input_partitions, stage
-from ._text import Rolling, blocks, mix, split_words
+from ._text import Prints, blocks, mix, split_words
 
 #: Bytes of a chunk's text, of the input for each range, and codes that a range counts at once.
 CHUNK, PART, SLICE = 4 << 20, 6 << 20, 1 << 20
 #: One in DELETED training texts is kept from the counts; context buckets.
 DELETED, CONTEXTS = 8, 18
-_ROLL = Rolling(seed=2, fold_case=True)
+_ROLL = Prints(seed=2, fold_case=True)
 _END, _BEGIN = np.uint64(0x1E4D), np.uint64(0xBE91)
 WORD, PAIR = 0, 1
 #: What becomes of a text: counted, deleted from the counts but training, or held out.

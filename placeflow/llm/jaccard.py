@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._stage import bound_batches, input_partitions, stage
-from ._text import Rolling, blocks, combine, mix, split_words
+from ._text import Prints, blocks, combine, mix, split_words
 from .components import components
 
 WORDS, PERCENT = 5, 80
@@ -39,7 +39,7 @@ SKETCH_LONGS = 16
 #: Rows of a table of ids that may be broadcast.
 SMALL = 1 << 20
 _BUFFER = 400_000
-_ROLL = Rolling(seed=10, fold_case=True)
+_ROLL = Prints(seed=10, fold_case=True)
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, words: int = WORDS) -> list[np.ndarray]:
