@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.names import ascii_name, base_name, qualifier, qualifier_fits
+from ..functions.names import ascii_name, base_name, qualifier, qualifier_fits, wildcard_fits
 from .cut import rounds
 
 
@@ -27,13 +27,18 @@ def without_prefix(polygons: DataFrame, column: str, prefix: str = "9") -> DataF
     return polygons.where(F.coalesce(~F.col(column).cast("string").startswith(prefix), F.lit(True)))
 
 
-def match(polygons: DataFrame, census: DataFrame, most_rounds: int = 20) -> DataFrame:
+class MatchError(ValueError):
+    """A match that is not one to one: what is ambiguous, or territories without a polygon."""
+
+
+def match(polygons: DataFrame, census: DataFrame, strict: bool = False) -> DataFrame:
     """polygon_id, key, stage of the polygons that got a territory; polygons has polygon_id and name, census name and area.
 
-    Stage 1: full names without twins. Stage 2: twins by the qualifier, which begins the area's name. Stage 3: names with lost
-    letters, where one territory only fits the polygon and the polygon is the only one it fits; what that settles is taken out, and the
-    stage is repeated until nothing new is settled. A territory is matched once: of several polygons that ask for it in stage 1 the
-    smallest id gets it.
+    Stage 1: full names without twins; of several polygons that ask for a territory the smallest id gets it. Stage 2: twins by the
+    qualifier, which begins the area's name, where one polygon fits one twin only. Stage 3: names with lost letters. A polygon that
+    only one free territory fits claims it, unless another such polygon claims it too; what is settled is taken out, so that others
+    may have one left, until nothing more is. The order of rows plays no part. strict raises MatchError where a qualifier or a name
+    with lost letters fits several territories or rivals, or a territory is left without a polygon.
     """
     with rounds(polygons.sparkSession) as cut:
         p = cut(polygon_names(polygons).where("base <> ''").select("polygon_id", "base", "qual"))
@@ -41,28 +46,49 @@ def match(polygons: DataFrame, census: DataFrame, most_rounds: int = 20) -> Data
         plain = p.where(~F.col("base").contains("?")).join(c.where(~F.col("twin")), "base").groupBy("key").agg(F.min("polygon_id").alias("polygon_id"))
         done = cut(plain.select("polygon_id", "key", F.lit(1).alias("stage")))
         rest = p.join(done, "polygon_id", "left_anti")
-        twins = candidates(rest, c.where("twin")).where(qualifier_fits(F.col("qual"), F.col("area_ascii"))).select("polygon_id", "key")
-        done = cut(done.union(_alone(twins).select("polygon_id", "key", F.lit(2))))
-        for _ in range(most_rounds):
-            free = p.where(F.col("base").contains("?")).join(done, "polygon_id", "left_anti")
-            fresh = cut(_alone(candidates(free, c.join(done, "key", "left_anti")).select("polygon_id", "key")).select("polygon_id", "key", F.lit(3).alias("stage")))
+        twins = cut(candidates(rest, c.where("twin")).where(qualifier_fits(F.col("qual"), F.col("area_ascii"))).select("polygon_id", "key"))
+        alone = cut(_alone(twins).select("polygon_id", "key", F.lit(2).alias("stage")))
+        if strict:
+            _refuse(twins.join(alone, "polygon_id", "left_anti"), "qualifiers fit several twins")
+        done = cut(done.union(alone))
+        free = p.where(F.col("base").contains("?")).join(done, "polygon_id", "left_anti")
+        pairs = cut(candidates(free, c.join(done, "key", "left_anti")).select("polygon_id", "key"))
+        while True:
+            single = pairs.groupBy("polygon_id").agg(F.count("*").alias("n"), F.min("key").alias("key")).where("n = 1")
+            fresh = cut(single.groupBy("key").agg(F.count("*").alias("n"), F.min("polygon_id").alias("polygon_id")).where("n = 1").select("polygon_id", "key", F.lit(3).alias("stage")))
             if fresh.isEmpty():
                 break
-            done = cut(done.union(fresh))
+            done = done.union(fresh)
+            pairs = cut(pairs.join(fresh, "polygon_id", "left_anti").join(fresh, "key", "left_anti").select("polygon_id", "key"))
+        if strict:
+            _refuse(pairs, "names fit several territories, or several names one")
+            _refuse(c.join(done, "key", "left_anti").select(F.lit("").alias("polygon_id"), "key"), "territories are left without a polygon")
         return cut(done)
 
 
+def _refuse(pairs: DataFrame, what: str) -> None:
+    found = pairs.orderBy("polygon_id", "key").limit(10).collect()
+    if found:
+        raise MatchError(f"{what}: " + ", ".join(f"{r['polygon_id']} {r['key']}".strip() for r in found))
+
+
 def candidates(polygons: DataFrame, census: DataFrame) -> DataFrame:
     """Columns of both (census' base is left out) where a polygon's base, with ? for any one letter, fits a territory's.
 
-    Each way in which letters are lost (length and places of the ?) is applied to the territories of that length, whose names so
-    become patterns too; what then is equal, fits. No pattern is tried on all names.
+    A name is cut where letters are lost, and its longest piece must stand at its place in a territory's name of the same length: that
+    is an equal-value join. Territories give a row for each length and place of a piece that occurs among the polygons, not for each
+    way of losing letters. What the piece finds is verified.
     """
-    ways = polygons.select(F.regexp_replace("base", "[^?]", ".").alias("way")).distinct().withColumn("size", F.length("way"))
-    letter = lambda i: F.when(F.col("way").substr(i, F.lit(1)) == "?", F.lit("?")).otherwise(F.col("base").substr(i, F.lit(1)))
-    blurred = F.array_join(F.transform(F.sequence(F.lit(1), F.col("size")), letter), "")
-    named = census.withColumn("size", F.length("base")).join(ways, "size").withColumn("blurred", blurred).drop("size", "way", "base")
-    return polygons.join(named, F.col("base") == F.col("blurred")).drop("blurred")
+    part = F.aggregate(
+        F.split("base", r"\?"),
+        F.struct(F.lit(0).alias("at"), F.lit(0).alias("begin"), F.lit("").alias("piece")),
+        lambda best, x: F.struct((best["at"] + F.length(x) + 1).alias("at"), F.when(F.length(x) > F.length(best["piece"]), best["at"]).otherwise(best["begin"]).alias("begin"), F.when(F.length(x) > F.length(best["piece"]), x).otherwise(best["piece"]).alias("piece")),
+    )
+    keyed = polygons.withColumn("__best", part).withColumns({"__size": F.length("base"), "__begin": F.col("__best.begin"), "__piece": F.col("__best.piece")}).drop("__best")
+    shapes = keyed.select("__size", "__begin", F.length("__piece").alias("__length")).distinct()
+    named = census.withColumn("__size", F.length("base")).join(shapes, "__size").withColumn("__piece", F.expr("substring(base, __begin + 1, __length)")).withColumnRenamed("base", "__name")
+    met = keyed.join(named.drop("__length"), ["__size", "__begin", "__piece"])
+    return met.where(wildcard_fits(F.col("base"), F.col("__name"))).drop("__size", "__begin", "__piece", "__name")
 
 
 def _alone(pairs: DataFrame) -> DataFrame:

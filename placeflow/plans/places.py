@@ -66,19 +66,20 @@ def _cell(size: float) -> Column:
     return grid.square_cell(F.col("lat"), F.col("lon"), size)
 
 
-def _scenarios(spark: SparkSession) -> DataFrame:
-    centres = spark.createDataFrame([(f"city{i}", 34.39 + i, 132.45) for i in range(CITIES)], "city string, lat double, lon double")
-    return checks.shifted_boxes(centres, 2.0, 60.0, 0.08)
+def _scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes around the middle of each city's points."""
+    middle = lambda c: ((F.min(c) + F.max(c)) / 2).alias(c)
+    return checks.shifted_boxes(_geo(spark, sf_dir).groupBy("city").agg(middle("lat"), middle("lon")), 2.0, 60.0, 0.08)
 
 
 def shifted_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_scenarios(spark))
+    return rounded(_scenarios(spark, sf_dir))
 
 
 def shift_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Medians and ranks of the cities when their centres move two kilometres."""
     points = _geo(spark, sf_dir).withColumn("cell", _cell(0.02))
-    return rounded(checks.shift_medians(checks.scenario_cells(points, _scenarios(spark), 3)))
+    return rounded(checks.shift_medians(checks.scenario_cells(points, _scenarios(spark, sf_dir), 3)))
 
 
 def resolution_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,8 +191,8 @@ _GEO = f"""geo AS (
 _AT = "concat_ws('_', floor(lat / {size}::DOUBLE)::BIGINT, floor(lon / {size}::DOUBLE)::BIGINT)"
 _BOXES = f"""boxes AS (
   SELECT city, scenario, lat + dlat - hlat AS lat_min, lat + dlat + hlat AS lat_max, lon + dlon - 0.04::DOUBLE AS lon_min, lon + dlon + 0.04::DOUBLE AS lon_max FROM (
-    SELECT 'city' || i AS city, scenario, lat, lon, n * 2.0 / 110.574::DOUBLE AS dlat, e * 2.0 / (111.320::DOUBLE * cos(radians(lat))) AS dlon, 60.0::DOUBLE / (0.08::DOUBLE * 111.320::DOUBLE * cos(radians(lat))) / 110.574::DOUBLE / 2 AS hlat
-    FROM (SELECT i, 34.39::DOUBLE + i AS lat, 132.45::DOUBLE AS lon FROM range({CITIES}) t(i)), (VALUES ('centre', 0.0, 0.0), ('east', 0.0, 1.0), ('north', 1.0, 0.0), ('south', -1.0, 0.0), ('west', 0.0, -1.0)) m(scenario, n, e)))"""
+    SELECT city, scenario, lat, lon, n * 2.0 / 110.574::DOUBLE AS dlat, e * 2.0 / (111.320::DOUBLE * cos(radians(lat))) AS dlon, 60.0::DOUBLE / (0.08::DOUBLE * 111.320::DOUBLE * cos(radians(lat))) / 110.574::DOUBLE / 2 AS hlat
+    FROM (SELECT city, (min(lat) + max(lat)) / 2 AS lat, (min(lon) + max(lon)) / 2 AS lon FROM geo GROUP BY city), (VALUES ('centre', 0.0, 0.0), ('east', 0.0, 1.0), ('north', 1.0, 0.0), ('south', -1.0, 0.0), ('west', 0.0, -1.0)) m(scenario, n, e)))"""
 _MESH = """e AS (SELECT 34.3005::DOUBLE + (event_id % 180) * 0.001::DOUBLE AS lat, 132.3505::DOUBLE + (user_id % 200) * 0.001::DOUBLE AS lon FROM events),
   a AS (SELECT *, floor(lat * 60 / 40) AS r1, floor(lon) AS c1 FROM e), b AS (SELECT *, lat * 60 - r1 * 40 AS m, (lon - c1) * 60 AS x FROM a),
   c AS (SELECT *, floor(m / 5) AS r2, floor(x / 7.5) AS c2 FROM b), d AS (SELECT *, floor((m - r2 * 5) * 2) AS r3, floor((x - c2 * 7.5) * 60 / 45) AS c3 FROM c)"""
@@ -214,7 +215,7 @@ SQL = {
       CASE WHEN ok THEN round(exp(h), 6) END AS cat_hill_q1, CASE WHEN ok THEN round(1 / pp, 6) END AS cat_hill_q2, CASE WHEN ok THEN round(top, 6) END AS top_cat_share, CASE WHEN ok THEN dominant_category END AS dominant_category,
       CASE WHEN NOT ok OR poi_count <= 1 THEN NULL WHEN f1 = 0 THEN 1.0 ELSE round(1 - f1 / poi_count * ((poi_count - 1) * f1 / nullif((poi_count - 1) * f1 + 2 * f2, 0)), 6) END AS sample_coverage, NOT ok AS below_threshold
       FROM (SELECT p.cell, c.*, coalesce(c.poi_count >= 40, false) AS ok FROM (SELECT DISTINCT p_size AS cell FROM part) p LEFT JOIN cells c ON p.cell = c.p_size)""",
-    "shifted_boxes": f"WITH {_BOXES} SELECT city, scenario, round(lat_min, 6) AS lat_min, round(lat_max, 6) AS lat_max, round(lon_min, 6) AS lon_min, round(lon_max, 6) AS lon_max FROM boxes",
+    "shifted_boxes": f"WITH {_GEO}, {_BOXES} SELECT city, scenario, round(lat_min, 6) AS lat_min, round(lat_max, 6) AS lat_max, round(lon_min, 6) AS lon_min, round(lon_max, 6) AS lon_max FROM boxes",
     "shift_ranking": f"WITH {_GEO}, {_BOXES}, counts AS (SELECT g.city, scenario, {_AT.format(size=0.02)} AS cell, category, count(*)::DOUBLE AS n FROM geo g JOIN boxes b ON g.city = b.city AND lat BETWEEN lat_min AND lat_max AND lon BETWEEN lon_min AND lon_max GROUP BY ALL), "
     + _METRICS.format(keys="city, scenario, cell", prefix="") + """, m AS (SELECT city, scenario, count(*) AS cells, round(median(1 / pp), 6) AS median FROM cells WHERE poi_count >= 3 GROUP BY ALL)
       SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY median DESC, city)::INT AS rank FROM m""",

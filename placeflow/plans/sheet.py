@@ -158,7 +158,7 @@ _TWIN = "CASE WHEN c_custkey % 100 = 99 THEN c_custkey - 1 ELSE c_custkey END"
 
 
 def _match_sql(where: str) -> str:
-    """Stage 3 by patterns' leading letters, unrolled."""
+    """Stage 3 by patterns' leading letters, unrolled: a polygon with one free territory claims it unless another such polygon does."""
     word = _WORD.format(k=f"({_TWIN})")
     out = f"""
 c0 AS (SELECT {word} AS base, CASE WHEN c_custkey % 100 = 99 THEN 'NISAVSKA' ELSE 'BEOGRADSKA' END AS area FROM customer),
@@ -176,7 +176,7 @@ e0 AS MATERIALIZED (
 x{k} AS (
   SELECT polygon_id, key FROM p JOIN c ON left(c.base, 5) = left(p.base, 5) AND c.base LIKE replace(p.base, '?', '_')
   WHERE contains(p.base, '?') AND polygon_id NOT IN (SELECT polygon_id FROM e{k - 1}) AND key NOT IN (SELECT key FROM e{k - 1})),
-e{k} AS MATERIALIZED (SELECT * FROM e{k - 1} UNION ALL SELECT polygon_id, key, 3 FROM x{k} QUALIFY count(*) OVER (PARTITION BY polygon_id) = 1 AND count(*) OVER (PARTITION BY key) = 1)"""
+e{k} AS MATERIALIZED (SELECT * FROM e{k - 1} UNION ALL SELECT polygon_id, key, 3 FROM (SELECT * FROM x{k} QUALIFY count(*) OVER (PARTITION BY polygon_id) = 1) QUALIFY count(*) OVER (PARTITION BY key) = 1)"""
     return "WITH" + out
 
 
