@@ -1,4 +1,7 @@
-"""Lineage cuts for loops: tables in the folder that driver and executors share, deleted when the loop is over."""
+"""Lineage cuts for loops: tables in the folder that driver and executors share, deleted when the loop is over.
+
+The last table of a loop is its result and stays: within another loop until that one is over, else until release() or for good.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +9,14 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+#: Tables that the loop around the present one is to delete; results of outermost loops.
+_OUTER: ContextVar[list[str] | None] = ContextVar("outer", default=None)
+_RESULTS: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,6 +38,8 @@ def shared_folder(spark: SparkSession) -> str:
 def rounds(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """A function that writes a frame and reads it back. At the end all tables but the last are deleted: the last is the result."""
     made: list[str] = []
+    outer = _OUTER.get()
+    token = _OUTER.set(made)
 
     def cut(df: DataFrame) -> DataFrame:
         path = f"{shared_folder(spark)}/round-{uuid.uuid4().hex}"
@@ -41,5 +50,17 @@ def rounds(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     try:
         yield cut
     finally:
-        for path in map(spark.sparkContext._jvm.org.apache.hadoop.fs.Path, made[:-1]):
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _OUTER.reset(token)
+        _delete(spark, made[:-1])
+        (_RESULTS if outer is None else outer).extend(made[-1:])
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in map(spark.sparkContext._jvm.org.apache.hadoop.fs.Path, paths):
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the results of all loops so far, once what reads them is written."""
+    paths, _RESULTS[:] = list(_RESULTS), []
+    _delete(spark, paths)

@@ -43,22 +43,25 @@ def build_areas(od: DataFrame, cores: DataFrame, merge_share: float = 0.10, join
 
     In a round every unit without area whose flows into one area make at least join_share of its outgoing flows joins the area that
     gets most of them (ties: the larger id). Units that have joined stay, and count as their area in the next round. Flows of
-    units with an area are not looked at again.
+    units with an area are not looked at again. Rounds end when nothing joins, or after most_rounds of them.
     """
     every = od.select(F.col("origin").alias("unit")).union(od.select("dest")).distinct()
     with rounds(od.sparkSession) as cut:
         flows = cut(_shares(od))
-        named = cut(merge_cores(od, cores, merge_share))
-        left = flows
+        fresh = cut(merge_cores(od, cores, merge_share))
+        named = fresh
+        # what units without area send into each area; a round adds the flows into units that have just joined, and takes these units out
+        sums = None
         for _ in range(most_rounds):
-            left = left.join(named.select(F.col("unit").alias("origin")), "origin", "left_anti")
-            into = left.join(named.select(F.col("unit").alias("dest"), "fua"), "dest")
-            sums = into.groupBy("origin", "out_external", "fua").agg(F.sum("flow").alias("flow")).withColumn("share", F.col("flow") / F.col("out_external"))
-            best = sums.groupBy("origin").agg(F.max(F.struct("share", "fua")).alias("b")).where(F.col("b.share") >= join_share)
-            joined = cut(best.select(F.col("origin").alias("unit"), F.col("b.fua").alias("fua")))
-            if joined.isEmpty():
+            into = flows.join(fresh.select(F.col("unit").alias("dest"), "fua"), "dest").join(named.select(F.col("unit").alias("origin")), "origin", "left_anti").select("origin", "out_external", "fua", "flow")
+            if sums is not None:
+                into = into.union(sums.join(fresh.select(F.col("unit").alias("origin")), "origin", "left_anti"))
+            sums = cut(into.groupBy("origin", "out_external", "fua").agg(F.sum("flow").alias("flow")))
+            best = sums.groupBy("origin").agg(F.max(F.struct((F.col("flow") / F.col("out_external")).alias("share"), "fua")).alias("b")).where(F.col("b.share") >= join_share)
+            fresh = cut(best.select(F.col("origin").alias("unit"), F.col("b.fua").alias("fua")))
+            if fresh.isEmpty():
                 break
-            named = cut(named.union(joined))
+            named = named.union(fresh)
         marked = cores.select("unit", F.lit(True).alias("is_core"))
         return cut(every.join(named, "unit", "left").join(marked, "unit", "left").select("unit", "fua", F.coalesce("is_core", F.lit(False)).alias("is_core")))
 
@@ -99,9 +102,15 @@ def null_model(od: DataFrame, assigned: DataFrame, repetitions: int = 60, seed:
     return trips.groupBy("repetition").agg(ratio(inside, F.sum("flow")).alias("self_containment"))
 
 
+def staged(od: DataFrame) -> DataFrame:
+    """od as a table of its own, for what reads flows more than once."""
+    with rounds(od.sparkSession) as cut:
+        return cut(od)
+
+
 def delimit(od: DataFrame, pattern: str = ".", inflow_quantile: float = 0.95, merge_share: float = 0.10, join_share: float = 0.15, repetitions: int = 60) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The whole run: assignment, summary by area, and one row with self-containment, its mean over random areas, and the excess."""
-    clean = clean_units(od, pattern)
+    clean = staged(clean_units(od, pattern))
     areas = build_areas(clean, find_cores(unit_stats(clean), inflow_quantile), merge_share, join_share)
     summary = area_summary(clean, areas)
     chance = null_model(clean, areas, repetitions).agg(F.avg("self_containment").alias("by_chance"))

@@ -1,7 +1,8 @@
 """Areas that must be large and self-contained enough: their statistics, which ones fail, and two ways to repair them.
 
-Flows are summed by pairs of areas (or of unit and area) once; a step of a repair then works on those sums, as Spark jobs. Only the
-weakest area's id and that of its target come to the driver. Steps follow one another, since each depends on the one before.
+Flows are summed by pairs of areas once; a step of a repair then works on those sums, as Spark jobs, and changes them by the flows of
+the units that it moves. Only the weakest area's id and that of its target come to the driver. Steps follow one another, since each
+depends on the one before.
 """
 
 from __future__ import annotations
@@ -35,11 +36,11 @@ class Rule:
         return F.when(F.col("size") < self.small, 1.0 + (self.small - F.col("size")) / self.small).otherwise(self.threshold(F.col("size")) - F.col("sc"))
 
 
-def area_flows(od: DataFrame, assigned: DataFrame) -> DataFrame:
-    """a, b, flow between areas; flows with an end outside every area don't count."""
+def area_flows(od: DataFrame, assigned: DataFrame, counted: bool = False) -> DataFrame:
+    """a, b, flow between areas, and with counted n, their number; flows with an end outside every area don't count."""
     placed = assigned.where("fua IS NOT NULL")
     one, two = placed.select(F.col("unit").alias("origin"), F.col("fua").alias("a")), placed.select(F.col("unit").alias("dest"), F.col("fua").alias("b"))
-    return od.join(one, "origin").join(two, "dest").groupBy("a", "b").agg(F.sum("flow").alias("flow"))
+    return od.join(one, "origin").join(two, "dest").groupBy("a", "b").agg(F.sum("flow").alias("flow"), *[F.count("*").alias("n")] * counted)
 
 
 def area_stats(flows: DataFrame) -> DataFrame:
@@ -97,21 +98,39 @@ def _renamed(named: DataFrame, to: dict[str, str]) -> DataFrame:
 
 def enforce_by_dissolving(od: DataFrame, assigned: DataFrame, rule: Rule = Rule(), most_steps: int = 500) -> DataFrame:  # noqa: B008
     """unit, fua after the weakest failing area has been dissolved, again and again: each of its units goes to the valid area that it
-    exchanges most with (ties: the larger id), units without such links stay. Ends when none fails, or nothing can move."""
+    exchanges most with (ties: the larger id), units without such links stay. Ends when none fails, or nothing can move, or after most_steps.
+    Sums of areas are kept and changed by the flows of units that move; whole flows (counts of people) are summed without error."""
     with rounds(od.sparkSession) as cut:
         named = cut(assigned.where("fua IS NOT NULL").select("unit", "fua"))
-        ends = od.select(F.col("origin").alias("unit"), F.col("dest").alias("other"), "flow")
-        pairs = cut(ends.union(ends.select("other", "unit", "flow")).groupBy("unit", "other").agg(F.sum("flow").alias("flow")))
+        # each flow at both of its ends: what a step looks up and what it moves
+        ends = [od.select(F.col(a).alias("unit"), F.col(b).alias("other"), "flow", F.lit(a == "origin").alias("leaves")) for a, b in (("origin", "dest"), ("dest", "origin"))]
+        linked = cut(ends[0].union(ends[1]))
+        sums = cut(area_flows(od, named, counted=True))
         for _ in range(most_steps):
-            stats = cut(area_stats(area_flows(od, named)))
+            stats = cut(area_stats(sums))
             worst = _weakest(stats, rule)
             if worst is None:
                 break
             sound = stats.where(rule.valid()).select(F.col("area").alias("to"))
-            links = pairs.join(named.where(F.col("fua") == worst).select("unit"), "unit").join(named.select(F.col("unit").alias("other"), F.col("fua").alias("to")), "other").join(sound, "to", "left_semi")
+            links = linked.join(named.where(F.col("fua") == worst).select("unit"), "unit").join(named.select(F.col("unit").alias("other"), F.col("fua").alias("to")), "other").join(sound, "to", "left_semi")
             best = links.groupBy("unit", "to").agg(F.sum("flow").alias("flow")).groupBy("unit").agg(F.max(F.struct("flow", "to"))["to"].alias("to"))
             moves = cut(best)
             if moves.isEmpty():
                 break
-            named = cut(named.join(moves, "unit", "left").select("unit", F.coalesce("to", "fua").alias("fua")))
-        return cut(named)
+            now = cut(named.join(moves, "unit", "left").select("unit", F.col("fua").alias("old"), F.coalesce("to", "fua").alias("fua")))
+            sums = cut(_moved(sums, linked.join(moves.select("unit"), "unit", "left_semi"), now, moves))
+            named = now.select("unit", "fua")
+        return cut(named.select("unit", "fua"))
+
+
+def _moved(sums: DataFrame, linked: DataFrame, now: DataFrame, moves: DataFrame) -> DataFrame:
+    """sums (a, b, flow, n) after the units of moves have gone from their old to their new area; linked holds the flows of these units."""
+    one = now.select("unit", F.col("old").alias("u0"), F.col("fua").alias("u1"))
+    two = now.select(F.col("unit").alias("other"), F.col("old").alias("v0"), F.col("fua").alias("v1"))
+    both = linked.join(one, "unit").join(two, "other")
+    # a flow between two units that move, or within one, is listed at both ends and counts at its origin
+    once = both.join(moves.select(F.col("unit").alias("other"), F.lit(True).alias("twice")), "other", "left").where("leaves OR twice IS NULL")
+    end = lambda k, x, y: F.when(F.col("leaves"), F.col(f"{x}{k}")).otherwise(F.col(f"{y}{k}"))
+    change = [F.struct(end(k, "u", "v").alias("a"), end(k, "v", "u").alias("b"), (F.col("flow") * sign).alias("flow"), F.lit(sign).cast("long").alias("n")) for k, sign in ((0, -1), (1, 1))]
+    deltas = once.select(F.explode(F.array(*change)).alias("c")).select("c.*")
+    return sums.union(deltas).groupBy("a", "b").agg(F.sum("flow").alias("flow"), F.sum("n").alias("n")).where("n > 0")

@@ -25,7 +25,7 @@ def _trips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _od(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flows.prepare_od(_trips(spark, sf_dir), "o_custkey", "to", "l_quantity")
+    return delimitation.staged(flows.prepare_od(_trips(spark, sf_dir), "o_custkey", "to", "l_quantity"))
 
 
 def _cores(od: DataFrame) -> DataFrame:
@@ -71,23 +71,25 @@ def od_excess(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def od_contiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of areas where a customer is next to the two on either side."""
-    return fragments.fragmentation(fragments.area_components(_areas(_od(spark, sf_dir)).where("fua IS NOT NULL"), _neighbours(spark, sf_dir)))
+    od = _od(spark, sf_dir)
+    return fragments.fragmentation(fragments.area_components(_areas(od).where("fua IS NOT NULL"), _adjacent(od)))
 
 
 def od_cut_off(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fragments.cut_off(fragments.area_components(_areas(_od(spark, sf_dir)).where("fua IS NOT NULL"), _neighbours(spark, sf_dir)))
+    od = _od(spark, sf_dir)
+    return fragments.cut_off(fragments.area_components(_areas(od).where("fua IS NOT NULL"), _adjacent(od)))
 
 
-def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    od = _trips(spark, sf_dir)
-    units = od.select(F.col("o_custkey").alias("n")).union(od.select("to")).distinct()
+def _adjacent(od: DataFrame) -> DataFrame:
+    """Each unit beside the next two; quantities are above zero, so flows hold all of them."""
+    units = od.select(F.col("origin").cast("long").alias("n")).union(od.select(F.col("dest").cast("long"))).distinct()
     steps = units.select(F.col("n").cast("string").alias("u"), F.explode(F.array((F.col("n") + 1).cast("string"), (F.col("n") + 2).cast("string"))).alias("v"))
     return fragments.symmetric(steps, "u", "v")
 
 
 def od_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     od = _od(spark, sf_dir)
-    return fragments.repair(od, _areas(od), _neighbours(spark, sf_dir), _cores(od), 4)
+    return fragments.repair(od, _areas(od), _adjacent(od), _cores(od), 4)
 
 
 def grid_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
