@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import level_of
 from ..functions.ratios import number, ratio
+from .quantiles import exact_quantiles
 
 # fixed values: the sheet's rows for both sexes, and those for kinds of settlement
 BOTH_SEXES, URBAN, OTHER = "с", "Градска", "Остала"
@@ -82,4 +83,8 @@ def gaps(work: DataFrame, study: DataFrame, key: str = "key") -> DataFrame:
 
 def gap_summary(found: DataFrame, quantile: float = 0.97) -> DataFrame:
     """gap_mean, gap_median, scale (exact quantile of the gaps' size) and the correlation of both shares."""
-    return found.agg(F.avg("gap").alias("gap_mean"), F.median("gap").alias("gap_median"), F.percentile(F.abs("gap"), quantile).alias("scale"), F.corr("rbsc_work", "rbsc_study").alias("r"))
+    sums = found.agg(F.avg("gap").alias("gap_mean"), F.corr("rbsc_work", "rbsc_study").alias("r"))
+    median = exact_quantiles(found, "gap", {"gap_median": 0.5})
+    scale = exact_quantiles(found.select(F.abs("gap").alias("size")), "size", {"scale": quantile})
+    one = lambda row: row.withColumn("one", F.lit(1))  # noqa: E731  each is one row
+    return one(sums).join(one(median), "one").join(one(scale), "one").select("gap_mean", "gap_median", "scale", "r")
