@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.names import level_of
 from ..functions.ratios import number, ratio
 from .quantiles import exact_quantiles
+from .zones import forward_fill
 
 # fixed values: the sheet's rows for both sexes, and those for kinds of settlement
 BOTH_SEXES, URBAN, OTHER = "с", "Градска", "Остала"
@@ -21,20 +22,17 @@ def read_territories(sheet: DataFrame, level: str = "municipality") -> DataFrame
     sheet has sheet, row_idx and c0 (name), c1 (sex), c2 to c6 (counts) as text. A row of an area opens one, a row of a city opens
     one until the next area; both do so whatever their sex. Rows for both sexes are territories; an empty count is 0, and a row with
     a count that is no number is left out. Rows for kinds of settlement belong to the territory before them, unless that was left
-    out. single_settlement: there are urban settlements and no others. level is 'municipality', or 'all' with a column level. Each
-    sheet is one window partition.
+    out. single_settlement: there are urban settlements and no others. level is 'municipality', or 'all' with a column level. Rows of a
+    sheet are filled downwards in ranges, so a long sheet is many tasks.
     """
     name, sex = F.trim("c0"), F.trim("c1")
     rows = sheet.withColumns({"name": name, "sex": sex}).where("name <> ''")
     rows = rows.withColumn("settlement", F.col("name").isin(URBAN, OTHER)).withColumn("kind", F.when(~F.col("settlement"), level_of(F.col("name"))))
-    down = W.partitionBy("sheet").orderBy("row_idx").rowsBetween(W.unboundedPreceding, 0)
-    is_area, is_city = F.col("kind") == "area", F.col("kind") == "city_aggregate"
-    rows = rows.withColumns({"area": F.last(F.when(is_area, F.col("name")), ignorenulls=True).over(down), "block": F.count(F.when(is_area, 1)).over(down)})
-    within = W.partitionBy("sheet", "block").orderBy("row_idx").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("city", F.last(F.when(is_city, F.col("name")), ignorenulls=True).over(within))
+    opened = {"opens_area": F.when(F.col("kind") == "area", F.col("name")), "opens_city": F.when(F.col("kind") == "city_aggregate", F.col("name"))}
+    rows = forward_fill(rows.withColumns(opened), "opens_area", "opens_city", "sheet").drop("opens_area", "opens_city", "section").withColumnsRenamed({"outer_filled": "area", "inner_filled": "city"})
     both = F.coalesce(F.col("sex") == BOTH_SEXES, F.lit(False))
     opens = ~F.col("settlement") & both
-    rows = rows.where(both).withColumn("territory", F.count(F.when(opens, 1)).over(down))
+    rows = forward_fill(rows.where(both).withColumn("first", F.when(opens, 1)), "first", "first", "sheet").withColumnRenamed("section", "territory")
     values = {c: F.when(F.col(f"c{i + 2}").isNull(), 0.0).otherwise(number(F.col(f"c{i + 2}"))) for i, c in enumerate(COUNTS)}
     rows = rows.withColumns(values)
     head = lambda c: F.max(F.when(opens, F.col(c))).alias(c)  # noqa: E731  one row of a group opens it

@@ -64,15 +64,32 @@ def day_night(presence: DataFrame, keys: list[str], floor: float = 10.0) -> Data
     return wide.where((F.col("day") >= floor) & (F.col("night") >= floor)).withColumn("day_night", F.col("day") / F.col("night"))
 
 
-def forward_fill(sheet: DataFrame, outer: str, inner: str, block: str, order: str = "row_idx") -> DataFrame:
-    """Fills two levels of an ordered sheet downwards: outer to the next outer, inner to the next inner or outer.
+def forward_fill(sheet: DataFrame, outer: str, inner: str, block: str, order: str = "row_idx", ranges: int | None = None) -> DataFrame:
+    """Fills two levels of an ordered sheet downwards: outer_filled to the next outer, inner_filled to the next inner or outer; section
+    counts the outers so far.
 
-    Sheets are read per file; block is the column that tells them apart, so that files are filled side by side.
+    block is the column that tells sheets apart, order one that tells their rows apart. Sheets are dealt to ranges of rows and filled
+    within each; a range leaves one row that says what it hands on, and gets what the ranges before it in its sheet have left. So no
+    task sees a whole sheet.
     """
-    down = W.partitionBy(block).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    numbered = sheet.withColumn("section", F.count(outer).over(down)).withColumn("outer_filled", F.last(outer, ignorenulls=True).over(down))
-    within = W.partitionBy(block, "section").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    return numbered.withColumn("inner_filled", F.last(inner, ignorenulls=True).over(within))
+    with rounds(sheet.sparkSession) as cut:
+        by = (F.col(block), F.col(order))
+        dealt = cut((sheet.repartitionByRange(ranges, *by) if ranges else sheet.repartitionByRange(*by)).withColumn("__range", F.spark_partition_id()))
+        down = W.partitionBy(block, "__range").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+        within = W.partitionBy(block, "__range", "__own").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+        filled = dealt.withColumns({"__own": F.count(outer).over(down), "__outer": F.last(outer, ignorenulls=True).over(down)}).withColumn("__inner", F.last(inner, ignorenulls=True).over(within))
+        # the last row of a range: its sections, its last outer, and its last inner unless an outer came after it
+        last = F.max_by(F.struct("__own", "__outer", "__inner"), F.col(order))
+        ends = filled.groupBy(block, "__range").agg(last.alias("e"))
+        before = W.partitionBy(block).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+        news = F.when((F.col("e.__own") > 0) | F.col("e.__inner").isNotNull(), F.struct(F.col("e.__inner").alias("i")))
+        # one row a range
+        carried = ends.select(
+            F.col(block).alias("__block"), F.col("__range").alias("__at"), F.coalesce(F.sum("e.__own").over(before), F.lit(0)).alias("__sections"), F.last("e.__outer", ignorenulls=True).over(before).alias("__outer_in"), F.last(news, ignorenulls=True).over(before)["i"].alias("__inner_in")
+        )
+        whole = filled.join(carried, F.col(block).eqNullSafe(F.col("__block")) & (F.col("__range") == F.col("__at")))
+        inner_filled = F.when(F.col("__own") > 0, F.col("__inner")).otherwise(F.coalesce("__inner", "__inner_in"))
+        return cut(whole.select(*(F.col(f"`{c}`") for c in sheet.columns), (F.col("__sections") + F.col("__own")).alias("section"), F.coalesce("__outer", "__outer_in").alias("outer_filled"), inner_filled.alias("inner_filled")))
 
 
 def best_per_key(rows: DataFrame, key: str, value: str, tie: str) -> DataFrame:
