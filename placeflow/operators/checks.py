@@ -79,6 +79,12 @@ def shift_medians(cells: DataFrame, metric: str = "cat_hill_q2") -> DataFrame:
     return m.withColumn("rank", F.row_number().over(W.partitionBy("scenario").orderBy(F.desc("median"), "city")))
 
 
+def bins_by_city(bins: DataFrame, cities: list[str]) -> DataFrame:
+    """bin, and for each city its median and number of cells: the result of density_bins laid out by city; null where a city has no cells."""
+    wide = bins.groupBy("bin").pivot("city", cities).agg(F.max("median").alias("median"), F.max("cells").alias("cells"))
+    return wide.select("bin", *(F.col(f"`{c}_{v}`") for c in cities for v in ("median", "cells")))
+
+
 def density_bins(cells: DataFrame, metric: str = "cat_hill_q2", closed: str = "left") -> DataFrame:
     """city, bin, cells, median of a metric among cells with similar numbers of points."""
     binned = cells.withColumn("bin", bin_label(F.col("poi_count"), *BINS, closed=closed)).where("bin IS NOT NULL")

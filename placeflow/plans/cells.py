@@ -1,15 +1,16 @@
-"""Queries on H3 cells, and their SQL."""
+"""Queries on H3 cells and squares of the British national grid, and their SQL."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import h3
+from ..functions import h3, projection
 from ..operators import diversity
-from ._tables import rounded
+from ._tables import read, rounded
 from .places import _GEO, _METRICS, _geo
 
 RESOLUTIONS = (7, 8, 9)
@@ -41,8 +42,15 @@ def h3_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shaped.select(F.col("name").alias("cell"), "points", F.col("centre.lat").alias("lat"), F.col("centre.lng").alias("lon"), "wkt")
 
 
+def grid_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events, strewn over Britain, by squares of ten kilometres of the national grid."""
+    lat, lon = 50.1 + F.col("event_id") % 83 * 0.1, -5.3 + F.col("user_id") % 67 * 0.1
+    points = read(spark, sf_dir, "events").select(projection.national_grid(lat, lon).alias("p"))
+    return points.groupBy(F.floor(F.col("p.east") / 10_000).alias("east"), F.floor(F.col("p.north") / 10_000).alias("north")).agg(F.count("*").alias("points"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (h3_dna, h3_counts, h3_boundaries)}
+    return {f.__name__: f for f in (h3_dna, h3_counts, h3_boundaries, grid_squares)}
 
 
 def _h3_sql(res: int, points: str) -> str:
@@ -78,7 +86,26 @@ cells{res} AS (SELECT lat, lon, ({fixed}::BIGINT + base::BIGINT * {1 << 45} + {"
     return out
 
 
+def _grid_sql() -> str:
+    """Squares of the national grid: to the centre of the Earth, shift, to the other ellipsoid by iteration, and the series of the projection."""
+    (a, b), (ga, gb), p = projection.GRID_AXES, projection.GPS_AXES, projection
+    n, e2, ge2, zero = (a - b) / (a + b), 1 - (b / a) ** 2, 1 - (gb / ga) ** 2, math.radians(p.ORIGIN[0])
+    x = lambda v: f"({v!r}::DOUBLE)"
+    rx, ry, rz = (math.radians(s / 3600) for s in p.TURNS)
+    up = "".join(f", l{i} AS (SELECT *, atan2(z2 + {x(e2)} * {x(a)} / sqrt(1 - {x(e2)} * sin(u{i - 1}) * sin(u{i - 1})) * sin(u{i - 1}), flat) AS u{i} FROM l{i - 1})" for i in range(1, 9))
+    return f"""WITH e AS (SELECT radians(50.1::DOUBLE + event_id % 83 * 0.1::DOUBLE) AS phi, radians(-5.3::DOUBLE + user_id % 67 * 0.1::DOUBLE) AS lam, count(*) AS c FROM events GROUP BY ALL),
+g AS (SELECT c, {x(ga)} / sqrt(1 - {x(ge2)} * sin(phi) * sin(phi)) AS nu, nu * cos(phi) * cos(lam) AS x, nu * cos(phi) * sin(lam) AS y, nu * {x(1 - ge2)} * sin(phi) AS z FROM e),
+s AS (SELECT c, {x(p.SHIFT[0])} + {x(1 + p.GROWTH)} * x - {x(rz)} * y + {x(ry)} * z AS x2, {x(p.SHIFT[1])} + {x(rz)} * x + {x(1 + p.GROWTH)} * y - {x(rx)} * z AS y2, {x(p.SHIFT[2])} - {x(ry)} * x + {x(rx)} * y + {x(1 + p.GROWTH)} * z AS z2 FROM g),
+l0 AS (SELECT c, z2, sqrt(x2 * x2 + y2 * y2) AS flat, atan2(y2, x2) - {x(math.radians(p.ORIGIN[1]))} AS d, atan2(z2, flat * {x(1 - e2)}) AS u0 FROM s){up},
+q AS (SELECT c, u8 AS u, d, {x(a * p.SCALE)} / sqrt(1 - {x(e2)} * sin(u) * sin(u)) AS nu, {x(1 / (1 - e2))} * (1 - {x(e2)} * sin(u) * sin(u)) AS ratio, cos(u) AS k, tan(u) * tan(u) AS t FROM l8),
+m AS (SELECT c, {x(p.EAST)} + nu * k * (d + d ** 3 * k ** 2 * (ratio - t) / 6 + d ** 5 * k ** 4 * (5 - 18 * t + t * t + 14 * (ratio - 1) - 58 * t * (ratio - 1)) / 120) AS east,
+  {x(b * p.SCALE)} * ({x(1 + n + 1.25 * n**2 + 1.25 * n**3)} * (u - {x(zero)}) - {x(3 * n + 3 * n**2 + 21 / 8 * n**3)} * sin(u - {x(zero)}) * cos(u + {x(zero)}) + {x(15 / 8 * (n**2 + n**3))} * sin(2 * (u - {x(zero)})) * cos(2 * (u + {x(zero)})) - {x(35 / 24 * n**3)} * sin(3 * (u - {x(zero)})) * cos(3 * (u + {x(zero)})))
+  + {x(p.NORTH)} + nu * sin(u) * k * (d ** 2 / 2 + d ** 4 * k ** 2 * (5 - t + 9 * (ratio - 1)) / 24 + d ** 6 * k ** 4 * (61 - 58 * t + t * t) / 720) AS north FROM q)
+SELECT floor(east / 10000)::BIGINT AS east, floor(north / 10000)::BIGINT AS north, sum(c)::BIGINT AS points FROM m GROUP BY 1, 2"""
+
+
 SQL = {
+    "grid_squares": _grid_sql(),
     "h3_dna": f"WITH {_GEO}," + _h3_sql(7, "geo") + ", counts AS (SELECT city, cell, category, count(*)::DOUBLE AS n FROM geo JOIN cells7 USING (lat, lon) GROUP BY ALL), " + _METRICS.format(keys="city, cell", prefix="") + """
       SELECT city, cell, poi_count, cat_richness, round(h, 6) + 0.0 AS cat_shannon, round(h / nullif(ln(cat_richness), 0), 6) AS cat_evenness, round(gs, 6) AS cat_gini_simpson, round(exp(h), 6) AS cat_hill_q1, round(1 / pp, 6) AS cat_hill_q2, round(top, 6) AS top_cat_share, dominant_category,
       CASE WHEN poi_count <= 1 THEN NULL WHEN f1 = 0 THEN 1.0 ELSE round(1 - f1 / poi_count * ((poi_count - 1) * f1 / nullif((poi_count - 1) * f1 + 2 * f2, 0)), 6) END AS sample_coverage FROM cells WHERE poi_count >= 5""",

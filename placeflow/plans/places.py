@@ -92,6 +92,12 @@ def density_bins_right(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(checks.density_bins(cells, closed="right"))
 
 
+def density_bins_by_city(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Medians and numbers of cells by bin, a pair of columns for each city."""
+    cells = diversity.cell_diversity(_geo(spark, sf_dir).withColumn("cell", _cell(0.01)), "city", min_support=1)
+    return rounded(checks.bins_by_city(checks.density_bins(cells), [f"city{i}" for i in range(CITIES)]))
+
+
 def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     lat, lon = 34.3005 + F.col("event_id") % 180 * 0.001, 132.3505 + F.col("user_id") % 200 * 0.001
     return read(spark, sf_dir, "events").select(lat.alias("lat"), lon.alias("lon"))
@@ -224,6 +230,9 @@ SQL = {
     "density_bins_right": f"WITH {_GEO}, counts AS (SELECT city, {_AT.format(size=0.01)} AS cell, category, count(*)::DOUBLE AS n FROM geo GROUP BY ALL), " + _METRICS.format(keys="city, cell", prefix="") + """
       SELECT city, CASE WHEN poi_count <= 20 THEN '10-19' WHEN poi_count <= 40 THEN '20-39' WHEN poi_count <= 80 THEN '40-79' WHEN poi_count <= 160 THEN '80-159' WHEN poi_count <= 320 THEN '160-319' ELSE '320+' END AS bin,
       count(*) AS cells, round(median(1 / pp), 6) AS median FROM cells WHERE poi_count > 10 GROUP BY ALL""",
+    "density_bins_by_city": f"WITH {_GEO}, counts AS (SELECT city, {_AT.format(size=0.01)} AS cell, category, count(*)::DOUBLE AS n FROM geo GROUP BY ALL), " + _METRICS.format(keys="city, cell", prefix="") + """,
+      l AS (SELECT city, CASE WHEN poi_count < 20 THEN '10-19' WHEN poi_count < 40 THEN '20-39' WHEN poi_count < 80 THEN '40-79' WHEN poi_count < 160 THEN '80-159' WHEN poi_count < 320 THEN '160-319' ELSE '320+' END AS bin, 1 / pp AS hill FROM cells WHERE poi_count >= 10)
+      SELECT bin, """ + ", ".join(f"round(median(hill) FILTER (WHERE city = 'city{i}'), 6) AS city{i}_median, nullif(count(*) FILTER (WHERE city = 'city{i}'), 0) AS city{i}_cells" for i in range(CITIES)) + " FROM l GROUP BY bin",
     "mesh_levels": f"WITH {_MESH}, l AS (SELECT 1 AS level, concat(r1::BIGINT, (c1 - 100)::BIGINT) AS mesh FROM d UNION ALL SELECT 2, concat(r1::BIGINT, (c1 - 100)::BIGINT, r2::BIGINT, c2::BIGINT) FROM d) SELECT level, mesh, count(*) AS points FROM l GROUP BY ALL",
     "mesh_boxes": f"WITH {_MESH}" + """, k AS (SELECT DISTINCT concat(r1::BIGINT, (c1 - 100)::BIGINT, r2::BIGINT, c2::BIGINT, r3::BIGINT, c3::BIGINT) AS mesh, r1 * 40 / 60.0::DOUBLE + r2 * 5 / 60.0::DOUBLE + r3 / 120.0::DOUBLE AS lat, c1 + c2 * 7.5::DOUBLE / 60 + c3 / 80.0::DOUBLE AS lon FROM d)
       SELECT mesh, round(lat, 6) AS lat_min, round(lon, 6) AS lon_min, round(lat + 1 / 120.0::DOUBLE, 6) AS lat_max, round(lon + 1 / 80.0::DOUBLE, 6) AS lon_max, round(110.574::DOUBLE / 120, 6) AS height_km,
