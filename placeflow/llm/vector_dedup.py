@@ -71,7 +71,8 @@ def _audit(graph: Hnsw, unit: np.ndarray) -> tuple[int, float]:
     asked = np.where(length > 1e-9, c * some + np.sqrt(1 - c * c) * aside / np.maximum(length, 1e-9), some)
     want, beam = int((asked @ unit.T >= COSINE).sum()), BEAM
     while True:
-        recall = sum(len(q) for q, _ in _near(graph, unit, asked, beam)) / max(want, 1)
+        pairs = np.concatenate([np.zeros(0, np.int64), *(q.astype(np.int64) * len(unit) + s for q, s in _near(graph, unit, asked, beam))])
+        recall = min(1.0, len(np.unique(pairs)) / max(want, 1))
         if recall >= RECALL or beam >= len(unit):
             return beam, recall
         beam *= 2

@@ -77,6 +77,18 @@ def test_clusters_are_searched_by_the_graph(monkeypatch):
     assert sum(whole) < 0.1 * len(asked)
 
 
+def test_recall_of_a_table_with_links(spark):
+    """The audit's recall goes with the result, and what it promises holds against all pairs."""
+    v = clustered(3000, 30, seed=4)
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    found = vector_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)).collect()
+    want = expected(rows)
+    recalls = {r["audit_recall"] for r in found}
+    assert len(recalls) == 1 and vector_dedup.RECALL <= min(recalls) <= 1.0
+    mine, true = sum(r["n_links"] for r in found), sum(x[0] for x in want.values())
+    assert true > 20_000 and 0.98 * true <= mine <= true and all(r["component_id"] == want[r["vec_id"]][1] for r in found)
+
+
 def test_repeated_null_ids_and_lengths(spark):
     """Rows that share a vec_id are rows of their own; a row without id has no component; vectors of other lengths don't link."""
     rows = [(5, [1.0, 0.0]), (5, [1.0, 0.01]), (3, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (4, [0.0, 1.0])]
