@@ -82,11 +82,16 @@ def area_sizes(assigned: DataFrame) -> DataFrame:
     return sizes.agg(F.count("*").alias("areas"), F.median("n").alias("median"), F.max("n").alias("largest"), F.min("n").alias("smallest"))
 
 
+#: Leading hexadecimal digits of a digest that name its range: 4,096 ranges of nearly equal size.
+DIGITS = 3
+
+
 def null_model(od: DataFrame, assigned: DataFrame, repetitions: int = 60, seed: str = "0") -> DataFrame:
     """repetition, self_containment of areas of the same sizes whose units are drawn at random.
 
     Units with an area are put in the order of a digest of seed, repetition and unit, and fill the areas' places, largest area first
-    (ties: the smaller id). Flows count whose origin has an area. The order of a repetition is one window partition, a row a unit.
+    (ties: the smaller id). Flows count whose origin has an area. A unit's place is the number of units in ranges of smaller digests,
+    of which a repetition has 16 ** DIGITS, and its place in its own range; so no task puts a whole repetition in order.
     """
     placed = assigned.where("fua IS NOT NULL")
     sizes = placed.groupBy("fua").agg(F.count("*").alias("n"))
@@ -94,7 +99,11 @@ def null_model(od: DataFrame, assigned: DataFrame, repetitions: int = 60, seed:
     slots = upto.select("fua", F.explode(F.sequence(F.col("upto") - F.col("n") + 1, F.col("upto"))).alias("slot"))
     drawn = placed.select("unit", F.explode(F.sequence(F.lit(1), F.lit(repetitions))).alias("repetition"))
     digest = F.md5(F.concat_ws("|", F.lit(seed), F.col("repetition").cast("string"), F.col("unit")))
-    order = drawn.withColumn("slot", F.row_number().over(W.partitionBy("repetition").orderBy(digest, "unit")).cast("long"))
+    dealt = drawn.withColumn("digest", digest).withColumn("range", F.substring("digest", 1, DIGITS))
+    held = dealt.groupBy("repetition", "range").agg(F.count("*").alias("n"))
+    before = held.withColumn("before", F.sum("n").over(W.partitionBy("repetition").orderBy("range")) - F.col("n")).drop("n")
+    within = F.row_number().over(W.partitionBy("repetition", "range").orderBy("digest", "unit"))
+    order = dealt.withColumn("within", within).join(before, ["repetition", "range"]).withColumn("slot", F.col("before") + F.col("within"))
     label = order.join(slots, "slot").select("repetition", "unit", "fua")
     a, b = label.toDF("repetition", "origin", "of"), label.toDF("repetition", "dest", "df")
     trips = od.join(a, "origin").join(b, ["repetition", "dest"], "left")

@@ -1,48 +1,32 @@
-"""Readers of files that Spark has no reader for: zipped CSV, XLSX sheets, shapefiles. One task reads one file; files are dealt out."""
+"""Readers of files that Spark has no reader for: zipped CSV, XLSX sheets, shapefiles, GeoJSON. The first three stand on the data sources of ranges."""
 
 from __future__ import annotations
 
-import io
-import re
-import struct
-import zipfile
-from collections.abc import Iterator
-from xml.etree import ElementTree
+import fnmatch
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Rows that a reader hands on at once.
-ROWS = 50_000
+from . import ranges
 
 
-def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-    return found.select("path", "content")
+def reader(spark: SparkSession, source: type) -> DataFrameReader:
+    """A reader of one of ranges.SOURCES, which the session knows by its name from then on."""
+    spark.dataSource.register(source)
+    return spark.read.format(source.name())
 
 
-def zipped_csv(spark: SparkSession, path: str, schema: str, pattern: str = "*.csv.zip") -> DataFrame:
-    """Rows of the first CSV in each zip below a folder, by the names in its header; columns that a file lacks are null.
+def zipped_csv(spark: SparkSession, path: str, schema: str, pattern: str = "*.csv.zip", members: str = "first") -> DataFrame:
+    """Rows of the first CSV, or all, in each zip below a folder, by the names in its header; columns that a file lacks are null.
 
-    No file that fits the pattern is a FileNotFoundError.
+    Each member is read by its own task, in pieces. No file that fits the pattern is a FileNotFoundError.
     """
     kind = StructType.fromDDL(schema)
-    files = _files(spark, path, pattern)
-    if files.select("path").isEmpty():
+    ending = fnmatch.translate(pattern)
+    if not ranges.found(path, ending):
         raise FileNotFoundError(f"no {pattern} in {path}")
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for content in batch["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as packed:
-                    name = next(n for n in packed.namelist() if n.endswith(".csv"))
-                    with packed.open(name) as text:
-                        for part in pd.read_csv(text, dtype=str, keep_default_na=False, chunksize=ROWS):
-                            yield part.reindex(columns=kind.names).astype(object).where(lambda x: x.notna() & (x != ""), None)
-
-    texts = files.mapInPandas(rows, ", ".join(f"`{c}` string" for c in kind.names))
+    texts = reader(spark, ranges.ZippedCsv).schema(", ".join(f"`{c}` string" for c in kind.names)).option("pattern", ending).option("members", members).load(path)
     return texts.select(*(F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in kind))
 
 
@@ -54,105 +38,23 @@ def recode(rows: DataFrame, column: str, changes: dict[int, int]) -> DataFrame:
     return rows.withColumn(column, out)
 
 
-def _tag(name: str) -> str:
-    return name.rsplit("}", 1)[-1]
-
-
-def _sheet_rows(content: bytes, sheet: str | None) -> Iterator[tuple[int, dict[int, str]]]:
-    """Row numbers and cells by column number, as text."""
-    with zipfile.ZipFile(io.BytesIO(content)) as book:
-        shared: list[str] = []
-        if "xl/sharedStrings.xml" in book.namelist():
-            for _, item in ElementTree.iterparse(book.open("xl/sharedStrings.xml")):
-                if _tag(item.tag) == "si":
-                    shared.append("".join(t.text or "" for t in item.iter() if _tag(t.tag) == "t"))
-                    item.clear()
-        targets = {r.get("Id"): r.get("Target") for r in ElementTree.parse(book.open("xl/_rels/workbook.xml.rels")).getroot()}
-        sheets = [s for s in ElementTree.parse(book.open("xl/workbook.xml")).getroot().iter() if _tag(s.tag) == "sheet"]
-        chosen = next(s for s in sheets if sheet is None or s.get("name") == sheet)
-        target = targets[next(v for k, v in chosen.attrib.items() if _tag(k) == "id")]
-        place = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
-        number = 0
-        for _, row in ElementTree.iterparse(book.open(place)):
-            if _tag(row.tag) != "row":
-                continue
-            number = int(row.get("r") or number + 1)
-            cells: dict[int, str] = {}
-            for k, cell in enumerate(c for c in row if _tag(c.tag) == "c"):
-                letters = re.match("[A-Z]*", cell.get("r") or "")[0]
-                at = k
-                if letters:
-                    at = 0
-                    for c in letters:
-                        at = at * 26 + ord(c) - 64
-                    at -= 1
-                value = next((v.text for v in cell if _tag(v.tag) == "v"), None)
-                if cell.get("t") == "inlineStr":
-                    value = "".join(t.text or "" for t in cell.iter() if _tag(t.tag) == "t")
-                elif cell.get("t") == "s" and value is not None:
-                    value = shared[int(value)]
-                if value is not None:
-                    cells[at] = value
-            yield number, cells
-            row.clear()
-
-
 def xlsx_rows(spark: SparkSession, path: str, columns: int, sheet: str | None = None, first_row: int = 1) -> DataFrame:
-    """sheet (the file), row_idx, c0 ... as text: one sheet, by name or the first, of each XLSX file, from a row on; empty cells are null."""
-    names = [f"c{i}" for i in range(columns)]
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, content in zip(batch["path"], batch["content"], strict=True):
-                found = [(name, n, *(cells.get(i) for i in range(columns))) for n, cells in _sheet_rows(content, sheet) if n >= first_row]
-                yield pd.DataFrame(found, columns=["sheet", "row_idx", *names])
+    """sheet (the file), row_idx, c0 ... as text: one sheet, by name or the first, of each XLSX file, from a row on; empty cells are null.
 
-    return _files(spark, path, "*.xlsx").mapInPandas(rows, ", ".join(["sheet string, row_idx long", *(f"{c} string" for c in names)]))
+    A sheet is one compressed stream, so one task reads it; rows that have passed are let go.
+    """
+    rows = reader(spark, ranges.Sheets).option("columns", columns).option("first_row", first_row)
+    return (rows if sheet is None else rows.option("sheet", sheet)).load(path)
 
 
-def shapefile(spark: SparkSession, path: str, fields: list[str], encoding: str = "latin-1") -> DataFrame:
+def shapefile(spark: SparkSession, path: str, fields: list[str], encoding: str = "latin-1", records: int = ranges.RECORDS, rings: bool = True) -> DataFrame:
     """The named fields, as text, and rings (arrays of (x, y)) of the polygons of the shapefiles in a folder; null shapes have none.
 
-    A .shp and the .dbf of the same name lie side by side; both are read by one task.
+    A .shp and the .dbf of the same name lie side by side. Tasks read ranges of records, which .shx locates; a layer without .shx is
+    read by one task. Without rings only the .dbf is read.
     """
-    both = _files(spark, path, "*.{shp,dbf}").select(F.regexp_replace("path", r"\.(shp|dbf)$", "").alias("name"), F.regexp_extract("path", r"\.(shp|dbf)$", 1).alias("kind"), "content")
-    point = "array<array<struct<x:double,y:double>>>"
-
-    def layer(parts: pd.DataFrame) -> pd.DataFrame:
-        content = dict(zip(parts["kind"], parts["content"], strict=True))
-        shapes, table = list(_polygons(content["shp"])), list(_dbf_rows(content["dbf"], encoding))
-        return pd.DataFrame([(*(record.get(f) for f in fields), rings) for record, rings in zip(table, shapes, strict=True) if record is not None], columns=[*fields, "rings"])
-
-    return both.groupBy("name").applyInPandas(layer, ", ".join([*(f"`{f}` string" for f in fields), f"rings {point}"]))
-
-
-def _polygons(raw: bytes) -> Iterator[list[list[dict[str, float]]]]:
-    at = 100
-    while at + 8 <= len(raw):
-        words = struct.unpack_from(">i", raw, at + 4)[0]
-        kind = struct.unpack_from("<i", raw, at + 8)[0]
-        rings = []
-        if kind in (5, 15, 25):
-            n_parts, n_points = struct.unpack_from("<2i", raw, at + 44)
-            starts = [*struct.unpack_from(f"<{n_parts}i", raw, at + 52), n_points]
-            xy = struct.unpack_from(f"<{2 * n_points}d", raw, at + 52 + 4 * n_parts)
-            rings = [[{"x": xy[2 * i], "y": xy[2 * i + 1]} for i in range(a, b)] for a, b in zip(starts, starts[1:], strict=False)]
-        yield rings
-        at += 8 + 2 * words
-
-
-def _dbf_rows(raw: bytes, encoding: str) -> Iterator[dict[str, str | None] | None]:
-    """Records by field name, None for deleted ones."""
-    count, head, size = struct.unpack_from("<IHH", raw, 4)
-    columns, at, offset = [], 32, 1
-    while raw[at] != 0x0D:
-        length = raw[at + 16]
-        columns.append((raw[at : at + 11].split(b"\0")[0].decode("ascii"), offset, length))
-        offset += length
-        at += 32
-    for i in range(count):
-        record = raw[head + i * size : head + (i + 1) * size]
-        yield None if record[:1] == b"*" else {name: record[a : a + n].decode(encoding).strip() or None for name, a, n in columns}
+    kind = ", ".join([*(f"`{f}` string" for f in fields), *([f"rings {ranges.RINGS}"] if rings else [])])
+    return reader(spark, ranges.Shapefiles).schema(kind).option("encoding", encoding).option("records", records).load(path)
 
 
 def geojson_polygons(spark: SparkSession, path: str, properties: list[str]) -> DataFrame:
