@@ -19,6 +19,8 @@ from ._stage import beside, bound_batches
 
 #: Edits per character of an item, shortest piece, and characters of items that are sent to tasks at once.
 ERROR_RATE, MIN_PIECE, BLOCK_CHARS = 0.05, 8, 4_000_000
+#: Bytes of documents that a task holds while the blocks of items pass by, where there are several.
+HELD = 32 << 20
 
 
 def normal(text: str | None) -> str:
@@ -110,13 +112,13 @@ class Items:
         return [(item_id, *x) for item_id, x in out.items()]
 
 
-@lru_cache(2)
+@lru_cache(1)
 def _automaton(items: tuple[tuple[int | None, str], ...], rate: float) -> Items:
     return Items(list(items), rate)
 
 
 def item_blocks(benchmark: DataFrame, chars: int = BLOCK_CHARS) -> Iterator[tuple[tuple[int | None, str], ...]]:
-    """The items in blocks of about chars characters, all texts of one item_id in one block. Each block is one pass over the documents."""
+    """The items in blocks of about chars characters, all texts of one item_id in one block."""
     block, size, last = [], 0, None
     for row in benchmark.where("text IS NOT NULL").select("item_id", "text").distinct().orderBy("item_id", "text").toLocalIterator():
         if size >= chars and row["item_id"] != last:
@@ -137,23 +139,41 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE)
     character. Items too short for an edit occur where they stand between other than letters and digits. Null and empty texts hold
     nothing; blank items never occur. Each item_id is reported once per row, with its best place: the smallest distance, then the first
     end; so if its texts repeat or differ. Null item_ids count as one. An empty table of either kind gives no leaks. A column named
-    leaks is replaced. Documents are read in one pass for every BLOCK_CHARS characters of items.
+    leaks is replaced. Documents are read once, by one Python worker a task: it holds HELD bytes of them, or one batch, while the
+    blocks of items pass by, one in memory at a time; a sole block stays.
     """
     bound_batches(docs.sparkSession)
     names = [c for c in docs.columns if c != "leaks"]
     kind = "array<struct<item_id:bigint,distance:bigint,end:bigint>>"
-    out = docs.select(*(F.col(f"`{c}`") for c in names), F.array().cast(kind).alias("leaks"))
     struct = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int64()), ("end", pa.int64())]))
-    for block in item_blocks(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
-
-        def searched(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            known = _automaton(sent.value, rate)
-            for batch in batches:
-                found = [[dict(zip(("item_id", "distance", "end"), x, strict=True)) for x in known.find(t)] for t in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, struct)], ["row", "more"])
-
-        inner = out.select(F.struct(*(F.col(f"`{c}`") for c in out.columns)).alias("row"), "text")
-        both = inner.mapInArrow(searched, beside("row", inner.schema["row"].dataType, f"more {kind}"))
-        out = both.select(*(F.col(f"row.`{c}`").alias(c) for c in names), F.concat("row.leaks", "more").alias("leaks"))
-    return out
+    blocks = [docs.sparkSession.sparkContext.broadcast(b) for b in item_blocks(benchmark)]
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in batches_of(batches, HELD if len(blocks) > 1 else 0):
+            found: list[list[list[dict]]] = [[[] for _ in range(b.num_rows)] for b in held]
+            for sent in blocks:
+                known = _automaton(sent.value, rate)
+                if len(blocks) > 1:
+                    vars(sent).pop("_value", None)  # read again from the worker's disk when it comes by again
+                for batch, leaks in zip(held, found, strict=True):
+                    for own, text in zip(leaks, batch.column(1).to_pylist(), strict=True):
+                        own += [dict(zip(("item_id", "distance", "end"), x, strict=True)) for x in known.find(text)]
+            for batch, leaks in zip(held, found, strict=True):
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(leaks, struct)], ["row", "leaks"])
+
+    inner = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), "text")
+    out = inner.mapInArrow(searched, beside("row", inner.schema["row"].dataType, f"leaks {kind}"))
+    return out.select(*(F.col(f"row.`{c}`").alias(c) for c in names), "leaks")
+
+
+def batches_of(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[pa.RecordBatch]]:
+    """Lists of batches that hold size bytes at least, but for the last; single batches if size is 0."""
+    held, total = [], 0
+    for batch in batches:
+        held.append(batch)
+        total += batch.nbytes
+        if total >= size:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held

@@ -111,5 +111,36 @@ def test_leaks_in_several_blocks(spark, monkeypatch):
     assert len(blocks) > 3 and all(len({id(b) for b in blocks if any(x[0] == i for x in b)}) == 1 for i in range(10))
     monkeypatch.setattr(decontaminate.item_blocks, "__defaults__", (60,))
     docs = spark.createDataFrame([(1, " ".join(t for _, t in items)), (2, items[19][1])], "doc_id long, text string")
-    got = {r["doc_id"]: {x["item_id"] for x in r["leaks"]} for r in find_leaks(docs, bench).collect()}
+    found = find_leaks(docs, bench)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got = {r["doc_id"]: {x["item_id"] for x in r["leaks"]} for r in found.collect()}
     assert got[1] == set(range(10)) and 9 in got[2]
+
+
+def test_blocks_pass_by_again(spark, monkeypatch):
+    """Many small pieces of a partition, each met by all blocks: the same leaks as with one block."""
+    from placeflow.llm import decontaminate
+
+    rng = random.Random(7)
+    items = [(i, " ".join(f"w{rng.randrange(90)}" for _ in range(12))) for i in range(15)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(d, None if d % 9 == 0 else f"before {rng.choice(items)[1]} between {rng.choice(items)[1][1:]} after") for d in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    whole = {r["doc_id"]: sorted(map(tuple, r["leaks"])) for r in find_leaks(docs, bench).collect()}
+    monkeypatch.setattr(decontaminate.item_blocks, "__defaults__", (100,))
+    monkeypatch.setattr(decontaminate, "HELD", 500)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        got = {r["doc_id"]: sorted(map(tuple, r["leaks"])) for r in find_leaks(docs, bench).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == whole and sum(map(len, whole.values())) > 100
+
+
+def test_batches_of():
+    import pyarrow as pa
+
+    from placeflow.llm.decontaminate import batches_of
+
+    batches = [pa.record_batch([pa.array([i, i], pa.int64())], ["x"]) for i in range(5)]
+    assert [len(x) for x in batches_of(iter(batches), 0)] == [1] * 5 and [len(x) for x in batches_of(iter(batches), 32)] == [2, 2, 1]
