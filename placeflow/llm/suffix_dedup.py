@@ -1,8 +1,9 @@
 """Suffix-array dedup over bytes: strings of 50 bytes that repeat across documents, by bucket-pointer refinement.
 
 Suffixes are dealt to partitions by the minimiser of the 50 bytes that they start with. In a partition they start in buckets of
-equal 16-byte beginnings; a bucket is refined by sorting on the bucket numbers that its suffixes have 16 bytes later, which doubles
-the depth, and the new numbers serve the next, deeper round. Only buckets that several documents share are refined.
+equal 16-byte beginnings. A slice of whole buckets is refined down to the full depth before the next slice is begun: its suffixes
+are sorted by the buckets that they are in 16 bytes later, their new numbers are written at once, and slices that come later and
+point to these suffixes are refined by the new, deeper numbers. Only buckets that several documents share are refined.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from .superkmer import Runs, Units, covered, dedup, sorted_places, stretches
 
 #: Bytes of a string, of the pieces whose hashes are minimisers, and of the first buckets.
 WINDOW, GRAM, FIRST = 50, 12, 16
+#: Suffixes of a slice, but for buckets that hold more.
+SLICE = 1 << 17
 _ROLL = Rolling(seed=50)
 
 
@@ -53,48 +56,80 @@ def _shared(order: np.ndarray, number: np.ndarray, doc: np.ndarray) -> np.ndarra
     return (np.minimum.reduceat(own, head) != np.maximum.reduceat(own, head))[number - number[0]]
 
 
-def refine(text: np.ndarray, at: np.ndarray, doc: np.ndarray, depth: int = WINDOW, first: int = FIRST) -> tuple[np.ndarray, np.ndarray]:
+def refine(text: np.ndarray, at: np.ndarray, doc: np.ndarray, depth: int = WINDOW, first: int = FIRST, size: int = SLICE) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes among those that start at `at` and share depth bytes with one of another document: their indices, bucket by bucket, and numbers of their buckets.
 
-    Every suffix has depth bytes at least. The first buckets hold equal beginnings of `first` bytes, two words of a machine. A bucket's suffixes
-    are sorted by the buckets that they are in some bytes later, as many as the buckets are deep, so depth doubles; the new numbers
-    serve the next round, for the suffixes and for those that later offsets point to. Suffixes that are alone or among their own
-    document's are out at once, and with them all that only they point to.
+    Every suffix has depth bytes at least. The first buckets hold equal beginnings of `first` bytes, two words of a machine, and whole
+    buckets make slices of about `size` suffixes. A slice is sorted by the first buckets that its suffixes are in `first` bytes later;
+    the numbers are written at once. Where all suffixes of a bucket point to ones that have such numbers by then, it is sorted by
+    these too and is three times as deep as at first, else twice. What is left of the slice is refined on to depth before the next slice.
+    Suffixes that are alone or among their own document's are out at once.
     """
     word = np.ndarray(max(0, len(text)), "<u8", np.append(text, np.zeros(8, np.uint8)).tobytes(), strides=(1,))
     half = first // 2
     order, number = numbered(word[at], word[at + half])
-    live = order[_shared(order, number, doc)]
-    bucket = np.full(len(text), -1, np.int64)
-    have = first
-    while have < depth and len(live):
-        step = min(have, depth - have)
-        starts = at[live]
-        if have == first:
-            # all places whose first bucket some later round asks for
-            need, deep = [starts], have
-            while deep < depth:
-                ahead = min(deep, depth - deep)
-                need += [x + ahead for x in need]
-                deep += ahead
-            places = _places(need, len(text))
-            order, number = numbered(word[places], word[places + half])
-            bucket[places[order]] = number
-        ask = [starts]
-        if have + step < depth:
-            ask.append(starts + min(have + step, depth - have - step))
-        places = _places(ask, len(text))
-        order, number = numbered(bucket[places].view(np.uint64), bucket[places + step].view(np.uint64))
-        bucket[places[order]] = number  # read above, so a round sees the numbers of the round before
-        have += step
-        of = bucket[starts]
-        order = np.argsort(of, kind="stable")
-        dense = np.cumsum(np.append(True, of[order][1:] != of[order][:-1])) - 1
-        live = live[order[_shared(order, dense, doc[live])]]
-    if not len(live):
-        return live, live
-    of = bucket[at[live]]
-    return live, np.cumsum(np.append(True, of[1:] != of[:-1])) - 1
+    stay = _shared(order, number, doc)
+    live, number = order[stay], number[stay]
+    head = np.flatnonzero(np.append(True, number[1:] != number[:-1])) if len(live) else np.zeros(0, np.int64)
+    # where suffixes may point to: the numbers of the first buckets there, and of the deeper ones that refined slices have written
+    kind = np.int32 if len(text) < 1 << 31 else np.int64
+    flat, deep = np.full(len(text), -1, kind), np.full(len(text), -1, kind)
+    steps = {0, *_offsets(first, depth, first), *_offsets(2 * first, depth, first), *_offsets(3 * first, depth, first)}
+    places = _places([at[live] + k for k in steps], len(text))
+    order, number = numbered(word[places], word[places + half])
+    flat[places[order]] = number
+    del order, number, places
+    out, sizes, written = [], [], 0
+    for a, b in _slices(head, len(live), size):
+        own = live[a:b]
+        if depth < 2 * first:
+            parts = [(own, flat[at[own]].astype(np.int64), first)]
+        else:
+            ahead = at[own] + first
+            order, bucket = numbered(flat[at[own]].astype(np.uint64), flat[ahead].astype(np.uint64))
+            own, later = own[order], deep[ahead[order]]
+            deep[at[own]] = bucket + written
+            written += int(bucket[-1]) + 1
+            keep = _shared(np.arange(len(own)), bucket, doc[own])
+            own, later, bucket = own[keep], later[keep], bucket[keep]
+            ready = np.zeros(len(own), bool)
+            if len(own) and depth >= 3 * first:
+                starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+                ready = np.repeat(np.minimum.reduceat(later, starts) >= 0, np.diff(np.append(starts, len(own))))
+            parts = [(own[~ready], bucket[~ready], 2 * first)]
+            order, bucket = numbered(bucket[ready].astype(np.uint64), later[ready].astype(np.uint64))
+            own = own[ready][order]
+            keep = _shared(np.arange(len(own)), bucket, doc[own])
+            parts.append((own[keep], bucket[keep], 3 * first))
+        for own, bucket, have in parts:
+            for offset in _offsets(have, depth, first):
+                order, bucket = numbered(bucket.astype(np.uint64), flat[at[own] + offset].astype(np.uint64))
+                own = own[order]
+                keep = _shared(np.arange(len(own)), bucket, doc[own])
+                own, bucket = own[keep], bucket[keep]
+            if len(own):
+                out.append(own)
+                sizes.append(np.append(True, bucket[1:] != bucket[:-1]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(out), np.cumsum(np.concatenate(sizes)) - 1
+
+
+def _offsets(have: int, depth: int, first: int) -> list[int]:
+    """Where to look for first buckets, one after the other, so that a bucket of depth have gets depth."""
+    out = []
+    while have < depth:
+        out.append(min(have, depth - first))
+        have = out[-1] + first
+    return out
+
+
+def _slices(head: np.ndarray, total: int, size: int) -> list[tuple[int, int]]:
+    """Ranges of whole buckets, which begin at head, of about size places."""
+    if not total:
+        return []
+    cuts = np.unique(head[np.searchsorted(head, np.arange(0, total, size), "right") - 1])
+    return list(zip(cuts.tolist(), [*cuts[1:].tolist(), total], strict=True))
 
 
 def _places(parts: list[np.ndarray], size: int) -> np.ndarray:
