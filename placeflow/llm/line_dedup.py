@@ -1,9 +1,10 @@
 """Line dedup that can be undone: exact reference tables of lines, and a sharded cuckoo filter in front of them.
 
 `references` has one row per line key and document that holds it; `counts` has the keys that enough documents hold, with their
-number and the largest such doc_id; `filters` has one cuckoo filter per shard over the keys of `counts`. Insertions add
-references, deletions take them out, and only shards with changed keys get their filter updated. A filter's false hits end at the
-join with `counts`, so decisions are exact.
+number and the largest such doc_id; `filters` has one cuckoo filter per shard over the keys of `counts`. References are a log:
+an insertion writes the pairs it adds, a deletion those it takes out, the newest part decides, and a long log is written anew as one
+part. Only keys that a change touches are counted again, and only shards with changed keys get their filter updated. A filter's
+false hits end at the join with `counts`, so decisions are exact.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from .cuckoo import CuckooFilter
 
 #: Code points that a key has at least; documents that hold a dropped key at least; keys a shard's filter has about.
 MIN_CHARS, MIN_DOCS, KEYS_PER_SHARD = 20, 3, 50_000
-#: Keys that a task gathers before it deals them to shards.
-PACKED = 200_000
+#: Keys that a task gathers before it deals them to shards, and parts of a log beyond which it is written anew.
+PACKED, PARTS = 200_000, 8
 
 
 def _lines(buf: np.ndarray, offs: np.ndarray, min_chars: int) -> tuple[np.ndarray, np.ndarray, list[bytes | None], np.ndarray]:
@@ -73,13 +74,18 @@ def _halves(keys: pa.Array | pd.Series) -> np.ndarray:
 
 @dataclass
 class LineIndex:
-    references: DataFrame  #: key, doc_id
+    parts: tuple[DataFrame, ...]  #: key, doc_id, present: the log of references, oldest first
     counts: DataFrame  #: shard, key, n_docs, last_doc
     filters: DataFrame  #: shard, cells
     shards: int
     min_docs: int = MIN_DOCS
     min_chars: int = MIN_CHARS
 
+    @property
+    def references(self) -> DataFrame:
+        """key, doc_id"""
+        return _latest(self.parts)
+
     @classmethod
     def build(cls, docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> LineIndex:
         bound_batches(docs.sparkSession)
@@ -88,22 +94,25 @@ class LineIndex:
         shards = max(4, -(-counted.count() // KEYS_PER_SHARD))
         counts = counted.withColumn("shard", _shard(shards))
         filters = stage(counts.groupBy("shard").applyInPandas(_built, "shard int, cells binary"), "line-filters")
-        return cls(references, counts, filters, shards, min_docs, min_chars)
+        return cls((references.withColumn("present", F.lit(True)),), counts, filters, shards, min_docs, min_chars)
 
     def insert(self, docs: DataFrame) -> LineIndex:
         """The index with docs added; a document that is already in it gains the lines it did not have."""
-        fresh = line_references(docs, self.min_chars)
-        return self._changed(stage(self.references.unionByName(fresh).distinct(), "line-refs"), fresh)
+        return self._changed(line_references(docs, self.min_chars).distinct(), True)
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """The index without the documents of doc_ids (column doc_id), as if they had never been inserted."""
         ids = doc_ids.select("doc_id").where("doc_id IS NOT NULL").distinct()
-        gone = self.references.join(ids, "doc_id", "left_semi")
-        return self._changed(stage(self.references.join(ids, "doc_id", "left_anti").select("key", "doc_id"), "line-refs"), gone)
-
-    def _changed(self, references: DataFrame, touched: DataFrame) -> LineIndex:
-        keys = stage(touched.select("key").distinct(), "line-touched")
-        now = stage(_counts(references.join(keys, "key", "left_semi"), self.min_docs).withColumn("shard", _shard(self.shards)), "line-now")
+        return self._changed(_latest(tuple(p.join(ids, "doc_id", "left_semi") for p in self.parts)).distinct(), False)
+
+    def _changed(self, pairs: DataFrame, present: bool) -> LineIndex:
+        change = stage(pairs.select("key", "doc_id"), "line-refs")
+        parts = (*self.parts, change.withColumn("present", F.lit(present)))
+        if len(parts) > PARTS:
+            parts = (stage(_latest(parts), "line-refs").withColumn("present", F.lit(True)),)
+        keys = stage(change.select("key").distinct(), "line-touched")
+        touched = _latest(tuple(p.join(keys, "key", "left_semi") for p in parts))
+        now = stage(_counts(touched, self.min_docs).withColumn("shard", _shard(self.shards)), "line-now")
         before = self.counts.join(keys, "key", "left_semi")
         changes = now.join(before, "key", "left_anti").select("shard", "key", F.lit(True).alias("enters")).unionByName(before.join(now, "key", "left_anti").select("shard", "key", F.lit(False).alias("enters")))
         counts = stage(self.counts.join(keys, "key", "left_anti").unionByName(now), "line-counts")
@@ -112,7 +121,7 @@ class LineIndex:
         filters = stage(grouped.applyInPandas(_updated, "shard int, cells binary"), "line-filters")
         full = filters.where("cells IS NULL").select("shard")
         rebuilt = held.join(full, "shard", "left_semi").groupBy("shard").applyInPandas(_built, "shard int, cells binary")
-        return LineIndex(references, counts, stage(filters.where("cells IS NOT NULL").unionByName(rebuilt), "line-filters"), self.shards, self.min_docs, self.min_chars)
+        return LineIndex(parts, counts, stage(filters.where("cells IS NOT NULL").unionByName(rebuilt), "line-filters"), self.shards, self.min_docs, self.min_chars)
 
     def drops(self) -> DataFrame:
         """doc_id, keys: the keys that each document loses. Lines are probed shard by shard; hits are looked up exactly."""
@@ -122,6 +131,17 @@ class LineIndex:
         return hits.join(counts, "key").where("doc_id <> last_doc").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
 
+def _latest(parts: tuple[DataFrame, ...]) -> DataFrame:
+    """key, doc_id of the pairs that are present in the newest part that has them."""
+    if len(parts) == 1:
+        return parts[0].where("present").select("key", "doc_id")
+    log = None
+    for version, part in enumerate(parts):
+        rows = part.select("key", "doc_id", "present", F.lit(version).alias("version"))
+        log = rows if log is None else log.unionByName(rows)
+    return log.groupBy("key", "doc_id").agg(F.max_by("present", "version").alias("present")).where("present").select("key", "doc_id")
+
+
 def _shard(shards: int):
     return F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")
 

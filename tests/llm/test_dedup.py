@@ -171,3 +171,31 @@ def test_line_index_is_reversible(spark):
     back = index.delete(spark.createDataFrame([(d,) for d, _ in second], "doc_id long"))
     got = dedup_lines(frame(spark, first), back).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256)).collect()
     assert Counter(map(tuple, got)) == brute.lines(first)
+
+
+def test_line_index_as_a_log(spark, monkeypatch):
+    """Documents come, go and come back; a change writes its own pairs only, and a long log becomes one part."""
+    from placeflow.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "PARTS", 3)
+    line = "This is a Line that Many Documents hold"
+    rows = {d: f"{line}\nown line of the document number {d}\n{'another line that some hold here' if d % 2 else 'x'}" for d in range(1, 13)}
+    some = lambda ids: frame(spark, [(d, rows[d]) for d in ids])
+    gone = lambda ids: spark.createDataFrame([(d,) for d in ids], "doc_id long")
+
+    def check(index, held):
+        left = [(d, rows[d]) for d in held]
+        got = dedup_lines(frame(spark, left), index).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256)).collect()
+        assert Counter(map(tuple, got)) == brute.lines(left)
+
+    index = LineIndex.build(some(range(1, 7)))
+    index = index.insert(some(range(5, 10)))
+    assert len(index.parts) == 2 and {r["doc_id"] for r in index.parts[1].collect()} == set(range(5, 10))
+    index = index.delete(gone([2, 9, 99]))
+    assert len(index.parts) == 3 and {r["doc_id"] for r in index.parts[2].collect()} == {2, 9}
+    check(index, [1, 3, 4, 5, 6, 7, 8])
+    index = index.insert(some([9]))
+    assert len(index.parts) == 1
+    check(index, [1, 3, 4, 5, 6, 7, 8, 9])
+    index = index.delete(gone(range(3, 10)))
+    check(index, [1])
