@@ -12,6 +12,10 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a table that a join may send to every task by way of the driver.
+FEW = 50_000
 
 _LOCAL: list[str] = []
 #: Tables that the loop around the present one is to delete; results of outermost loops.
@@ -64,3 +68,13 @@ def release(spark: SparkSession) -> None:
     """Deletes the results of all loops so far, once what reads them is written."""
     paths, _RESULTS[:] = list(_RESULTS), []
     _delete(spark, paths)
+
+
+def merged(df: DataFrame) -> DataFrame:
+    """df as one side of a join that sorts and merges, whatever Spark takes its size for: nothing of it passes the driver."""
+    return df.hint("merge")
+
+
+def side(df: DataFrame) -> DataFrame:
+    """A written table as one side of a join: sent to all tasks if it has few rows, so what passes the driver has a bound."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else merged(df)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ratios import at_least_zero, code, number, ratio
+from .cut import rounds
 from .quantiles import exact_quantiles
 
 
@@ -38,8 +39,11 @@ def unit_stats(od: DataFrame) -> DataFrame:
 
 def find_cores(stats: DataFrame, inflow_quantile: float = 0.85, min_job_ratio: float = 1.0) -> DataFrame:
     """Units whose inflow from elsewhere reaches the exact quantile and that have as many jobs as working residents."""
-    limit = exact_quantiles(stats, "in_external", {"limit": inflow_quantile})
-    return stats.crossJoin(F.broadcast(limit)).where((F.col("in_external") >= F.col("limit")) & (F.col("job_ratio") >= min_job_ratio)).drop("limit")
+    with rounds(stats.sparkSession) as cut:
+        stats = cut(stats)
+        limit = exact_quantiles(stats, "in_external", {"limit": inflow_quantile})
+        # what is read by several joins later is written once
+        return cut(stats.crossJoin(F.broadcast(limit)).where((F.col("in_external") >= F.col("limit")) & (F.col("job_ratio") >= min_job_ratio)).drop("limit"))
 
 
 def self_containment(trips: DataFrame, drop_codes: list[str] | None = None) -> DataFrame:

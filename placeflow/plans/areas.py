@@ -89,7 +89,8 @@ def _adjacent(od: DataFrame) -> DataFrame:
 
 def od_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     od = _od(spark, sf_dir)
-    return fragments.repair(od, _areas(od), _adjacent(od), _cores(od), 4)
+    cores = _cores(od)
+    return fragments.repair(od, delimitation.build_areas(od, cores, MERGE, JOIN, ROUNDS), _adjacent(od), cores, 4)
 
 
 def grid_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
