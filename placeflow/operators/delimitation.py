@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ratios import ratio
-from .cut import rounds
+from .cut import merged, rounds, side
 from .flows import find_cores, unit_stats
 from .fragments import area_components, symmetric
 
@@ -15,13 +15,13 @@ from .fragments import area_components, symmetric
 def clean_units(od: DataFrame, pattern: str) -> DataFrame:
     """Flows between units that are both an origin and a destination somewhere and whose code fits the pattern."""
     units = od.select(F.col("origin").alias("unit")).intersect(od.select(F.col("dest").alias("unit"))).where(F.col("unit").rlike(pattern))
-    return od.join(units.withColumnRenamed("unit", "origin"), "origin", "left_semi").join(units.withColumnRenamed("unit", "dest"), "dest", "left_semi").select("origin", "dest", "flow")
+    return od.join(merged(units.withColumnRenamed("unit", "origin")), "origin", "left_semi").join(merged(units.withColumnRenamed("unit", "dest")), "dest", "left_semi").select("origin", "dest", "flow")
 
 
 def _shares(od: DataFrame) -> DataFrame:
     """origin, dest, flow, out_external of flows between different units."""
     outside = od.where("origin <> dest")
-    return outside.join(outside.groupBy("origin").agg(F.sum("flow").alias("out_external")), "origin")
+    return outside.join(merged(outside.groupBy("origin").agg(F.sum("flow").alias("out_external"))), "origin")
 
 
 def merge_cores(od: DataFrame, cores: DataFrame, share: float = 0.10) -> DataFrame:
@@ -29,13 +29,20 @@ def merge_cores(od: DataFrame, cores: DataFrame, share: float = 0.10) -> DataFra
 
     A group is called by the core with the largest inflow from elsewhere; ties go to the larger id.
     """
-    inner = _shares(od).join(cores.select(F.col("unit").alias("origin")), "origin", "left_semi").join(cores.select(F.col("unit").alias("dest")), "dest", "left_semi")
-    links = symmetric(inner.where(F.col("flow") / F.col("out_external") >= share), "origin", "dest")
+    with rounds(od.sparkSession) as cut:
+        return cut(_merge(_shares(od), cut(cores.select("unit")), share))
+
+
+def _merge(shares: DataFrame, cores: DataFrame, share: float) -> DataFrame:
+    """merge_cores of _shares' flows and a written table of cores."""
+    known = side(cores)
+    inner = shares.where(F.col("flow") / F.col("out_external") >= share).join(known.withColumnRenamed("unit", "origin"), "origin", "left_semi").join(known.withColumnRenamed("unit", "dest"), "dest", "left_semi")
+    links = symmetric(inner, "origin", "dest")
     groups = area_components(cores.select("unit", F.lit(0).alias("fua")), links).select("unit", "component")
-    inflow = od.where("origin <> dest").groupBy(F.col("dest").alias("unit")).agg(F.sum("flow").alias("inflow"))
-    known = groups.join(inflow, "unit", "left").select("unit", "component", F.coalesce("inflow", F.lit(0.0)).alias("inflow"))
-    heads = known.groupBy("component").agg(F.max(F.struct("inflow", "unit"))["unit"].alias("fua"))
-    return groups.join(heads, "component").select("unit", "fua")
+    inflow = shares.select(F.col("dest").alias("unit"), "flow").join(known, "unit", "left_semi").groupBy("unit").agg(F.sum("flow").alias("inflow"))
+    filled = groups.join(merged(inflow), "unit", "left").select("unit", "component", F.coalesce("inflow", F.lit(0.0)).alias("inflow"))
+    heads = filled.groupBy("component").agg(F.max(F.struct("inflow", "unit"))["unit"].alias("fua"))
+    return groups.join(merged(heads), "component").select("unit", "fua")
 
 
 def build_areas(od: DataFrame, cores: DataFrame, merge_share: float = 0.10, join_share: float = 0.15, most_rounds: int = 20) -> DataFrame:
@@ -47,29 +54,34 @@ def build_areas(od: DataFrame, cores: DataFrame, merge_share: float = 0.10, join
     """
     every = od.select(F.col("origin").alias("unit")).union(od.select("dest")).distinct()
     with rounds(od.sparkSession) as cut:
-        flows = cut(_shares(od))
-        fresh = cut(merge_cores(od, cores, merge_share))
-        named = fresh
+        rest, cores = cut(_shares(od)), cut(cores.select("unit"))
+        named = fresh = cut(_merge(rest, cores, merge_share))
         # what units without area send into each area; a round adds the flows into units that have just joined, and takes these units out
         sums = None
         for _ in range(most_rounds):
-            into = flows.join(fresh.select(F.col("unit").alias("dest"), "fua"), "dest").join(named.select(F.col("unit").alias("origin")), "origin", "left_anti").select("origin", "out_external", "fua", "flow")
+            new = side(fresh)
+            origin = new.select(F.col("unit").alias("origin"))
+            # flows into areas are in the sums from now on; only flows between units without area are left for the next round
+            into = new.select(F.col("unit").alias("dest"), "fua")
+            seen = cut(rest.join(origin, "origin", "left_anti").join(into, "dest", "left").select("origin", "dest", "flow", "out_external", "fua"))
+            rest = seen.where("fua IS NULL").drop("fua")
+            added = seen.where("fua IS NOT NULL").select("origin", "out_external", "fua", "flow")
             if sums is not None:
-                into = into.union(sums.join(fresh.select(F.col("unit").alias("origin")), "origin", "left_anti"))
-            sums = cut(into.groupBy("origin", "out_external", "fua").agg(F.sum("flow").alias("flow")))
+                added = added.union(sums.join(origin, "origin", "left_anti"))
+            sums = cut(added.groupBy("origin", "out_external", "fua").agg(F.sum("flow").alias("flow")))
             best = sums.groupBy("origin").agg(F.max(F.struct((F.col("flow") / F.col("out_external")).alias("share"), "fua")).alias("b")).where(F.col("b.share") >= join_share)
             fresh = cut(best.select(F.col("origin").alias("unit"), F.col("b.fua").alias("fua")))
             if fresh.isEmpty():
                 break
             named = named.union(fresh)
-        marked = cores.select("unit", F.lit(True).alias("is_core"))
-        return cut(every.join(named, "unit", "left").join(marked, "unit", "left").select("unit", "fua", F.coalesce("is_core", F.lit(False)).alias("is_core")))
+        marked = side(cores.select("unit", F.lit(True).alias("is_core")))
+        return cut(every.join(merged(named), "unit", "left").join(marked, "unit", "left").select("unit", "fua", F.coalesce("is_core", F.lit(False)).alias("is_core")))
 
 
 def area_summary(od: DataFrame, assigned: DataFrame) -> DataFrame:
     """fua, units, departures, internal, self_containment of every area; trips to units without an area leave."""
     a, b = assigned.select(F.col("unit").alias("origin"), F.col("fua").alias("of")), assigned.select(F.col("unit").alias("dest"), F.col("fua").alias("df"))
-    trips = od.join(a.where("of IS NOT NULL"), "origin").join(b, "dest", "left")
+    trips = od.join(merged(a.where("of IS NOT NULL")), "origin").join(merged(b), "dest", "left")
     sums = trips.groupBy(F.col("of").alias("fua")).agg(F.sum("flow").alias("departures"), F.sum(F.when(F.col("of") == F.col("df"), F.col("flow")).otherwise(0.0)).alias("internal"))
     units = assigned.where("fua IS NOT NULL").groupBy("fua").agg(F.count("*").alias("units"))
     filled = units.join(sums, "fua", "full").select("fua", F.coalesce("units", F.lit(0)).alias("units"), F.coalesce("departures", F.lit(0.0)).alias("departures"), F.coalesce("internal", F.lit(0.0)).alias("internal"))

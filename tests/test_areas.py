@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from placeflow.operators import flows, fragments
+from placeflow.operators import delimitation, flows, fragments
 from pyspark.sql import functions as F
 
 
@@ -55,3 +55,31 @@ def _chain(spark, n=8):
 def test_cores_are_written_once(spark):
     cores = flows.find_cores(flows.unit_stats(_chain(spark)), 0.5)
     assert "Aggregate" not in plan(cores) and cores.count() > 0
+
+
+def test_rounds_read_only_flows_between_units_without_area(spark, monkeypatch):
+    read = []
+    made = delimitation.rounds
+
+    class Noted:
+        def __init__(self, spark):
+            self.own = made(spark)
+
+        def __enter__(self):
+            cut = self.own.__enter__()
+
+            def noted(df):
+                out = cut(df)
+                if set(out.columns) == {"origin", "dest", "flow", "out_external", "fua"}:
+                    read.append(out.count())
+                return out
+
+            return noted
+
+        def __exit__(self, *x):
+            return self.own.__exit__(*x)
+
+    monkeypatch.setattr(delimitation, "rounds", Noted)
+    got = delimitation.build_areas(_chain(spark), spark.createDataFrame([("u0",)], "unit string")).collect()
+    assert {r["fua"] for r in got} == {"u0"} and [r["unit"] for r in got if r["is_core"]] == ["u0"]
+    assert len(read) >= 7 and read[0] == 13 and all(b <= a - 2 for a, b in zip(read, read[1:6])), read
