@@ -106,21 +106,29 @@ def null_model(od: DataFrame, assigned: DataFrame, repetitions: int = 60, seed:
     of which a repetition has 16 ** DIGITS, and its place in its own range; so no task puts a whole repetition in order.
     """
     placed = assigned.where("fua IS NOT NULL")
-    sizes = placed.groupBy("fua").agg(F.count("*").alias("n"))
-    upto = sizes.withColumn("upto", F.sum("n").over(W.orderBy(F.desc("n"), "fua")))
-    slots = upto.select("fua", F.explode(F.sequence(F.col("upto") - F.col("n") + 1, F.col("upto"))).alias("slot"))
-    drawn = placed.select("unit", F.explode(F.sequence(F.lit(1), F.lit(repetitions))).alias("repetition"))
-    digest = F.md5(F.concat_ws("|", F.lit(seed), F.col("repetition").cast("string"), F.col("unit")))
-    dealt = drawn.withColumn("digest", digest).withColumn("range", F.substring("digest", 1, DIGITS))
-    held = dealt.groupBy("repetition", "range").agg(F.count("*").alias("n"))
-    before = held.withColumn("before", F.sum("n").over(W.partitionBy("repetition").orderBy("range")) - F.col("n")).drop("n")
-    within = F.row_number().over(W.partitionBy("repetition", "range").orderBy("digest", "unit"))
-    order = dealt.withColumn("within", within).join(before, ["repetition", "range"]).withColumn("slot", F.col("before") + F.col("within"))
-    label = order.join(slots, "slot").select("repetition", "unit", "fua")
-    a, b = label.toDF("repetition", "origin", "of"), label.toDF("repetition", "dest", "df")
-    trips = od.join(a, "origin").join(b, ["repetition", "dest"], "left")
-    inside = F.sum(F.when(F.col("of") == F.col("df"), F.col("flow")).otherwise(0.0))
-    return trips.groupBy("repetition").agg(ratio(inside, F.sum("flow")).alias("self_containment"))
+    with rounds(od.sparkSession) as cut:
+        sizes = placed.groupBy("fua").agg(F.count("*").alias("n"))
+        upto = sizes.withColumn("upto", F.sum("n").over(W.orderBy(F.desc("n"), "fua")))
+        # an area is known by its last place
+        slots = upto.select(F.col("upto").alias("area"), F.explode(F.sequence(F.col("upto") - F.col("n") + 1, F.col("upto"))).alias("slot"))
+        drawn = placed.select("unit", F.explode(F.sequence(F.lit(1), F.lit(repetitions))).alias("repetition"))
+        digest = F.md5(F.concat_ws("|", F.lit(seed), F.col("repetition").cast("string"), F.col("unit")))
+        dealt = drawn.withColumn("digest", digest).withColumn("range", F.substring("digest", 1, DIGITS))
+        held = dealt.groupBy("repetition", "range").agg(F.count("*").alias("n"))
+        before = held.withColumn("before", F.sum("n").over(W.partitionBy("repetition").orderBy("range")) - F.col("n")).drop("n")
+        within = F.row_number().over(W.partitionBy("repetition", "range").orderBy("digest", "unit"))
+        # at most 16 ** DIGITS rows a repetition
+        order = dealt.withColumn("within", within).join(F.broadcast(before), ["repetition", "range"]).withColumn("slot", F.col("before") + F.col("within"))
+        label = order.join(merged(slots), "slot").select("unit", "repetition", "area")
+        # a unit's areas in one row, so that a flow meets those of either end once, not once a repetition
+        areas = [F.max(F.when(F.col("repetition") == r, F.col("area"))).alias(f"a{r}") for r in range(1, repetitions + 1)]
+        table = cut(label.groupBy("unit").agg(*areas).select("unit", F.array(*(f"a{r}" for r in range(1, repetitions + 1))).alias("areas")))
+        a, b = table.toDF("origin", "of"), table.toDF("dest", "df")
+        trips = od.join(merged(a), "origin").join(merged(b), "dest", "left").select("flow", F.zip_with("of", "df", lambda x, y: F.coalesce(x == y, F.lit(False))).alias("same"))
+        # a flow that leaves the areas stays in none
+        inside = [F.sum(F.when(F.coalesce(F.col("same")[r], F.lit(False)), F.col("flow")).otherwise(0.0)).alias(f"s{r}") for r in range(repetitions)]
+        sums = cut(trips.agg(F.sum("flow").alias("total"), *inside)).where("total IS NOT NULL")
+        return sums.select(F.posexplode(F.array(*(ratio(F.col(f"s{r}"), F.col("total")) for r in range(repetitions)))).alias("at", "self_containment")).select((F.col("at") + 1).alias("repetition"), "self_containment")
 
 
 def staged(od: DataFrame) -> DataFrame:

@@ -83,3 +83,11 @@ def test_rounds_read_only_flows_between_units_without_area(spark, monkeypatch):
     got = delimitation.build_areas(_chain(spark), spark.createDataFrame([("u0",)], "unit string")).collect()
     assert {r["fua"] for r in got} == {"u0"} and [r["unit"] for r in got if r["is_core"]] == ["u0"]
     assert len(read) >= 7 and read[0] == 13 and all(b <= a - 2 for a, b in zip(read, read[1:6])), read
+
+
+def test_flows_meet_all_repetitions_at_once(spark):
+    od = _chain(spark)
+    assigned = spark.createDataFrame([(f"u{i}", "ab"[i // 5] if i < 7 else None) for i in range(8)], "unit string, fua string")
+    got = delimitation.null_model(od, assigned, 5)
+    assert "Window" not in plan(got) and sorted(r["repetition"] for r in got.collect()) == [1, 2, 3, 4, 5]
+    assert delimitation.null_model(od, assigned.where("fua IS NULL"), 5).count() == 0
