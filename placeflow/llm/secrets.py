@@ -16,6 +16,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.quantiles import exact_quantiles
 from ._stage import input_partitions, stage
 
 #: Kinds in the order in which spans of one start are listed; the last one is the models'.
@@ -27,10 +28,10 @@ ACCESS, HEX = "AKIA[A-Z0-9]{12,}", "[0-9a-f]{32,}"
 VALUE, RUN, IDENTIFIER = 8, 16, 8
 LETTERS = "[A-Za-z0-9+/_=-]"
 ALPHABET, CODES = 67, 128
-#: Strings of each kind that the models learn from at most, those with the least hashes; the part of ordinary ones kept for the
-#: threshold, one in; the part of these that stays under it (more would let secrets among them raise it); how many times each transition counts before any is seen.
-SAMPLE, HELD_OUT, QUANTILE, PRIOR = 20_000, 4, 0.99, 0.5
-#: Bytes of input for each ordinary string to choose from; a text has several times as many.
+#: The part of ordinary strings kept for the threshold, one in; the part of these that stays under it (more would let secrets among
+#: them raise it); how many times each transition counts before any is seen.
+HELD_OUT, QUANTILE, PRIOR = 4, 0.99, 0.5
+#: Bytes of input for each ordinary string to choose from where only some are asked for; a text has several times as many.
 BYTES_EACH = 400
 #: Matches that are numbered at once.
 BLOCK = 256
@@ -103,11 +104,13 @@ def _searched(docs: DataFrame) -> DataFrame:
     )
 
 
-def ordinary_identifiers(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """word: runs of identifier characters, a letter among them, outside what the patterns find; those with the least hashes of row and place."""
+def ordinary_identifiers(docs: DataFrame, most: int | None = None) -> DataFrame:
+    """h, word: all runs of identifier characters, a letter among them, outside what the patterns find, and hashes of row and place; with most, those with the least hashes."""
     gap = _assignments(docs, "doc_id").select("doc_id", F.posexplode("gaps").alias("gap", "text"))
     word = gap.select("doc_id", "gap", F.posexplode(F.regexp_extract_all("text", F.lit(f"{LETTERS}{{{IDENTIFIER},}}"), F.lit(0))).alias("place", "word"))
     ordinary = word.where(~F.col("word").rlike(f"{ACCESS}|{HEX}") & F.col("word").rlike("[A-Za-z]"))
+    if most is None:
+        return ordinary.select(F.xxhash64("doc_id", "gap", "place", "word").alias("h"), "word")
     return _sampled(ordinary, most, 1 / input_partitions(docs, BYTES_EACH * most), "doc_id", "gap", "place", "word")
 
 
@@ -135,21 +138,19 @@ def _ratio(word: Column, ratios: Column) -> Column:
     return F.when(F.size(codes) > 1, F.array_max(F.transform(ratios, mean)))
 
 
-def learn_secrets(found: DataFrame, ordinary: DataFrame, most: int = SAMPLE) -> SecretModel:
-    """Models from the spans of _searched and ordinary identifiers (word)."""
+def learn_secrets(found: DataFrame, ordinary: DataFrame) -> SecretModel:
+    """Models from all spans of _searched and all ordinary identifiers (word). Equal strings are counted first."""
     value = lambda kind: F.regexp_extract("x.found", ASSIGN, 2) if kind == "assign" else F.col("x.found")
-    known = None
+    rows = ordinary.select(F.lit("ordinary").alias("kind"), "word")
     for kind in KINDS[:3]:
-        strings = found.select("doc_id", F.explode(kind).alias("x")).select("doc_id", "x.start", value(kind).alias("word"))
-        part = 2 * most / max(1, found.agg(F.sum(F.size(kind))).first()[0] or 0)
         # values of assignments may hold a dot, which no run does
-        one = _sampled(strings, most, part, "doc_id", "start", "word").select(F.lit(kind).alias("kind"), F.explode(F.split("word", "\\.")).alias("word"))
-        known = one if known is None else known.union(one)
-    held = stage(ordinary.select((F.pmod(F.xxhash64("word"), F.lit(HELD_OUT)) == 0).alias("held"), "word"), "secret-ordinary")
-    rows = known.union(held.where("NOT held").select(F.lit("ordinary").alias("kind"), "word"))
-    codes = rows.select("kind", _codes(F.col("word")).alias("c"))
-    steps = codes.select("kind", F.explode(F.transform(F.slice("c", 2, F.size("c")), lambda b, i: F.struct(F.element_at("c", i + 1).alias("a"), b.alias("b")))).alias("s"))
-    counts = steps.groupBy("kind", "s.a", "s.b").agg(F.count("*").alias("n"))
+        rows = rows.union(found.select(F.explode(kind).alias("x")).select(F.lit(kind).alias("kind"), F.explode(F.split(value(kind), "\\.")).alias("word")))
+    words = rows.groupBy("kind", "word").agg(F.count("*").alias("n"))
+    own = (F.col("kind") == "ordinary") & (F.pmod(F.xxhash64("word"), F.lit(HELD_OUT)) == 0)
+    strings = stage(words.withColumn("held", own), "secret-strings")
+    codes = strings.where("NOT held").select("kind", "n", _codes(F.col("word")).alias("c"))
+    steps = codes.select("kind", "n", F.explode(F.transform(F.slice("c", 2, F.size("c")), lambda b, i: F.struct(F.element_at("c", i + 1).alias("a"), b.alias("b")))).alias("s"))
+    counts = steps.groupBy("kind", "s.a", "s.b").agg(F.sum("n").alias("n"))
     # from here on at most 4 kinds of 67 x 67 transitions, whatever the input
     after = counts.groupBy("kind", "a").agg(F.sum("n").alias("of"))
     kinds = F.explode(F.array(*map(F.lit, (*KINDS[:3], "ordinary"))))
@@ -159,9 +160,8 @@ def learn_secrets(found: DataFrame, ordinary: DataFrame, most: int = SAMPLE) ->
     each = every.groupBy("id").agg(*(F.max(F.when(F.col("kind") == k, log)).alias(k) for k in (*KINDS[:3], "ordinary")))
     tables = [F.transform(F.array_sort(F.collect_list(F.struct("id", (F.col(k) - F.col("ordinary")).alias("r")))), lambda x: x["r"]).alias(k) for k in KINDS[:3]]
     table = stage(each.agg(*tables).select(F.array(*KINDS[:3]).alias("ratios")), "secret-model")
-    score = _with(held.where("held"), table).select(_ratio(F.col("word"), F.col("ratios")).alias("score"))
-    # a bounded sample: its exact quantile is one small aggregate
-    edge = score.agg(F.percentile("score", QUANTILE).alias("t")).first()["t"]
+    score = _with(strings.where("held"), table).select(_ratio(F.col("word"), F.col("ratios")).alias("score"), "n")
+    edge = exact_quantiles(score, "score", {"t": QUANTILE}, weight="n").first()["t"]
     return SecretModel(table, max(0.0, edge or 0.0))
 
 
@@ -175,7 +175,7 @@ def find_secrets(docs: DataFrame, model: SecretModel | None = None) -> DataFrame
 
     base: what the patterns find, leftmost matches without overlap for each kind, whole matches; those with too short a value don't
     count, but nothing else is found in them. secrets: these and the runs that the models add (kind model), outside the others (runs
-    without a letter are numbers, and not judged); only they have a score. Without a model one is learnt from docs: from SAMPLE strings of each kind at most; all texts are searched.
+    without a letter are numbers, and not judged); only they have a score. Without a model one is learnt from all strings of docs.
     Null and empty texts have no secrets; rows with equal or missing doc_id are rows of their own. An empty table gives an empty
     result. Other columns are not read.
     """

@@ -32,19 +32,21 @@ def _ranks(quantiles: dict[str, float]) -> Column:
 _holds = "within < upto AND within >= upto - n"
 
 
-def exact_quantiles(rows: DataFrame, value: str, quantiles: dict[str, float], *keys: str, few: int = FEW) -> DataFrame:
+def exact_quantiles(rows: DataFrame, value: str, quantiles: dict[str, float], *keys: str, few: int = FEW, weight: str | None = None) -> DataFrame:
     """keys and a column for each of quantiles (name: share): exact, with linear interpolation between ranks, of each group's values.
 
     Equal values are counted first, so that a frequent value is one row. Of a group's histogram by logarithm the buckets that hold the
     ranks are found by running sums, and only their values are counted again, in buckets of equal width, until few distinct values
-    are left, which are put in order. So a task sees at most as many rows of a group as there are buckets, or few. Nulls and NaN don't
+    are left, which are put in order. A column weight holds how often a row counts (a whole number, above 0). So a task sees at most as many rows of a group as there are buckets, or few. Nulls and NaN don't
     count; a group of them alone, and without keys an empty table, has nulls.
     """
     number = F.col(f"`{value}`").cast("double")
     # one column for the keys, whose missing parts are equal to each other
     key = F.struct(F.lit(0).alias("one"), *(F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys))).alias("k")
     with rounds(rows.sparkSession) as cut:
-        counts = cut(rows.select(key, F.when(~F.isnan(number), number + 0.0).alias("v")).groupBy("k", "v").agg(F.count("v").alias("n")))
+        times = F.col(f"`{weight}`").cast("long") if weight else F.lit(1).cast("long")
+        each = rows.select(key, F.when(~F.isnan(number), number + 0.0).alias("v"), times.alias("times"))
+        counts = cut(each.groupBy("k", "v").agg(F.sum(F.when(F.col("v").isNotNull(), F.col("times")).otherwise(0)).alias("n")))
         # a group without a value keeps one row, so that it is seen
         totals = counts.groupBy("k").agg(F.sum("n").alias("total"))
         asked = totals.where("total > 0").withColumn("r", F.explode(_ranks(quantiles))).select("k", "r.name", "r.place", "r.rank").distinct()

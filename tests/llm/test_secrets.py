@@ -131,3 +131,19 @@ def test_model_and_sample(spark, sf):
     assert [(x["kind"], x["start"], x["end"]) for x in find_secrets(other, model).first()["secrets"]] == [("model", 4, 24)]
     plan = entry.op13_secret_scan(spark, sf)._jdf.queryExecution().toString() + secrets._searched(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan.replace("PythonRDD", "") and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_models_learn_from_all_strings(spark):
+    """More strings than any sample held before, all but a few of them the same: counts and threshold are those of all."""
+    n = 30_000
+    found = spark.range(n).select(F.lit(1).alias("doc_id"), F.array().cast(secrets._SPAN).alias("assign"), F.array().cast(secrets._SPAN).alias("access"), F.array(F.struct(F.lit(0).alias("start"), F.lit(2).alias("end"), F.lit("ab").alias("found"))).alias("hex"))
+    ordinary = spark.range(n).select(F.col("id").alias("h"), F.when(F.col("id") % 100 == 7, "qbqbqbqb").otherwise("abcdabcd").alias("word"))
+    model = learn_secrets(found, ordinary)
+    kept = {w: n * p // 100 for w, p in (("qbqbqbqb", 1), ("abcdabcd", 99)) if (lambda h: (h - (1 << 64) * (h >> 63)) % 4)(xxhash.xxh64_intdigest(w.encode(), 42))}
+    pairs = Counter({("a", "b"): 0})
+    for w, k in kept.items():
+        for p in zip(w, w[1:]):
+            pairs[p] += k
+    of = sum(k for (x, _), k in pairs.items() if x == "a")
+    want = math.log((n + 0.5) / (n + 0.5 * 67)) - math.log((pairs["a", "b"] + 0.5) / (of + 0.5 * 67))
+    assert math.isclose(model.table.first()["ratios"][2][ord("a") * 128 + ord("b")], want, rel_tol=1e-12)
