@@ -111,6 +111,42 @@ def test_toxicity_odd_rows(spark):
     assert score_toxicity(docs, learn_toxicity(train.limit(0), labels)).count() == 11
 
 
+def test_toxicity_learns_from_all_labels(spark, monkeypatch):
+    # more rows than 4,000, and toxic ones of over 20,000 bytes only, in several shards
+    rows = [(i, "vile filth " + "calm words of a day " * 1100 if i % 100 == 0 else f"a fine day {i % 7}", "en") for i in range(4200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 100 == 0)) for i in range(0, 4200)] + [(9000, 1)], "doc_id int, toxic int")
+    monkeypatch.setattr(toxicity, "SHARD_BYTES", 1 << 18)
+    packed = toxicity._training(docs.union(docs.limit(5)), labels)
+    assert packed.select("shard").distinct().count() > 1
+    assert toxicity._summed(packed, toxicity._seen)[-4:].reshape(2, 2).sum(axis=0).tolist() == [4158, 42]
+    some = spark.createDataFrame([(1, "vile filth", "en"), (2, "a fine day", "en")], docs.schema)
+    model = learn_toxicity(docs, labels)
+    assert [r["predicted"] for r in score_toxicity(some, model).orderBy("doc_id").collect()] == [1, 0]
+    assert score_toxicity(docs.where("doc_id % 100 = 0"), model).where("predicted = 0").isEmpty()
+
+
+def test_toxicity_calibration_by_plain_search(spark):
+    rng = np.random.default_rng(3)
+    y = (rng.random(400) < 0.3).astype(int)
+    z, langs = np.round(rng.normal(size=400) + 1.5 * y, 1), [(None, "de", "en", "xx")[i] for i in rng.choice(4, 400, p=[0.1, 0.5, 0.38, 0.02])]
+    model = toxicity.ToxicityModel(None, None, None, None, 0.0)
+    toxicity._calibrate(model, spark.createDataFrame([(float(a), int(b), c) for a, b, c in zip(z, y, langs)], "z double, y int, lang string"))
+    a, b = model.scale
+    weight, p = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())), 1 / (1 + np.exp(-(a * z + b)))
+    assert abs(np.sum(weight * (p - y) * z) + 0.5 * (a - 1)) < 1e-9 and abs(np.sum(weight * (p - y)) + 0.5 * b) < 1e-9
+    expected = {}
+    for lang in ("de", "en", "xx"):
+        own = np.array([x == lang for x in langs])
+        if y[own].sum() >= 5:
+            cuts = np.unique(np.append(p[own], 0.5))
+            cuts = (cuts[1:] + cuts[:-1]) / 2
+            f1 = [2 * np.sum((p[own] >= c) & (y[own] == 1)) / max(1, np.sum(p[own] >= c) + y[own].sum()) for c in cuts]
+            best = cuts[np.array(f1) == max(f1)]
+            expected[lang] = best[np.abs(best - 0.5).argmin()]
+    assert model.thresholds == pytest.approx(expected, abs=1e-12) and "de" in expected
+
+
 @pytest.mark.parametrize("which", ["odd", "table"])
 def test_mixture_score(spark, sf, which):
     """The score of every text, token by token, with counts made by plain dictionaries and weights that are given."""
