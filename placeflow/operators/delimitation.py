@@ -14,8 +14,12 @@ from .fragments import area_components, symmetric
 
 def clean_units(od: DataFrame, pattern: str) -> DataFrame:
     """Flows between units that are both an origin and a destination somewhere and whose code fits the pattern."""
-    units = od.select(F.col("origin").alias("unit")).intersect(od.select(F.col("dest").alias("unit"))).where(F.col("unit").rlike(pattern))
-    return od.join(merged(units.withColumnRenamed("unit", "origin")), "origin", "left_semi").join(merged(units.withColumnRenamed("unit", "dest")), "dest", "left_semi").select("origin", "dest", "flow")
+    ends = F.array(*(F.struct(F.col(end).alias("unit"), F.lit(end == "origin").alias("sends"), F.lit(end == "dest").alias("gets")) for end in ("origin", "dest")))
+    seen = od.select(F.explode(ends).alias("e")).select("e.*").where(F.col("unit").rlike(pattern)).groupBy("unit").agg(F.max("sends").alias("sends"), F.max("gets").alias("gets"))
+    with rounds(od.sparkSession) as cut:
+        # both ends of flows meet the same table
+        units = side(cut(seen.where("sends AND gets").select("unit")))
+        return od.join(units.withColumnRenamed("unit", "origin"), "origin", "left_semi").join(units.withColumnRenamed("unit", "dest"), "dest", "left_semi").select("origin", "dest", "flow")
 
 
 def _shares(od: DataFrame) -> DataFrame:
@@ -52,7 +56,7 @@ def build_areas(od: DataFrame, cores: DataFrame, merge_share: float = 0.10, join
     gets most of them (ties: the larger id). Units that have joined stay, and count as their area in the next round. Flows of
     units with an area are not looked at again. Rounds end when nothing joins, or after most_rounds of them.
     """
-    every = od.select(F.col("origin").alias("unit")).union(od.select("dest")).distinct()
+    every = od.select(F.explode(F.array("origin", "dest")).alias("unit")).distinct()
     with rounds(od.sparkSession) as cut:
         rest, cores = cut(_shares(od)), cut(cores.select("unit"))
         named = fresh = cut(_merge(rest, cores, merge_share))
@@ -111,15 +115,19 @@ def null_model(od: DataFrame, assigned: DataFrame, repetitions: int = 60, seed:
         upto = sizes.withColumn("upto", F.sum("n").over(W.orderBy(F.desc("n"), "fua")))
         # an area is known by its last place
         slots = upto.select(F.col("upto").alias("area"), F.explode(F.sequence(F.col("upto") - F.col("n") + 1, F.col("upto"))).alias("slot"))
-        drawn = placed.select("unit", F.explode(F.sequence(F.lit(1), F.lit(repetitions))).alias("repetition"))
+        # areas may come in few files, but each of their units makes many rows
+        drawn = placed.select("unit").repartition("unit").select("unit", F.explode(F.sequence(F.lit(1), F.lit(repetitions))).alias("repetition"))
         digest = F.md5(F.concat_ws("|", F.lit(seed), F.col("repetition").cast("string"), F.col("unit")))
-        dealt = drawn.withColumn("digest", digest).withColumn("range", F.substring("digest", 1, DIGITS))
+        # a repetition's range as one number, and digests as bytes, whose order is that of their letters: both are quick to sort
+        start = F.col("repetition").cast("long") * 16**DIGITS
+        dealt = drawn.withColumn("hex", digest).select("unit", "repetition", F.unhex("hex").alias("digest"), (start + F.conv(F.substring("hex", 1, DIGITS), 16, 10).cast("long")).alias("range"))
         held = dealt.groupBy("repetition", "range").agg(F.count("*").alias("n"))
-        before = held.withColumn("before", F.sum("n").over(W.partitionBy("repetition").orderBy("range")) - F.col("n")).drop("n")
-        within = F.row_number().over(W.partitionBy("repetition", "range").orderBy("digest", "unit"))
+        before = held.select("range", (F.sum("n").over(W.partitionBy("repetition").orderBy("range")) - F.col("n")).alias("before"))
+        within = F.row_number().over(W.partitionBy("range").orderBy("digest", "unit"))
         # at most 16 ** DIGITS rows a repetition
-        order = dealt.withColumn("within", within).join(F.broadcast(before), ["repetition", "range"]).withColumn("slot", F.col("before") + F.col("within"))
-        label = order.join(merged(slots), "slot").select("unit", "repetition", "area")
+        order = dealt.withColumn("within", within).join(F.broadcast(before), "range").withColumn("slot", F.col("before") + F.col("within"))
+        # a unit has a row for each repetition, which are dealt out as they are, since sums of single tasks would not make them fewer
+        label = order.join(merged(slots), "slot").select("unit", "repetition", "area").repartition("unit")
         # a unit's areas in one row, so that a flow meets those of either end once, not once a repetition
         areas = [F.max(F.when(F.col("repetition") == r, F.col("area"))).alias(f"a{r}") for r in range(1, repetitions + 1)]
         table = cut(label.groupBy("unit").agg(*areas).select("unit", F.array(*(f"a{r}" for r in range(1, repetitions + 1))).alias("areas")))

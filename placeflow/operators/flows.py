@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..functions.ratios import at_least_zero, code, number, ratio
 from .cut import rounds
@@ -12,8 +13,12 @@ from .quantiles import exact_quantiles
 
 def prepare_od(rows: DataFrame, origin: str, dest: str, flow: str) -> DataFrame:
     """origin, dest, flow: trimmed codes, positive numeric flows summed per pair. Rows without a code or a number don't count."""
-    clean = rows.select(code(F.col(origin)).alias("origin"), code(F.col(dest)).alias("dest"), number(F.col(flow)).alias("flow"))
-    return clean.where("origin IS NOT NULL AND dest IS NOT NULL AND flow > 0").groupBy("origin", "dest").agg(F.sum("flow").alias("flow"))
+    raw = rows.select(F.col(origin).alias("origin"), F.col(dest).alias("dest"), number(F.col(flow)).alias("flow"))
+    # whole numbers are summed as such and spelt out once a pair, not once a row
+    whole = all(isinstance(raw.schema[c].dataType, IntegralType) for c in ("origin", "dest"))
+    clean = raw if whole else raw.select(code(F.col("origin")).alias("origin"), code(F.col("dest")).alias("dest"), "flow")
+    sums = clean.where("origin IS NOT NULL AND dest IS NOT NULL AND flow > 0").groupBy("origin", "dest").agg(F.sum("flow").alias("flow"))
+    return sums.select(code(F.col("origin")).alias("origin"), code(F.col("dest")).alias("dest"), "flow") if whole else sums
 
 
 def unit_stats(od: DataFrame) -> DataFrame:

@@ -19,8 +19,10 @@ BLOCK = 1 << 19
 
 
 def symmetric(edges: DataFrame, a: str, b: str) -> DataFrame:
-    one = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    return one.union(one.select("v", "u")).where("u <> v").distinct()
+    """Edges both ways; one pass over them makes both."""
+    u, v = F.col(a), F.col(b)
+    ways = F.array(F.struct(u.alias("u"), v.alias("v")), F.struct(v.alias("u"), u.alias("v")))
+    return edges.where(u != v).select(F.explode(ways).alias("e")).select("e.u", "e.v").distinct()
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

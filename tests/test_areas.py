@@ -1,6 +1,7 @@
 """Areas at scale: how often tables are read, what passes the driver, and components joined in blocks."""
 
 import random
+import re
 
 import pytest
 from placeflow.operators import delimitation, flows, fragments
@@ -91,3 +92,24 @@ def test_flows_meet_all_repetitions_at_once(spark):
     got = delimitation.null_model(od, assigned, 5)
     assert "Window" not in plan(got) and sorted(r["repetition"] for r in got.collect()) == [1, 2, 3, 4, 5]
     assert delimitation.null_model(od, assigned.where("fua IS NULL"), 5).count() == 0
+
+
+def test_whole_numbers_are_summed_before_they_are_spelt_out(spark):
+    rows = spark.createDataFrame([(1, 2, 3.0), (1, 2, 4.0), (1, None, 1.0), (2, 1, -1.0), (12, 1, 2.0)], "a long, b int, n double")
+    got = flows.prepare_od(rows, "a", "b", "n")
+    assert got.dtypes == [("origin", "string"), ("dest", "string"), ("flow", "double")]
+    assert sorted(tuple(r) for r in got.collect()) == [("1", "2", 7.0), ("12", "1", 2.0)]
+    assert re.search(r"hashpartitioning\(origin#\d+L, ", plan(got))
+
+
+def test_units_are_found_in_one_pass_over_flows(spark):
+    od = spark.createDataFrame([("a1", "a2", 1.0), ("a2", "a1", 1.0), ("a2", "a3", 1.0), ("b1", "a1", 1.0), ("a1", "b1", 1.0), (None, "a1", 1.0), ("a1", None, 1.0)], "origin string, dest string, flow double")
+    got = delimitation.clean_units(od, "^a")
+    assert plan(got).count("LeftSemi") == 2
+    assert sorted((r["origin"], r["dest"]) for r in got.collect()) == [("a1", "a2"), ("a2", "a1")]
+
+
+def test_edges_are_read_once_for_both_ways(spark):
+    edges = fragments.symmetric(spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "c"), ("c", None)], "x string, y string"), "x", "y")
+    assert edges.columns == ["u", "v"] and sorted(tuple(r) for r in edges.collect()) == [("a", "b"), ("b", "a")]
+    assert "Union" not in plan(edges)
