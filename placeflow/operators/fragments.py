@@ -14,19 +14,19 @@ from pyspark.sql.types import StructField, StructType
 
 from .cut import merged, rounds, side
 
-#: Edges that a task joins at once.
-BLOCK = 1 << 19
+#: Edges from which a task joins what it has of whole areas, and how many times as many before an area is broken off.
+BLOCK, LONGEST = 1 << 19, 4
 
 
 def symmetric(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """Edges both ways; one pass over them makes both."""
+    """Edges both ways, made in one pass."""
     u, v = F.col(a), F.col(b)
     ways = F.array(F.struct(u.alias("u"), v.alias("v")), F.struct(v.alias("u"), u.alias("v")))
     return edges.where(u != v).select(F.explode(ways).alias("e")).select("e.u", "e.v").distinct()
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """unit, low: the smallest unit that a unit reaches over the edges (u, v) of a block."""
+    """unit, low: the smallest unit that a unit reaches over the edges (u, v, area) of a block. Edges come area by area."""
 
     def reached(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         ends = pa.chunked_array([b.column(i) for i in (0, 1) for b in parts])
@@ -44,12 +44,19 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([units, units.take(pa.array(label))], ["unit", "low"])
 
     parts: list[pa.RecordBatch] = []
+    held = 0
     for b in batches:
-        if b.num_rows:
-            parts.append(b)
-        if sum(x.num_rows for x in parts) >= BLOCK:
-            yield reached(parts)
-            parts = []
+        if not b.num_rows:
+            continue
+        if held + b.num_rows >= BLOCK:
+            # what the batch has of areas before its last one ends a block
+            last = pc.index(b.column(2), b.column(2)[-1]).as_py()
+            if last or (parts and parts[-1].column(2)[-1] != b.column(2)[0]) or held >= BLOCK * LONGEST:
+                if whole := [*parts, b.slice(0, last)] if last else parts:
+                    yield reached(whole)
+                parts, held, b = [], 0, b.slice(last)
+        parts.append(b)
+        held += b.num_rows
     if parts:
         yield reached(parts)
 
@@ -57,7 +64,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def area_components(assigned: DataFrame, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """unit, fua, component: the smallest unit reachable over edges (u, v) within the same area.
 
-    An area's edges meet in a task, which joins them in blocks; a large area's are dealt out to several. Where all blocks of every
+    An area's edges meet in a task, which joins them in blocks of whole areas; a large area's are dealt out to several. Where all blocks of every
     unit agree on the smallest, that is the component. Else rounds go on with an edge from each unit to the smallest of each block:
     a round takes the smallest label among neighbours and then that label's own label, so distances double with rounds.
     """
@@ -66,7 +73,7 @@ def area_components(assigned: DataFrame, edges: DataFrame, most_rounds: int = 60
         a, b = assigned.select(F.col("unit").alias("u"), F.col("fua").alias("fu")), assigned.select(F.col("unit").alias("v"), F.col("fua").alias("fv"))
         inside = edges.join(merged(a), "u").join(merged(b), "v").where("fu = fv").select("u", "v", "fu")
         # rebalancing splits what is too much for a task
-        own = inside.hint("rebalance", "fu").select("u", "v").mapInArrow(_joined, StructType([StructField("unit", kind), StructField("low", kind)]))
+        own = inside.hint("rebalance", "fu").sortWithinPartitions("fu").mapInArrow(_joined, StructType([StructField("unit", kind), StructField("low", kind)]))
         links = cut(own)
         lows = links.groupBy("unit").agg(F.min("low").alias("low"), F.max("low").alias("high"))
         found = cut(assigned.join(merged(lows), "unit", "left").select("unit", "fua", F.coalesce("low", "unit").alias("component"), F.coalesce(F.col("low") != F.col("high"), F.lit(False)).alias("apart")))

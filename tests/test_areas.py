@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from placeflow.operators import delimitation, flows, fragments
 from pyspark.sql import functions as F
@@ -113,3 +114,13 @@ def test_edges_are_read_once_for_both_ways(spark):
     edges = fragments.symmetric(spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "c"), ("c", None)], "x string, y string"), "x", "y")
     assert edges.columns == ["u", "v"] and sorted(tuple(r) for r in edges.collect()) == [("a", "b"), ("b", "a")]
     assert "Union" not in plan(edges)
+
+
+def test_blocks_hold_whole_areas(spark, monkeypatch):
+    monkeypatch.setattr(fragments, "BLOCK", 4)
+    batches = [pa.RecordBatch.from_arrays([[f"{a}{i}" for a, i in rows], [f"{a}{i + 1}" for a, i in rows], [a for a, _ in rows]], ["u", "v", "fu"]) for rows in ([("a", 0), ("a", 1), ("a", 2)], [("a", 3), ("b", 0)], [("b", 1), ("b", 2), ("b", 3)], [("c", 0)])]
+    got = [tuple(r.values()) for b in fragments._joined(iter(batches)) for r in b.to_pylist()]
+    assert sorted(got) == sorted((f"{a}{i}", f"{a}0") for a, n in (("a", 5), ("b", 5), ("c", 2)) for i in range(n))
+    # an area without end is broken off
+    long = [pa.RecordBatch.from_arrays([[f"{i:03}"], [f"{i + 1:03}"], ["a"]], ["u", "v", "fu"]) for i in range(40)]
+    assert max(b.num_rows for b in fragments._joined(iter(long))) <= 4 * fragments.LONGEST + 1
